@@ -234,13 +234,17 @@ LEFT JOIN complete c ON c.grp = g.grp AND c.state = k.state
 GROUP BY ALL"""
 
     bins = f"(SELECT unnest(range(1, (SELECT max(least(duration, {cap})) FROM complete) + 1)) AS bin)"
-    q["duration_distribution"] = _with(DECODED, RUNS, COMPLETE) + f"""
-SELECT g.grp AS "group", g.state::BIGINT AS state, b.bin, count(c.duration) AS n, g.n_runs,
-       round((count(c.duration) + {alpha}) / (g.n_runs + {alpha} * (SELECT count(*) FROM {bins})), 6)
-         AS probability
-FROM (SELECT grp, state, count(*) AS n_runs FROM complete GROUP BY ALL) g CROSS JOIN {bins} b
-LEFT JOIN complete c ON c.grp = g.grp AND c.state = g.state AND least(c.duration, {cap}) = b.bin
-GROUP BY ALL"""
+    q["duration_distribution"] = _with(DECODED, RUNS, COMPLETE, f"""
+bins AS {bins},
+totals AS (SELECT grp, state, count(*) AS n_runs FROM complete GROUP BY ALL),
+filled AS (
+  SELECT g.grp, g.state, g.n_runs, b.bin, count(c.duration) AS n
+  FROM totals g CROSS JOIN bins b
+  LEFT JOIN complete c ON c.grp = g.grp AND c.state = g.state AND least(c.duration, {cap}) = b.bin
+  GROUP BY ALL)""") + f"""
+SELECT grp AS "group", state::BIGINT AS state, bin, n, n_runs,
+       round((n + {alpha}) / (n_runs + {alpha} * (SELECT count(*) FROM bins)), 6) AS probability
+FROM filled"""
 
     observed_kl = f"""
 bins AS {bins},
@@ -294,11 +298,12 @@ null_kl AS (
         LEFT JOIN null_cells c ON c.b = z.b AND c.state = z.state AND c.bin = bins.bin
         WHERE nt >= 1 AND nr >= 1) n
   GROUP BY ALL)""", """
+null_count AS (
+  SELECT o.state, count(kl0) AS m, count(*) FILTER (WHERE round(kl0, 10) >= round(kl, 10)) AS e
+  FROM observed o JOIN null_kl n ON n.state = o.state WHERE o.estimable GROUP BY o.state),
 tested AS (
-  SELECT o.*, count(kl0) AS valid,
-         CASE WHEN estimable AND count(kl0) > 0 THEN
-           (count(*) FILTER (WHERE round(kl0, 10) >= round(kl, 10)) + 1) / (count(kl0) + 1) END AS p
-  FROM observed o LEFT JOIN null_kl n ON n.state = o.state AND o.estimable GROUP BY ALL)""",
+  SELECT o.*, coalesce(m, 0) AS valid, CASE WHEN m > 0 THEN (e + 1) / (m + 1) END AS p
+  FROM observed o LEFT JOIN null_count USING (state))""",
         _bh("tested", "p", "state")) + """
 SELECT state, n_td AS n_td_complete_runs, n_dys AS n_dyslexia_complete_runs,
        p_td AS n_td_participants_with_runs, p_dys AS n_dyslexia_participants_with_runs,
@@ -318,14 +323,15 @@ SELECT subject_id, grp AS "group", file, from_state, to_state, cnt AS transition
        round(cnt / nullif(sum(cnt) OVER w, 0), 6) AS conditional_probability
 FROM subject_counts WINDOW w AS (PARTITION BY subject_id, from_state)"""
 
-    q["group_transition_matrices"] = _with(DECODED, SUBJECTS, RUNS, TRANSITIONS) + f"""
-SELECT g.grp AS "group", a.state AS from_state, b.state AS to_state,
-       coalesce(sum(c.cnt), 0)::BIGINT AS transition_count,
-       round(coalesce(sum(c.cnt), 0) / nullif(sum(sum(c.cnt)) OVER (PARTITION BY g.grp, a.state), 0), 6)
-         AS probability
-FROM (SELECT unnest(['TD', 'Dyslexia']) AS grp) g CROSS JOIN {STATES} a CROSS JOIN {STATES} b
-LEFT JOIN subject_counts c ON c.grp = g.grp AND c.from_state = a.state AND c.to_state = b.state
-GROUP BY ALL"""
+    q["group_transition_matrices"] = _with(DECODED, SUBJECTS, RUNS, TRANSITIONS, f"""
+filled AS (
+  SELECT g.grp, a.state AS from_state, b.state AS to_state, coalesce(sum(c.cnt), 0) AS n
+  FROM (SELECT unnest(['TD', 'Dyslexia']) AS grp) g CROSS JOIN {STATES} a CROSS JOIN {STATES} b
+  LEFT JOIN subject_counts c ON c.grp = g.grp AND c.from_state = a.state AND c.to_state = b.state
+  GROUP BY ALL)""") + """
+SELECT grp AS "group", from_state, to_state, n::BIGINT AS transition_count,
+       round(n / nullif(sum(n) OVER (PARTITION BY grp, from_state), 0), 6) AS probability
+FROM filled"""
 
     pooled = """
 pooled AS (
@@ -344,13 +350,15 @@ null_values AS (
   SELECT from_state, to_state,
          c_dys / nullif(sum(c_dys) OVER w, 0) - c_td / nullif(sum(c_td) OVER w, 0) AS d
   FROM null_counts WINDOW w AS (PARTITION BY b, from_state)),
+null_count AS (
+  SELECT from_state, to_state, count(d) AS m,
+         count(*) FILTER (WHERE round(abs(d), 10) >= round(abs(p_dys - p_td), 10)) AS e
+  FROM observed JOIN null_values USING (from_state, to_state) GROUP BY from_state, to_state),
 tested AS (
   SELECT o.*, p_dys - p_td AS diff,
-         CASE WHEN p_dys - p_td IS NOT NULL THEN count(d) ELSE 0 END AS valid,
-         CASE WHEN p_dys - p_td IS NOT NULL AND count(d) > 0 THEN
-           (count(*) FILTER (WHERE round(abs(d), 10) >= round(abs(p_dys - p_td), 10)) + 1)
-             / (count(d) + 1) END AS p
-  FROM observed o LEFT JOIN null_values USING (from_state, to_state) GROUP BY ALL)"""
+         CASE WHEN p_dys - p_td IS NOT NULL THEN coalesce(m, 0) ELSE 0 END AS valid,
+         CASE WHEN p_dys - p_td IS NOT NULL AND m > 0 THEN (e + 1) / (m + 1) END AS p
+  FROM observed o LEFT JOIN null_count USING (from_state, to_state))"""
     tested = _with(
         DECODED, SUBJECTS, RUNS, TRANSITIONS, pooled,
         _permuted(transition_b, transition_seed, "[0]"), null_transitions,

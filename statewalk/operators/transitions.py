@@ -106,8 +106,11 @@ def _both_groups(
     counts: DataFrame, k: int, target_condition: Column, keys: list[str]
 ) -> DataFrame:
     """One row per key with pooled counts of both groups: t_c_i_j and r_c_i_j."""
-    return counts.groupBy(*keys).agg(
-        *_sums(k, target_condition, "t_"), *_sums(k, ~target_condition, "r_")
+    pooled = counts.groupBy(*keys).agg(*_sums(k, target_condition, "t_"), *_sums(k, None, "all_"))
+    cells = [_cell(i, j) for i, j in state_pairs(k)]
+    return pooled.select(
+        *keys, *[F.col("t_" + c) for c in cells],
+        *[(F.col("all_" + c) - F.col("t_" + c)).alias("r_" + c) for c in cells],
     )
 
 
@@ -153,9 +156,17 @@ def transition_permutation_test(
         counts.select("subject_id", *[_cell(i, j) for i, j in state_pairs(k)]),
         cuts, replicates, n_ref + n_target,
     )
-    null = _differences(
-        _both_groups(labelled, k, F.col("is_target"), ["b"]), k, ["b"]
-    ).select("from_state", "to_state", F.col("difference").alias("null_difference"))
+    # Every replicate relabels the same subjects, so the reference side is total minus target.
+    total = counts.agg(*_sums(k)).first()
+    pooled = labelled.filter("is_target").groupBy("b").agg(*_sums(k, None, "t_"))
+    pooled = pooled.select(
+        "*",
+        *[
+            (F.lit(total[_cell(i, j)]) - F.col("t_" + _cell(i, j))).alias("r_" + _cell(i, j))
+            for i, j in state_pairs(k)
+        ],
+    )
+    null = _differences(pooled, k, ["b"]).select("from_state", "to_state", F.col("difference").alias("null_difference"))
     cells = ["from_state", "to_state"]
     counted = (
         # k * (k - 1) observed rows.

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from statewalk import config
 from statewalk.functions.labels import standardize_group
 from statewalk.functions.stats import adjusted_rand_index
-from statewalk.operators import occupancy, runs, sojourn, transitions, validate
+from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
 from statewalk.plans import views
 from statewalk.session import materialize
 
@@ -168,8 +168,108 @@ def sequence_queries() -> dict[str, Query]:
     }
 
 
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub(
+        spark, sf_dir, "state_moments",
+        lambda: matrices.state_moments(views.state_observations(spark, sf_dir)),
+    )
+
+
+def _correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub(
+        spark, sf_dir, "state_correlation",
+        lambda: matrices.covariance_to_correlation(_moments(spark, sf_dir)),
+    )
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.positive_edges(_correlation(spark, sf_dir))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes_of(_correlation(spark, sf_dir))
+
+
+def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub(
+        spark, sf_dir, "louvain_agreement",
+        lambda: graph.agreement(
+            graph.louvain_memberships(_edges(spark, sf_dir), _nodes(spark, sf_dir))
+        ),
+    )
+
+
+def _zscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrices.zscore_by_subject(
+        views.observed_series(spark, sf_dir), [f"x{i}" for i in range(1, 5)]
+    )
+
+
+ROI_NAMES = [f"ROI_{i:02d}" for i in range(1, views.EMBEDDING_P + 1)]
+
+
+def matrix_queries() -> dict[str, Query]:
+    return {
+        "observed_series": views.observed_series,
+        "zscore_series": _zscored,
+        "variance_violations": lambda s, d: matrices.variance_violations(
+            views.observed_series(s, d).withColumn(
+                "x4", F.when(F.col("subject_id") % 3 == 0, F.lit(1.0)).otherwise(F.col("x4"))
+            ),
+            ["x1", "x2", "x3", "x4"],
+        ),
+        "state_covariance": lambda s, d: matrices.state_moments(
+            views.state_observations(s, d)
+        ).select("state", "i", "j", "n", "cov"),
+        "state_correlation": lambda s, d: matrices.covariance_to_correlation(_moments(s, d)),
+        "state_correlation_wide": lambda s, d: matrices.matrix_wide(
+            _correlation(s, d), "r", views.EMBEDDING_P
+        ),
+        "state_summary": lambda s, d: matrices.state_summary(
+            _correlation(s, d), matrices.state_means(_moments(s, d))
+        ),
+        "mean_signal_long": lambda s, d: matrices.roi_names(
+            matrices.state_means(_moments(s, d)), ROI_NAMES
+        ).select("state", "roi", "mean_signal"),
+        "mean_signal_wide": lambda s, d: matrices.roi_names(
+            matrices.mean_signal_wide(
+                matrices.state_means(_moments(s, d)), views.EMBEDDING_K
+            ), ROI_NAMES
+        ).drop("i"),
+        "state_similarity": lambda s, d: matrices.state_similarity(
+            _moments(s, d), matrices.state_means(_moments(s, d))
+        ),
+        "positive_edges": _edges,
+        "node_degrees": lambda s, d: graph.node_degrees(_edges(s, d), _nodes(s, d)),
+        "network_summary": lambda s, d: graph.network_summary(
+            graph.node_degrees(_edges(s, d), _nodes(s, d))
+        ),
+        "density_threshold_edges": lambda s, d: graph.density_edges(_edges(s, d), _nodes(s, d)),
+        "density_threshold_summary": lambda s, d: graph.density_summary(
+            graph.density_edges(_edges(s, d), _nodes(s, d)), _edges(s, d)
+        ),
+        "edge_widths": lambda s, d: graph.edge_widths(
+            graph.density_edges(_edges(s, d), _nodes(s, d))
+        ).select("percent", "state", "i", "j", "width"),
+        "shortest_paths": lambda s, d: graph.shortest_paths(_edges(s, d)),
+        "path_metrics": lambda s, d: graph.path_metrics(
+            graph.shortest_paths(_edges(s, d)), _nodes(s, d)
+        ),
+        "local_efficiency": lambda s, d: graph.local_efficiency(_edges(s, d), _nodes(s, d)),
+        "weighted_clustering": lambda s, d: graph.weighted_clustering(
+            _edges(s, d), _nodes(s, d)
+        ).select("state", "node", "weighted_clustering"),
+        "node_betweenness": lambda s, d: graph.node_betweenness(_edges(s, d), _nodes(s, d)),
+        "consensus_agreement": _agreement,
+        "consensus_communities": lambda s, d: graph.consensus_communities(
+            _agreement(s, d), _nodes(s, d)
+        ),
+        "network_layout": lambda s, d: graph.layout_coordinates(_edges(s, d), _nodes(s, d)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     def rounded(query: Query) -> Query:
         return lambda spark, sf_dir: presentable(query(spark, sf_dir))
 
-    return {name: rounded(q) for name, q in {**sequence_queries()}.items()}
+    return {name: rounded(q) for name, q in {**sequence_queries(), **matrix_queries()}.items()}

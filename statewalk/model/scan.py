@@ -1,0 +1,163 @@
+"""Messages at the seams of sequences that were cut into several chunks.
+
+A chunk acts on the K x M message as a linear map (sums and products for likelihoods, maximum and
+addition for best paths). Maps of neighbouring chunks are composed ``FAN`` at a time until one is
+left per sequence, then messages are pushed down the same tree: logarithmic depth, no task ever
+holds more than ``FAN`` maps of one sequence, and the result is exact.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from statewalk.model import kernel
+from statewalk.model.chunks import Chunks, blocks_of
+from statewalk.session import materialize
+
+FAN = 8
+
+
+class SumProduct:
+    @staticmethod
+    def operator(block, model: kernel.Model) -> np.ndarray:
+        return kernel.chunk_operator(block.x, model)
+
+    @staticmethod
+    def start(model: kernel.Model) -> np.ndarray:
+        return model.start_message().ravel()
+
+    @staticmethod
+    def end(model: kernel.Model) -> np.ndarray:
+        return np.ones(model.k * model.m)
+
+    @staticmethod
+    def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        c = a @ b
+        return c / c.max()
+
+    @staticmethod
+    def push(v: np.ndarray, op: np.ndarray) -> np.ndarray:
+        out = v @ op
+        return out / out.sum()
+
+
+class MaxPlus:
+    @staticmethod
+    def operator(block, model: kernel.Model) -> np.ndarray:
+        if not block.first:
+            return kernel.path_operator(block.x, model)
+        # The first chunk starts from the model, not from a message: its map sends the unit
+        # message of ``start`` to the weights after the chunk.
+        size = model.k * model.m
+        delta, _, _ = kernel.best_paths(
+            kernel.log_emission(block.x[None], model), np.array([len(block.x)]),
+            np.array([True]), np.full((1, model.k, model.m), -np.inf), model, keep=False,
+        )
+        op = np.full((size, size), -np.inf)
+        op[0] = delta.ravel()
+        return op
+
+    @staticmethod
+    def start(model: kernel.Model) -> np.ndarray:
+        return np.where(np.arange(model.k * model.m) == 0, 0.0, -np.inf)
+
+    @staticmethod
+    def end(model: kernel.Model) -> np.ndarray:
+        return kernel.safe_log(model.survivor()).ravel()
+
+    @staticmethod
+    def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([(row[:, None] + b).max(axis=0) for row in a])
+
+    @staticmethod
+    def push(v: np.ndarray, op: np.ndarray) -> np.ndarray:
+        out = (v[:, None] + op).max(axis=0)
+        top = out.max()
+        return out - top if np.isfinite(top) else out
+
+
+def seam_messages(
+    chunks: Chunks, models: dict[int, kernel.Model], algebra: type
+) -> DataFrame:
+    """(model_id, subject_id, chunk, before, after) for every chunk of every cut sequence."""
+    rows = chunks.split()
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    p = chunks.p
+    keys = ["model_id", "subject_id"]
+    schema = "model_id int, subject_id bigint, chunk bigint, op array<double>"
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in blocks_of(batch, p):
+                for model_id, model in shared.value.items():
+                    with np.errstate(all="ignore"):
+                        op = algebra.operator(block, model)
+                    yield pd.DataFrame(
+                        {"model_id": [model_id], "subject_id": [block.subject],
+                         "chunk": [block.chunk], "op": [op.ravel()]}
+                    )
+
+    def square(op: np.ndarray) -> np.ndarray:
+        side = int(round(np.sqrt(len(op))))
+        return np.asarray(op).reshape(side, side)
+
+    def join_maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        total = square(pdf["op"].iloc[0])
+        for op in pdf["op"].iloc[1:]:
+            with np.errstate(all="ignore"):
+                total = algebra.compose(total, square(op))
+        head = pdf.iloc[:1]
+        return pd.DataFrame(
+            {"model_id": head["model_id"], "subject_id": head["subject_id"],
+             "chunk": head["parent"], "op": [total.ravel()]}
+        )
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(
+                before=[algebra.start(shared.value[m]) for m in batch["model_id"]],
+                after=[algebra.end(shared.value[m]) for m in batch["model_id"]],
+            )
+
+    def push_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk").reset_index(drop=True)
+        ops = [square(o) for o in pdf["op"]]
+        before = [np.asarray(pdf["before"].iloc[0])]
+        after = [np.asarray(pdf["after"].iloc[0])]
+        with np.errstate(all="ignore"):
+            for op in ops[:-1]:
+                before.append(algebra.push(before[-1], op))
+            for op in reversed(ops[1:]):
+                after.append(algebra.push(after[-1], op.T))
+        return pdf[["model_id", "subject_id", "chunk"]].assign(before=before, after=after[::-1])
+
+    levels = [materialize(rows.mapInPandas(maps, schema), "maps")]
+    parent = F.floor(F.col("chunk") / FAN).cast("bigint")
+    while levels[-1].agg(F.max("chunk")).first()[0]:
+        grouped = levels[-1].withColumn("parent", parent).groupBy(*keys, "parent")
+        levels.append(materialize(grouped.applyInPandas(join_maps, schema), "maps"))
+    message = "model_id int, subject_id bigint, chunk bigint, before array<double>, after array<double>"
+    messages = levels[-1].select(*keys, "chunk").mapInPandas(top, message)
+    for level in reversed(levels[:-1]):
+        children = level.withColumn("parent", parent).join(
+            messages.withColumnRenamed("chunk", "parent"), [*keys, "parent"]
+        )
+        messages = materialize(
+            children.groupBy(*keys, "parent").applyInPandas(push_down, message), "messages"
+        )
+    return messages
+
+
+def with_messages(
+    chunks: Chunks, models: dict[int, kernel.Model], algebra: type
+) -> DataFrame:
+    """Chunks of cut sequences, once per model, with their messages. Keyed by subject and chunk, so
+    the join has no hot key."""
+    return chunks.split().join(seam_messages(chunks, models, algebra), ["subject_id", "chunk"])

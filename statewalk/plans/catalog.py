@@ -5,13 +5,18 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statewalk import config
 from statewalk.functions.labels import standardize_group
 from statewalk.functions.stats import adjusted_rand_index
+from statewalk.model import match, select
+from statewalk.model.chunks import Chunks, chunk_table
+from statewalk.model.decode import decoded_rows
+from statewalk.model.fit import fit_starts, fit_table, model_of
+from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
 from statewalk.plans import views
 from statewalk.session import materialize
@@ -268,8 +273,181 @@ def matrix_queries() -> dict[str, Query]:
     }
 
 
+HSMM_K = (2, 3)
+HSMM_STARTS = (1, 2)
+HSMM_DURATION_CAP = 20
+HSMM_MAX_ITERATIONS = 40
+HSMM_SIGNALS = ("z1", "z2", "z3", "z4")
+
+_chunks: dict[tuple[str, str], Chunks] = {}
+
+
+def _chunk_table(spark: SparkSession, sf_dir: str) -> Chunks:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _chunks:
+        _chunks[key] = chunk_table(_zscored(spark, sf_dir), HSMM_SIGNALS)
+    return _chunks[key]
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All starts of all candidate K. The stopping tolerance grows with the number of rows because
+    a log-likelihood is a sum over rows."""
+
+    def build() -> DataFrame:
+        chunks = _chunk_table(spark, sf_dir)
+        fits = fit_starts(
+            chunks, planned_starts(HSMM_K, HSMM_STARTS), HSMM_DURATION_CAP, HSMM_MAX_ITERATIONS,
+            tolerance=2e-3 * chunks.n_rows,
+        )
+        return fit_table(spark, fits, HSMM_MAX_ITERATIONS)
+
+    return hub(spark, sf_dir, "hsmm_fits", build)
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunk_table(spark, sf_dir)
+    return select.model_selection(
+        _fits(spark, sf_dir), chunks.p, min(HSMM_DURATION_CAP, chunks.longest), chunks.n_rows
+    )
+
+
+def _selected_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, int]:
+    """Eligible fits of the selected K numbered as runs, their models and K."""
+    k = select.selected_k(_selection(spark, sf_dir))
+    kept = select.usable(_fits(spark, sf_dir)).filter(F.col("k") == k).withColumn(
+        "run", F.row_number().over(Window.partitionBy("k").orderBy("start"))
+    )
+    return kept, {r["run"]: model_of(r) for r in kept.collect()}, k
+
+
+def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = select.selected_k(_selection(spark, sf_dir))
+    return select.best_fits(_fits(spark, sf_dir)).filter(F.col("k") == k)
+
+
+def _viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = model_of(_final(spark, sf_dir).first())
+    return decoded_rows(_chunk_table(spark, sf_dir), {0: model}).drop("model_id")
+
+
+def _hsmm_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long parameter table of the final model."""
+    final = _final(spark, sf_dir)
+    init = final.select(F.lit("init").alias("part"), F.posexplode("model.init").alias("i", "value"))
+    parts = [init.select("part", (F.col("i") + 1).alias("i"), F.lit(None).cast("int").alias("j"), "value")]
+    for name in ("transition", "duration", "mu"):
+        rows = final.select(F.posexplode(f"model.{name}").alias("i", "row"))
+        cells = rows.select("i", F.posexplode("row").alias("j", "value"))
+        parts.append(
+            cells.select(F.lit(name).alias("part"), (F.col("i") + 1).alias("i"),
+                         (F.col("j") + 1).alias("j"), "value")
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _hsmm_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, models, k = _selected_runs(spark, sf_dir)
+    sigma, mu = match.parameter_tables(kept)
+    decoded_runs = materialize(
+        decoded_rows(_chunk_table(spark, sf_dir), models).withColumnRenamed("model_id", "run"),
+        "decoded_runs",
+    )
+    return match.pairwise_stability(sigma, mu, decoded_runs, sorted(models), k)
+
+
+def _hsmm_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sigma, mu = match.parameter_tables(_final(spark, sf_dir).withColumn("run", F.lit(1)))
+    return matrices.state_similarity(
+        sigma.withColumnRenamed("v", "cov"), mu.withColumnRenamed("v", "mean_signal")
+    )
+
+
+def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria over K = 2..10 for histogram likelihoods of l_quantity with K equal bins."""
+    binned = views.table(spark, sf_dir, "lineitem").select(
+        F.explode(F.sequence(F.lit(2), F.lit(10))).alias("k"), "l_quantity"
+    ).select("k", F.least(F.col("k") - 1, F.floor((F.col("l_quantity") - 1) * F.col("k") / 50)).alias("bin"))
+    counts = binned.groupBy("k", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    fits = counts.groupBy("k").agg(
+        (F.sum(F.col("n") * F.log("n")) - F.sum("n") * F.log(F.sum("n"))).alias("log_lik"),
+        F.sum("n").alias("n_total"),
+    )
+    scored = select.with_criteria(fits, "log_lik", views.EMBEDDING_P, config.DURATION_CAP, F.col("n_total"))
+    return select.with_bic_rank(scored).drop("n_total")
+
+
+def _view_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """State covariances and means of three signal windows of the embeddings, as three runs."""
+    sigma = mu = None
+    for run, first in enumerate((1, 21, 41), 1):
+        moments = hub(
+            spark, sf_dir, f"view_moments_{run}",
+            lambda first=first: matrices.state_moments(
+                views.state_observations(spark, sf_dir, first)
+            ),
+        ).withColumn("run", F.lit(run))
+        s = moments.filter("i < j").select("run", "state", "i", "j", F.col("cov").alias("v"))
+        m = moments.filter("i = j").select("run", "state", "i", F.col("mean_i").alias("v"))
+        sigma = s if sigma is None else sigma.unionByName(s)
+        mu = m if mu is None else mu.unionByName(m)
+    return sigma, mu
+
+
+def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub(
+        spark, sf_dir, "view_similarity",
+        lambda: match.run_similarity(*_view_tables(spark, sf_dir)),
+    )
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similarity = _similarity(spark, sf_dir)
+    return match.matched_correlations(similarity, match.matched_states(similarity))
+
+
+def _labelings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three labelings of every event: type, value band, part of the day."""
+    value = F.least(F.lit(5), F.greatest(F.lit(1), 1 + F.floor(F.col("value") / 20))).cast("int")
+    part = (1 + F.floor(F.hour("ts") / 5)).cast("int")
+    return views.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("subject_id"),
+        F.array(views.event_state(F.col("event_type")), value, part).alias("labels"),
+    )
+
+
+def _labeling_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _labelings(spark, sf_dir).select("subject_id", F.posexplode("labels").alias("run", "state"))
+    products = match.occupancy_products(long.withColumn("run", F.col("run") + 1), K)
+    same = products.select(*match.PAIR, "state_a", "state_b").filter("state_a = state_b")
+    return match.occupancy_correlation(products, same)
+
+
+def model_queries() -> dict[str, Query]:
+    names = ("covariance_correlation", "mean_vector_correlation")
+    metrics = [f"{n}_{s}" for n in names for s in ("median", "minimum")]
+    return {
+        "information_criteria": _criteria,
+        "run_similarity": _similarity,
+        "matched_states": lambda s, d: match.matched_states(_similarity(s, d)),
+        "matched_correlations": _matched,
+        "stability_metric_summary": lambda s, d: match.stability_summary(_matched(s, d), metrics),
+        "pair_agreement": lambda s, d: match.pair_agreement(_labelings(s, d), [1, 2, 3]),
+        "occupancy_correlation": _labeling_occupancy,
+        "hsmm_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
+        "hsmm_model_selection": _selection,
+        "hsmm_parameters": _hsmm_parameters,
+        "viterbi_decode": _viterbi,
+        "hsmm_pairwise_stability": _hsmm_stability,
+        "hsmm_state_similarity": _hsmm_within,
+    }
+
+
 def all_queries() -> dict[str, Query]:
     def rounded(query: Query) -> Query:
         return lambda spark, sf_dir: presentable(query(spark, sf_dir))
 
-    return {name: rounded(q) for name, q in {**sequence_queries(), **matrix_queries()}.items()}
+    queries = {**sequence_queries(), **matrix_queries(), **model_queries()}
+    return {name: rounded(q) for name, q in queries.items()}

@@ -319,15 +319,18 @@ def edge_widths(kept: DataFrame, low: float = 0.5, high: float = 4.0) -> DataFra
 
 
 def topology_tables(
-    matrix: DataFrame, value: str = "r", repetitions: int = config.LOUVAIN_REPETITIONS
+    matrix: DataFrame,
+    value: str = "r",
+    repetitions: int = config.LOUVAIN_REPETITIONS,
+    agreements: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Primary metrics, additional metrics and node metrics of every state network."""
     nodes = nodes_of(matrix)
     edges = positive_edges(matrix, value)
     paths = path_metrics(shortest_paths(edges), nodes)
-    communities = consensus_communities(
-        agreement(louvain_memberships(edges, nodes, repetitions)), nodes
-    )
+    if agreements is None:
+        agreements = agreement(louvain_memberships(edges, nodes, repetitions))
+    communities = consensus_communities(agreements, nodes)
     clustering = weighted_clustering(edges, nodes)
     between = node_betweenness(edges, nodes)
     node_table = clustering.join(between, ["state", "node"]).join(

@@ -65,7 +65,7 @@ def sojourn_group_summary(
     stats = folded.join(quartiles, keys).select(
         *keys, "n_participants_with_complete_runs", "n_complete_runs",
         mean.alias("mean_duration"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("standard_deviation"),
+        F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("standard_deviation"),
         "median_duration", "iqr_low", "iqr_high", "minimum", "maximum",
     )
     return (

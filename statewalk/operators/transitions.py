@@ -1,7 +1,8 @@
 """Run-level transitions: counts, probabilities, permutation test and bootstrap intervals.
 
-Counts are carried in one column per ordered state pair. A subject is then a single row, replicates
-sum columns with map-side combine, and zero cells need no completion join.
+A subject is one row with a count per ordered state pair, so zero cells need no completion join.
+For replicates that row is unfolded by origin state (k rows with k - 1 destination counts): labels
+and draws are worked out once per subject and the sums combine map-side.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from statewalk.operators.resample import (
     permutation_cuts,
     with_permuted_label,
 )
-from statewalk.operators.runs import with_previous_state
+from statewalk.operators.runs import ID_COLUMNS, with_previous_state
 
 TIE_DIGITS = 10
 
@@ -37,23 +38,29 @@ def subject_counts(
 ) -> DataFrame:
     """(subject_id, group, file, c_i_j...): changes of state between neighbouring timepoints."""
     moves = with_previous_state(decoded, slice_rows)
-    return moves.groupBy("subject_id", "group", "file").agg(
+    # Counted long first: one hash update per row whatever k is. A first timepoint has no previous
+    # state and keeps subjects without any transition in the result.
+    long = moves.groupBy(*ID_COLUMNS, "previous_state", "state").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(*ID_COLUMNS).agg(
         *[
-            F.count_if((F.col("previous_state") == i) & (F.col("state") == j)).alias(_cell(i, j))
+            F.sum(
+                F.when((F.col("previous_state") == i) & (F.col("state") == j), F.col("n"))
+                .otherwise(0)
+            ).alias(_cell(i, j))
             for i, j in state_pairs(k)
         ]
     )
 
 
-def _row_total(i: int, k: int, prefix: str = "") -> Column:
-    cells = [F.col(prefix + _cell(i, j)) for j in range(1, k + 1) if j != i]
+def _row_total(i: int, k: int) -> Column:
+    cells = [F.col(_cell(i, j)) for j in range(1, k + 1) if j != i]
     return sum(cells[1:], cells[0])
 
 
-def _probability(i: int, j: int, k: int, prefix: str = "") -> Column:
+def _probability(i: int, j: int, k: int) -> Column:
     """NULL for a row without transitions."""
-    total = _row_total(i, k, prefix)
-    return F.col(prefix + _cell(i, j)) / F.when(total > 0, total)
+    total = _row_total(i, k)
+    return F.col(_cell(i, j)) / F.when(total > 0, total)
 
 
 def subject_transition_table(counts: DataFrame, k: int) -> DataFrame:
@@ -74,15 +81,6 @@ def subject_transition_table(counts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _sums(k: int, condition: Column | None = None, prefix: str = "") -> list[Column]:
-    out = []
-    for i, j in state_pairs(k):
-        cell = F.col(_cell(i, j))
-        value = cell if condition is None else F.when(condition, cell).otherwise(0)
-        out.append(F.sum(value).alias(prefix + _cell(i, j)))
-    return out
-
-
 def group_transition_matrices(counts: DataFrame, k: int) -> DataFrame:
     """Pooled counts and probabilities per group, diagonal included (0, or NULL for a row without
     transitions)."""
@@ -98,37 +96,60 @@ def group_transition_matrices(counts: DataFrame, k: int) -> DataFrame:
                     (count / F.when(total > 0, total)).alias("probability"),
                 )
             )
-    pooled = counts.groupBy("group").agg(*_sums(k))
+    pooled = counts.groupBy("group").agg(
+        *[F.sum(_cell(i, j)).alias(_cell(i, j)) for i, j in state_pairs(k)]
+    )
     return pooled.select("group", F.explode(F.array(*rows)).alias("r")).select("group", "r.*")
 
 
-def _both_groups(
-    counts: DataFrame, k: int, target_condition: Column, keys: list[str]
-) -> DataFrame:
-    """One row per key with pooled counts of both groups: t_c_i_j and r_c_i_j."""
-    pooled = counts.groupBy(*keys).agg(*_sums(k, target_condition, "t_"), *_sums(k, None, "all_"))
-    cells = [_cell(i, j) for i, j in state_pairs(k)]
-    return pooled.select(
-        *keys, *[F.col("t_" + c) for c in cells],
-        *[(F.col("all_" + c) - F.col("t_" + c)).alias("r_" + c) for c in cells],
+def _origins(k: int) -> Column:
+    """The count row of a subject as an array with one struct per origin state; d1..d(k-1) are the
+    destinations in order, the origin left out."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("from_state"),
+                *[
+                    F.col(_cell(i, j)).alias(f"d{n}")
+                    for n, j in enumerate([j for j in range(1, k + 1) if j != i], 1)
+                ],
+            )
+            for i in range(1, k + 1)
+        ]
     )
 
 
+def _destination_sums(k: int, prefix: str, condition: Column | None = None) -> list[Column]:
+    out = []
+    for n in range(1, k):
+        value = F.col(f"d{n}")
+        if condition is not None:
+            value = F.when(condition, value).otherwise(0)
+        out.append(F.sum(value).alias(f"{prefix}{n}"))
+    return out
+
+
 def _differences(pooled: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    rows = F.array(
+    """Long form of rows (keys, from_state, t1.., r1..): counts, probabilities, difference."""
+    t_total = sum((F.col(f"t{n}") for n in range(2, k)), F.col("t1"))
+    r_total = sum((F.col(f"r{n}") for n in range(2, k)), F.col("r1"))
+    cells = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("from_state"), F.lit(j).alias("to_state"),
-                F.col("r_" + _cell(i, j)).alias("td_count"),
-                _probability(i, j, k, "r_").alias("td_probability"),
-                F.col("t_" + _cell(i, j)).alias("dyslexia_count"),
-                _probability(i, j, k, "t_").alias("dyslexia_probability"),
-            )
-            for i, j in state_pairs(k)
+            F.struct(F.lit(n).alias("n"), F.col(f"t{n}").alias("t"), F.col(f"r{n}").alias("r"))
+            for n in range(1, k)
         ]
     )
-    return pooled.select(*keys, F.explode(rows).alias("r")).select(
-        *keys, "r.*", (F.col("r.dyslexia_probability") - F.col("r.td_probability")).alias("difference")
+    rows = pooled.select(
+        *keys, "from_state", t_total.alias("t_total"), r_total.alias("r_total"), F.inline(cells)
+    )
+    p_target = F.col("t") / F.when(F.col("t_total") > 0, F.col("t_total"))
+    p_reference = F.col("r") / F.when(F.col("r_total") > 0, F.col("r_total"))
+    return rows.select(
+        *keys, "from_state",
+        (F.col("n") + F.when(F.col("n") >= F.col("from_state"), 1).otherwise(0)).alias("to_state"),
+        F.col("r").alias("td_count"), p_reference.alias("td_probability"),
+        F.col("t").alias("dyslexia_count"), p_target.alias("dyslexia_probability"),
+        (p_target - p_reference).alias("difference"),
     )
 
 
@@ -136,7 +157,11 @@ def transition_difference(
     counts: DataFrame, k: int, target: str = config.TARGET_GROUP
 ) -> DataFrame:
     """Group counts, probabilities and their difference per ordered pair of different states."""
-    return _differences(_both_groups(counts, k, F.col("group") == target, []), k, [])
+    in_target = F.col("group") == target
+    pooled = counts.select("group", F.inline(_origins(k))).groupBy("from_state").agg(
+        *_destination_sums(k, "t", in_target), *_destination_sums(k, "r", ~in_target)
+    )
+    return _differences(pooled, k, [])
 
 
 def transition_permutation_test(
@@ -152,21 +177,23 @@ def transition_permutation_test(
     n_ref, n_target = group_sizes(counts, reference, target)
     cuts = permutation_cuts(counts, n_ref + n_target, n_target, replicates, seed)
     observed = transition_difference(counts, k, target)
-    labelled = with_permuted_label(
-        counts.select("subject_id", *[_cell(i, j) for i, j in state_pairs(k)]),
-        cuts, replicates, n_ref + n_target,
-    )
+    stats = counts.select("subject_id", _origins(k).alias("origins"))
     # Every replicate relabels the same subjects, so the reference side is total minus target.
-    total = counts.agg(*_sums(k)).first()
-    pooled = labelled.filter("is_target").groupBy("b").agg(*_sums(k, None, "t_"))
-    pooled = pooled.select(
-        "*",
-        *[
-            (F.lit(total[_cell(i, j)]) - F.col("t_" + _cell(i, j))).alias("r_" + _cell(i, j))
-            for i, j in state_pairs(k)
-        ],
+    total = stats.select(F.inline("origins")).groupBy("from_state").agg(
+        *_destination_sums(k, "all")
+    )
+    in_target = (
+        with_permuted_label(stats, cuts, replicates, n_ref + n_target).filter("is_target")
+        .select("b", F.inline("origins"))
+        .groupBy("b", "from_state").agg(*_destination_sums(k, "t"))
+    )
+    pooled = in_target.join(F.broadcast(total), "from_state").select(
+        "b", "from_state", *[F.col(f"t{n}") for n in range(1, k)],
+        *[(F.col(f"all{n}") - F.col(f"t{n}")).alias(f"r{n}") for n in range(1, k)],
+    )
+    null = _differences(pooled, k, ["b"]).select(
+        "from_state", "to_state", F.col("difference").alias("null_difference")
     )
-    null = _differences(pooled, k, ["b"]).select("from_state", "to_state", F.col("difference").alias("null_difference"))
     cells = ["from_state", "to_state"]
     counted = (
         # k * (k - 1) observed rows.
@@ -218,10 +245,14 @@ def transition_bootstrap(
     draws = bootstrap_draws(
         numbered, {reference: n_ref, target: n_target}, replicates, seed
     )
-    drawn = draws.join(numbered.drop("subject_id", "file"), ["group", "position"])
-    boot = _differences(
-        _both_groups(drawn, k, F.col("group") == target, ["b"]), k, ["b"]
+    drawn = draws.join(
+        numbered.select("group", "position", _origins(k).alias("origins")), ["group", "position"]
+    )
+    in_target = F.col("group") == target
+    pooled = drawn.select("b", "group", F.inline("origins")).groupBy("b", "from_state").agg(
+        *_destination_sums(k, "t", in_target), *_destination_sums(k, "r", ~in_target)
     )
+    boot = _differences(pooled, k, ["b"])
     measures = {
         "td": "td_probability", "dyslexia": "dyslexia_probability", "difference": "difference"
     }

@@ -160,33 +160,31 @@ def rescale(
 
 
 def adjusted_rand_index(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index of two labelings, from the contingency table (labels x labels rows)."""
+    """Adjusted Rand index of two labelings, from the contingency table (labels x labels rows):
+    every cell is added to its own pair, its row and its column in one pass."""
     keys = list(keys)
     cells = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__n"))
-
-    def pairs(c: Column) -> Column:
-        c = c.cast("double")
-        return c * (c - 1) / 2
-
-    def margin(column: str, out: str) -> DataFrame:
-        return (
-            cells.groupBy(*keys, column).agg(F.sum("__n").alias("__m"))
-            .groupBy(*keys).agg(F.sum(pairs(F.col("__m"))).alias(out))
-        )
-
-    inner = cells.groupBy(*keys).agg(
-        F.sum(pairs(F.col("__n"))).alias("__cells"), F.sum("__n").alias("__total")
+    a, b, none = F.col(x).cast("string"), F.col(y).cast("string"), F.lit(None).cast("string")
+    parts = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), p.alias("a"), q.alias("b"))
+            for kind, p, q in (("cell", a, b), ("row", a, none), ("column", none, b))
+        ]
     )
-    rows, cols = margin(x, "__rows"), margin(y, "__cols")
-    if keys:
-        joined = inner.join(rows, keys).join(cols, keys)
-    else:
-        one = F.lit(1).alias("__one")
-        joined = (
-            inner.select("*", one).join(rows.select("*", one), "__one")
-            .join(cols.select("*", one), "__one")
-        )
-    total = pairs(F.col("__total"))
+    margins = (
+        cells.select(*keys, "__n", F.inline(parts))
+        .groupBy(*keys, "kind", "a", "b").agg(F.sum("__n").cast("double").alias("m"))
+    )
+    m = F.col("m")
+    sums = margins.groupBy(*keys).agg(
+        *[
+            F.sum(F.when(F.col("kind") == kind, m * (m - 1) / 2)).alias(name)
+            for kind, name in (("cell", "__cells"), ("row", "__rows"), ("column", "__cols"))
+        ],
+        F.sum(F.when(F.col("kind") == "cell", m)).alias("__total"),
+    )
+    n = F.col("__total")
+    total = n * (n - 1) / 2
     expected = F.col("__rows") * F.col("__cols") / F.when(total > 0, total)
     maximum = 0.5 * (F.col("__rows") + F.col("__cols"))
     gap = maximum - expected
@@ -194,4 +192,4 @@ def adjusted_rand_index(df: DataFrame, x: str, y: str, keys: Sequence[str] = ())
     index = F.when(degenerate, F.lit(1.0)).otherwise(
         (F.col("__cells") - expected) / F.when(~degenerate, gap)
     )
-    return joined.select(*keys, F.when(total > 0, index).alias("ari"))
+    return sums.select(*keys, F.when(total > 0, index).alias("ari"))

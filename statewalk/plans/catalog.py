@@ -14,7 +14,7 @@ from statewalk.functions.labels import standardize_group
 from statewalk.functions.stats import adjusted_rand_index
 from statewalk.model import match, select
 from statewalk.model.chunks import Chunks, chunk_table
-from statewalk.model.decode import decoded_rows
+from statewalk.model.decode import decoded_labels, decoded_rows
 from statewalk.model.fit import fit_starts, fit_table, model_of
 from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
@@ -22,7 +22,7 @@ from statewalk.plans import views
 from statewalk.session import materialize
 
 K = views.EVENT_K
-SEQUENCE_WIDTH = 60
+SEQUENCE_WIDTH = config.DURATION_CAP
 DIGITS = 6
 
 _hubs: dict[tuple[str, str, str], str] = {}
@@ -273,6 +273,8 @@ def matrix_queries() -> dict[str, Query]:
     }
 
 
+CRITERIA_SIGNALS = 20
+VIEW_SIGNALS = 16
 HSMM_K = (2, 3)
 HSMM_STARTS = (1, 2)
 HSMM_DURATION_CAP = 20
@@ -351,11 +353,10 @@ def _hsmm_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hsmm_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, models, k = _selected_runs(spark, sf_dir)
     sigma, mu = match.parameter_tables(kept)
-    decoded_runs = materialize(
-        decoded_rows(_chunk_table(spark, sf_dir), models).withColumnRenamed("model_id", "run"),
-        "decoded_runs",
+    labelled = materialize(
+        decoded_labels(_chunk_table(spark, sf_dir), models), "decoded_by_run"
     )
-    return match.pairwise_stability(sigma, mu, decoded_runs, sorted(models), k)
+    return match.pairwise_stability(sigma, mu, labelled, sorted(models), k)
 
 
 def _hsmm_within(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,18 +376,19 @@ def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum(F.col("n") * F.log("n")) - F.sum("n") * F.log(F.sum("n"))).alias("log_lik"),
         F.sum("n").alias("n_total"),
     )
-    scored = select.with_criteria(fits, "log_lik", views.EMBEDDING_P, config.DURATION_CAP, F.col("n_total"))
+    scored = select.with_criteria(fits, "log_lik", CRITERIA_SIGNALS, config.DURATION_CAP, F.col("n_total"))
     return select.with_bic_rank(scored).drop("n_total")
 
 
 def _view_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """State covariances and means of three signal windows of the embeddings, as three runs."""
+    """State covariances and means of four windows of 16 signals, together the whole embedding,
+    as four runs."""
     sigma = mu = None
-    for run, first in enumerate((1, 21, 41), 1):
+    for run, first in enumerate(range(1, views.EMBEDDING_P, VIEW_SIGNALS), 1):
         moments = hub(
             spark, sf_dir, f"view_moments_{run}",
             lambda first=first: matrices.state_moments(
-                views.state_observations(spark, sf_dir, first)
+                views.state_observations(spark, sf_dir, first, VIEW_SIGNALS)
             ),
         ).withColumn("run", F.lit(run))
         s = moments.filter("i < j").select("run", "state", "i", "j", F.col("cov").alias("v"))
@@ -419,8 +421,7 @@ def _labelings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labeling_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _labelings(spark, sf_dir).select("subject_id", F.posexplode("labels").alias("run", "state"))
-    products = match.occupancy_products(long.withColumn("run", F.col("run") + 1), K)
+    products = match.occupancy_products(match.labels_long(_labelings(spark, sf_dir), [1, 2, 3]), K)
     same = products.select(*match.PAIR, "state_a", "state_b").filter("state_a = state_b")
     return match.occupancy_correlation(products, same)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from statewalk import config
 from statewalk.model import match, select
 from statewalk.model.chunks import chunk_table
-from statewalk.model.decode import decoded_rows
+from statewalk.model.decode import decoded_labels, decoded_rows
 from statewalk.model.fit import fit_starts, fit_table, model_of
 from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
@@ -98,9 +98,7 @@ def model_stage(
     run_of = F.create_map(*[F.lit(v) for i, r in enumerate(eligible, 1) for v in (r["start"], i)])
     numbered = select.usable(kept).withColumn("run", F.element_at(run_of, F.col("start")))
     sigma, mu = match.parameter_tables(numbered)
-    by_run = out.table(
-        decoded_rows(chunks, models).withColumnRenamed("model_id", "run"), "decoded_by_run"
-    )
+    by_run = out.table(decoded_labels(chunks, models), "decoded_by_run")
     pairs = out.report(
         match.pairwise_stability(sigma, mu, by_run, sorted(models), k), "pairwise_stability"
     )

@@ -13,8 +13,8 @@ from statewalk.operators.ordering import ordered_index
 EVENT_STATES = ("click", "error", "purchase", "signup", "view")
 EVENT_K = len(EVENT_STATES)
 SERIES_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-EMBEDDING_K = 4
-EMBEDDING_P = 20
+EMBEDDING_K = 10
+EMBEDDING_P = 64
 
 # Raw group spellings by user_id % 10; even users are controls.
 RAW_GROUPS = (
@@ -85,12 +85,9 @@ def observed_series(
 def state_observations(
     spark: SparkSession, sf_dir: str, first: int = 1, p: int = EMBEDDING_P
 ) -> DataFrame:
-    """Signal vectors with a known state: (state, x array<double>), p dimensions from ``first``."""
-    return (
-        table(spark, sf_dir, "embeddings")
-        .filter(F.col("label") < EMBEDDING_K)
-        .select(
-            (F.col("label") + 1).cast("int").alias("state"),
-            F.slice("embedding", first, p).cast("array<double>").alias("x"),
-        )
+    """Signal vectors with a known state: (state, x array<double>), p signals from ``first``; by
+    default all rows and the whole vector."""
+    return table(spark, sf_dir, "embeddings").select(
+        (F.col("label") + 1).cast("int").alias("state"),
+        F.slice("embedding", first, p).cast("array<double>").alias("x"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-P, K = 20, 4
+P, K = 64, 10
 
 SERIES = """
 series AS (
@@ -17,7 +17,7 @@ VALUES = f"""
 dims AS (SELECT unnest(range(1, {P + 1})) AS i),
 vals AS (
   SELECT label + 1 AS state, vec_id, i, embedding[i]::DOUBLE AS v
-  FROM embeddings CROSS JOIN dims WHERE label < {K})"""
+  FROM embeddings CROSS JOIN dims)"""
 
 COV = """
 cov AS (
@@ -42,7 +42,7 @@ degrees AS (
   FROM nodes n LEFT JOIN ways w ON w.state = n.state AND w.i = n.node GROUP BY ALL)"""
 
 
-def _paths(source: str, keys: str, rounds: int = 5) -> str:
+def _paths(source: str, keys: str, rounds: int = 6) -> str:
     """Min-plus squaring: ``rounds`` doublings reach 2^rounds steps."""
     ks = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"a.{k} = b.{k}" for k in ks)
@@ -154,19 +154,19 @@ SELECT percent::BIGINT AS percent, state::BIGINT AS state, i, j,
        round(0.5 + 3.5 * (w - min(w) OVER s) / (max(w) OVER s - min(w) OVER s), 6) AS width
 FROM kept WINDOW s AS (PARTITION BY percent, state)"""
     q["shortest_paths"] = _with(*g, _paths("ways", "state")) + """
-SELECT state::BIGINT AS state, i, j, round(d, 6) AS distance FROM d5 WHERE i < j"""
+SELECT state::BIGINT AS state, i, j, round(d, 6) AS distance FROM d6 WHERE i < j"""
     q["path_metrics"] = _with(*g, _paths("ways", "state")) + f"""
 SELECT state::BIGINT AS state,
        round(sum(1 / d) FILTER (WHERE i <> j) / ({P} * ({P} - 1)), 6) AS global_efficiency,
        round(avg(d) FILTER (WHERE i <> j), 6) AS average_path_length
-FROM d5 GROUP BY state"""
+FROM d6 GROUP BY state"""
     q["local_efficiency"] = _with(*g, """
 inner_ways AS (
   SELECT e.state, a.i AS node, e.i, e.j, pow(e.w, 1 / 3.0::DOUBLE) AS w
   FROM ways e JOIN ways a ON a.state = e.state AND a.j = e.i
               JOIN ways b ON b.state = e.state AND b.i = a.i AND b.j = e.j)""",
         _paths("inner_ways", "state, node"), """
-sums AS (SELECT state, node, sum(1 / d) FILTER (WHERE i <> j) AS s FROM d5 GROUP BY ALL)""") + """
+sums AS (SELECT state, node, sum(1 / d) FILTER (WHERE i <> j) AS s FROM d6 GROUP BY ALL)""") + """
 SELECT n.state::BIGINT AS state, n.node, CASE WHEN degree >= 2 THEN
          round(coalesce(s, 0) / (degree * (degree - 1)), 6) END AS local_efficiency
 FROM degrees n LEFT JOIN sums USING (state, node)"""
@@ -183,8 +183,8 @@ SELECT n.state::BIGINT AS state, n.node,
        round(count(x.state) * 2 / (({P} - 1) * ({P} - 2)), 6) AS betweenness
 FROM nodes n LEFT JOIN (
   SELECT st.state, sv.j AS node
-  FROM d5 st JOIN d5 sv ON sv.state = st.state AND sv.i = st.i AND sv.j <> st.i AND sv.j <> st.j
-             JOIN d5 vt ON vt.state = st.state AND vt.i = sv.j AND vt.j = st.j
+  FROM d6 st JOIN d6 sv ON sv.state = st.state AND sv.i = st.i AND sv.j <> st.i AND sv.j <> st.j
+             JOIN d6 vt ON vt.state = st.state AND vt.i = sv.j AND vt.j = st.j
   WHERE st.i < st.j AND abs(sv.d + vt.d - st.d) < 1e-10) x
   ON x.state = n.state AND x.node = n.node
 GROUP BY ALL"""

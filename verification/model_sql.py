@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-P, K = 20, 4
+P, K, RUNS = 16, 10, 4
 
 VIEWS = f"""
 dims AS (SELECT unnest(range(1, {P + 1})) AS i),
-runs AS (SELECT unnest([1, 2, 3]) AS run),
+runs AS (SELECT unnest(range(1, {RUNS + 1})) AS run),
 vals AS (
   SELECT run, label + 1 AS state, vec_id, i, embedding[(run - 1) * {P} + i]::DOUBLE AS v
-  FROM embeddings CROSS JOIN dims CROSS JOIN runs WHERE label < {K}),
+  FROM embeddings CROSS JOIN dims CROSS JOIN runs),
 sigma AS (
   SELECT a.run, a.state, a.i, b.i AS j, covar_samp(a.v, b.v) AS v
   FROM vals a JOIN vals b ON a.run = b.run AND a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL),
@@ -25,21 +25,27 @@ similarity AS (
         FROM mu a JOIN mu b ON a.i = b.i AND a.run < b.run GROUP BY ALL)
   USING (run_a, run_b, state_a, state_b))"""
 
-MATCH = """
-orders AS (
-  SELECT w.run_a, w.run_b, w.state_b AS b1, x.state_b AS b2, y.state_b AS b3, z.state_b AS b4,
-         w.score + x.score + y.score + z.score AS total
-  FROM similarity w
-  JOIN similarity x ON x.run_a = w.run_a AND x.run_b = w.run_b AND x.state_a = 2 AND x.state_b <> w.state_b
-  JOIN similarity y ON y.run_a = w.run_a AND y.run_b = w.run_b AND y.state_a = 3
-                   AND y.state_b NOT IN (w.state_b, x.state_b)
-  JOIN similarity z ON z.run_a = w.run_a AND z.run_b = w.run_b AND z.state_a = 4
-                   AND z.state_b NOT IN (w.state_b, x.state_b, y.state_b)
-  WHERE w.state_a = 1),
-best AS (
-  SELECT run_a, run_b, unnest([1, 2, 3, 4]) AS state_a, unnest([b1, b2, b3, b4]) AS state_b
-  FROM (SELECT *, row_number() OVER (PARTITION BY run_a, run_b ORDER BY total DESC) AS r FROM orders)
-  WHERE r = 1),
+def _best_assignment() -> str:
+    """Best one-to-one matching by dynamic programming over sets of used states of run b."""
+    steps = ["""
+step0 AS (SELECT DISTINCT run_a, run_b, 0 AS used, 0.0::DOUBLE AS total, []::BIGINT[] AS path
+          FROM similarity)"""]
+    for i in range(1, K + 1):
+        steps.append(f"""
+step{i} AS (
+  SELECT p.run_a, p.run_b, p.used + (1 << (s.state_b - 1)::INT) AS used,
+         max(p.total + s.score) AS total,
+         arg_max(list_append(p.path, s.state_b::BIGINT), p.total + s.score) AS path
+  FROM step{i - 1} p JOIN similarity s
+    ON s.run_a = p.run_a AND s.run_b = p.run_b AND s.state_a = {i}
+   AND (p.used >> (s.state_b - 1)::INT) % 2 = 0
+  GROUP BY 1, 2, 3)""")
+    return ",".join(steps) + f""",
+best AS (SELECT run_a, run_b, unnest(range(1, {K + 1})) AS state_a, unnest(path) AS state_b
+         FROM step{K})"""
+
+
+MATCH = _best_assignment() + """,
 matched AS (
   SELECT run_a, run_b, median(c) AS covariance_correlation_median,
          min(c) AS covariance_correlation_minimum, median(m) AS mean_vector_correlation_median,

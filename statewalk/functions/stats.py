@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewalk import config
+from statewalk.session import materialize
 
 
 def quantile_name(p: float) -> str:
@@ -43,6 +44,7 @@ def exact_quantiles(
             *[F.percentile("__v", F.lit(p), F.col("__c")).alias(n) for p, n in zip(probs, names)]
         )
 
+    counts = materialize(counts, "value_counts")
     span = counts.groupBy(*keys).agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")
     )

@@ -1,9 +1,10 @@
 """Messages at the seams of sequences that were cut into several chunks.
 
-A chunk acts on the K x M message as a linear map (sums and products for likelihoods, maximum and
-addition for best paths). Maps of neighbouring chunks are composed ``FAN`` at a time until one is
-left per sequence, then messages are pushed down the same tree: logarithmic depth, no task ever
-holds more than ``FAN`` maps of one sequence, and the result is exact.
+A stretch of chunks acts on the K x M message as a linear map (sums and products for likelihoods,
+maximum and addition for best paths). ``GROUP`` consecutive chunks are read by one task and reduced
+to one map; maps of neighbouring groups are composed ``FAN`` at a time until one is left per
+sequence; messages are pushed down the same tree and, inside a group, from chunk to chunk. Depth is
+logarithmic, no task holds more than a group of chunks or ``FAN`` maps, and the result is exact.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewalk.model import kernel
-from statewalk.model.chunks import Chunks, blocks_of
+from statewalk.model.chunks import Block, Chunks, blocks_of
 from statewalk.session import materialize
 
+GROUP = 64
 FAN = 8
 
 
 class SumProduct:
     @staticmethod
-    def operator(block, model: kernel.Model) -> np.ndarray:
-        return kernel.chunk_operator(block.x, model)
+    def operator(blocks: list[Block], model: kernel.Model) -> np.ndarray:
+        return kernel.stretch_operator([b.x for b in blocks], model)
 
     @staticmethod
     def start(model: kernel.Model) -> np.ndarray:
@@ -45,22 +47,21 @@ class SumProduct:
         out = v @ op
         return out / out.sum()
 
+    @staticmethod
+    def forward(block: Block, v: np.ndarray, model: kernel.Model) -> np.ndarray:
+        logb = kernel.log_emission(block.x[None], model)
+        q = v.reshape(1, model.k, model.m)
+        return kernel.forward(logb, np.array([len(block.x)]), q, model, keep=False)[1].ravel()
+
+    @staticmethod
+    def backward(block: Block, v: np.ndarray, model: kernel.Model) -> np.ndarray:
+        return kernel.backward_message(block.x, v.reshape(model.k, model.m), model).ravel()
+
 
 class MaxPlus:
     @staticmethod
-    def operator(block, model: kernel.Model) -> np.ndarray:
-        if not block.first:
-            return kernel.path_operator(block.x, model)
-        # The first chunk starts from the model, not from a message: its map sends the unit
-        # message of ``start`` to the weights after the chunk.
-        size = model.k * model.m
-        delta, _, _ = kernel.best_paths(
-            kernel.log_emission(block.x[None], model), np.array([len(block.x)]),
-            np.array([True]), np.full((1, model.k, model.m), -np.inf), model, keep=False,
-        )
-        op = np.full((size, size), -np.inf)
-        op[0] = delta.ravel()
-        return op
+    def operator(blocks: list[Block], model: kernel.Model) -> np.ndarray:
+        return kernel.stretch_paths([b.x for b in blocks], blocks[0].first, model)
 
     @staticmethod
     def start(model: kernel.Model) -> np.ndarray:
@@ -80,28 +81,42 @@ class MaxPlus:
         top = out.max()
         return out - top if np.isfinite(top) else out
 
+    @staticmethod
+    def forward(block: Block, v: np.ndarray, model: kernel.Model) -> np.ndarray:
+        delta, _, _ = kernel.best_paths(
+            kernel.log_emission(block.x[None], model), np.array([len(block.x)]),
+            np.array([block.first]), v.reshape(1, model.k, model.m), model, keep=False,
+        )
+        return delta.ravel() - delta.max()
+
+    @staticmethod
+    def backward(block: Block, v: np.ndarray, model: kernel.Model) -> np.ndarray:
+        return kernel.backward_path(block.x, v.reshape(model.k, model.m), model).ravel()
+
 
 def seam_messages(
     chunks: Chunks, models: dict[int, kernel.Model], algebra: type
 ) -> DataFrame:
     """(model_id, subject_id, chunk, before, after) for every chunk of every cut sequence."""
-    rows = chunks.split()
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    group = F.floor(F.col("chunk") / GROUP).cast("bigint")
+    rows = chunks.split().select("subject_id", "chunk", "is_last", "x", group.alias("parent"))
+    shared = rows.sparkSession.sparkContext.broadcast(models)
     p = chunks.p
     keys = ["model_id", "subject_id"]
-    schema = "model_id int, subject_id bigint, chunk bigint, op array<double>"
+    map_schema = "model_id int, subject_id bigint, chunk bigint, op array<double>"
+    message = (
+        "model_id int, subject_id bigint, chunk bigint, before array<double>, after array<double>"
+    )
 
-    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block in blocks_of(batch, p):
-                for model_id, model in shared.value.items():
-                    with np.errstate(all="ignore"):
-                        op = algebra.operator(block, model)
-                    yield pd.DataFrame(
-                        {"model_id": [model_id], "subject_id": [block.subject],
-                         "chunk": [block.chunk], "op": [op.ravel()]}
-                    )
+    def group_maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        blocks = blocks_of(pdf, p)
+        with np.errstate(all="ignore"):
+            ops = [algebra.operator(blocks, m).ravel() for m in shared.value.values()]
+        return pd.DataFrame(
+            {"model_id": list(shared.value), "subject_id": blocks[0].subject,
+             "chunk": int(pdf["parent"].iloc[0]), "op": ops}
+        )
 
     def square(op: np.ndarray) -> np.ndarray:
         side = int(round(np.sqrt(len(op))))
@@ -138,12 +153,31 @@ def seam_messages(
                 after.append(algebra.push(after[-1], op.T))
         return pdf[["model_id", "subject_id", "chunk"]].assign(before=before, after=after[::-1])
 
-    levels = [materialize(rows.mapInPandas(maps, schema), "maps")]
+    def inside_group(data: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks_of(data.sort_values("chunk"), p)
+        parts = []
+        for row in given.itertuples(index=False):
+            model = shared.value[row.model_id]
+            before, after = [np.asarray(row.before)], [np.asarray(row.after)]
+            with np.errstate(all="ignore"):
+                for block in blocks[:-1]:
+                    before.append(algebra.forward(block, before[-1], model))
+                for block in reversed(blocks[1:]):
+                    after.append(algebra.backward(block, after[-1], model))
+            parts.append(
+                pd.DataFrame(
+                    {"model_id": row.model_id, "subject_id": [b.subject for b in blocks],
+                     "chunk": [b.chunk for b in blocks], "before": before, "after": after[::-1]}
+                )
+            )
+        return pd.concat(parts)
+
+    first = rows.groupBy("subject_id", "parent").applyInPandas(group_maps, map_schema)
+    levels = [materialize(first, "maps")]
     parent = F.floor(F.col("chunk") / FAN).cast("bigint")
     while levels[-1].agg(F.max("chunk")).first()[0]:
         grouped = levels[-1].withColumn("parent", parent).groupBy(*keys, "parent")
-        levels.append(materialize(grouped.applyInPandas(join_maps, schema), "maps"))
-    message = "model_id int, subject_id bigint, chunk bigint, before array<double>, after array<double>"
+        levels.append(materialize(grouped.applyInPandas(join_maps, map_schema), "maps"))
     messages = levels[-1].select(*keys, "chunk").mapInPandas(top, message)
     for level in reversed(levels[:-1]):
         children = level.withColumn("parent", parent).join(
@@ -152,7 +186,10 @@ def seam_messages(
         messages = materialize(
             children.groupBy(*keys, "parent").applyInPandas(push_down, message), "messages"
         )
-    return messages
+    by_group = messages.withColumnRenamed("chunk", "parent").groupBy("subject_id", "parent")
+    return (
+        rows.groupBy("subject_id", "parent").cogroup(by_group).applyInPandas(inside_group, message)
+    )
 
 
 def with_messages(

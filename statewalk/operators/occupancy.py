@@ -75,6 +75,26 @@ def group_occupancy_summary(
     )
 
 
+def occupancy_bars(
+    summary: DataFrame,
+    groups: tuple[str, str] = (config.REFERENCE_GROUP, config.TARGET_GROUP),
+) -> DataFrame:
+    """Mean and standard error per state with one pair of columns per group, as bar charts need
+    them; a (group, state) cell that occurs twice is an error."""
+    columns = []
+    for g in groups:
+        here = F.col("group") == g
+        once = F.count_if(here) == 1
+        for name in ("mean_percent", "se_percent"):
+            value = F.max(F.when(here, F.col(name)))
+            columns.append(
+                F.when(once, value)
+                .otherwise(F.raise_error(F.lit("a bar needs one row per group and state")))
+                .cast("double").alias(f"{g.lower()}_{name}")
+            )
+    return summary.groupBy("state").agg(*columns)
+
+
 def occupancy_permutation_test(
     occupancy: DataFrame,
     k: int,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from statewalk import config
 from statewalk.functions.labels import standardize_group
-from statewalk.functions.stats import adjusted_rand_index
+from statewalk.functions.stats import adjusted_rand_index, normalize_probability
 from statewalk.model import match, select
 from statewalk.model.chunks import Chunks, chunk_table
 from statewalk.model.decode import decoded_labels, decoded_rows
@@ -19,7 +20,9 @@ from statewalk.model.fit import fit_starts, fit_table, model_of
 from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
 from statewalk.plans import views
-from statewalk.session import materialize
+from statewalk.session import materialize, shared_dir
+from statewalk.sinks.tables import Output
+from statewalk.sources.tables import read_decoded, state_correlations
 
 K = views.EVENT_K
 SEQUENCE_WIDTH = config.DURATION_CAP
@@ -121,6 +124,28 @@ def _labeling_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjusted_rand_index(both, "state", "other")
 
 
+def _decoded_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded table after a trip through CSV with messy labels and fractional ids."""
+    messy = decoded(spark, sf_dir).select(
+        (F.col("subject_id") + 0.25).alias("subject_id"),
+        views.raw_group(F.col("subject_id")).alias("group"), "file", "timepoint",
+        (F.col("state") + 0.5).alias("state"),
+    )
+    path = f"{shared_dir(spark)}/decoded-csv-{uuid.uuid4().hex}"
+    messy.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+    return read_decoded(spark, path)
+
+
+def _normalized_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _occupancy(spark, sf_dir).select(
+        "subject_id", "state",
+        normalize_probability(F.col("n_state").cast("double"), ["subject_id"], 0.5)
+        .alias("probability"),
+    )
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -138,6 +163,11 @@ def sequence_queries() -> dict[str, Query]:
         "group_occupancy_summary": lambda s, d: occupancy.group_occupancy_summary(
             _occupancy(s, d)
         ),
+        "occupancy_bars": lambda s, d: occupancy.occupancy_bars(
+            occupancy.group_occupancy_summary(_occupancy(s, d))
+        ),
+        "normalized_occupancy": _normalized_occupancy,
+        "decoded_from_csv": _decoded_from_csv,
         "occupancy_permutation_test": lambda s, d: occupancy.occupancy_permutation_test(
             _occupancy(s, d), K
         ),
@@ -195,15 +225,29 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes_of(_correlation(spark, sf_dir))
 
 
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub(
+        spark, sf_dir, "louvain_memberships",
+        lambda: graph.louvain_memberships(_edges(spark, sf_dir), _nodes(spark, sf_dir)),
+    )
+
+
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hub(
-        spark, sf_dir, "louvain_agreement",
-        lambda: graph.agreement(
-            graph.louvain_memberships(_edges(spark, sf_dir), _nodes(spark, sf_dir))
-        ),
+        spark, sf_dir, "louvain_agreement", lambda: graph.agreement(_members(spark, sf_dir))
     )
 
 
+def _matrices_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State correlation matrices written as CSV and read back."""
+    folder = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    Output(spark, folder).matrices(
+        _correlation(spark, sf_dir), "r", "correlation_matrix", ROI_NAMES
+    )
+    matrix, source = state_correlations(spark, folder, views.EMBEDDING_K)
+    return matrix.withColumn("matrix_source", F.lit(source))
+
+
 def _zscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.zscore_by_subject(
         views.observed_series(spark, sf_dir), [f"x{i}" for i in range(1, 5)]
@@ -265,6 +309,8 @@ def matrix_queries() -> dict[str, Query]:
             _edges(s, d), _nodes(s, d)
         ).select("state", "node", "weighted_clustering"),
         "node_betweenness": lambda s, d: graph.node_betweenness(_edges(s, d), _nodes(s, d)),
+        "state_matrices_from_csv": _matrices_from_csv,
+        "louvain_memberships": _members,
         "consensus_agreement": _agreement,
         "consensus_communities": lambda s, d: graph.consensus_communities(
             _agreement(s, d), _nodes(s, d)
@@ -327,6 +373,17 @@ def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.best_fits(_fits(spark, sf_dir)).filter(F.col("k") == k)
 
 
+def _final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunk_table(spark, sf_dir)
+    final = _final(spark, sf_dir).select(
+        "k", F.col("start").alias("final_start"), F.col("seed").alias("final_seed"),
+        F.col("log_lik").alias("final_log_lik"),
+    )
+    return select.with_criteria(
+        final, "final_log_lik", chunks.p, min(HSMM_DURATION_CAP, chunks.longest), chunks.n_rows
+    )
+
+
 def _viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model_of(_final(spark, sf_dir).first())
     return decoded_rows(_chunk_table(spark, sf_dir), {0: model}).drop("model_id")
@@ -439,6 +496,7 @@ def model_queries() -> dict[str, Query]:
         "occupancy_correlation": _labeling_occupancy,
         "hsmm_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
         "hsmm_model_selection": _selection,
+        "hsmm_final_summary": _final_summary,
         "hsmm_parameters": _hsmm_parameters,
         "viterbi_decode": _viterbi,
         "hsmm_pairwise_stability": _hsmm_stability,

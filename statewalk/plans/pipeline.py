@@ -123,8 +123,8 @@ def state_stage(
     cov = out.table(model_covariances(final), "state_covariance")
     corr = out.table(matrices.covariance_to_correlation(cov), "state_correlation")
     means = model_means(final)
-    out.matrices(cov, "cov", "covariance_matrix", names, k)
-    out.matrices(corr, "r", "correlation_matrix", names, k)
+    out.matrices(cov, "cov", "covariance_matrix", names)
+    out.matrices(corr, "r", "correlation_matrix", names)
     out.report(matrices.state_summary(corr, means), "state_correlation_and_mean_signal_summary", 6)
     out.report(matrices.roi_names(means, names), "state_mean_signal_long")
     out.report(
@@ -142,7 +142,10 @@ def occupancy_stage(
     out.table(
         occupancy.wide_state_sequences(decoded, s.sequence_width), "viterbi_sequences_wide"
     )
-    out.report(occupancy.group_occupancy_summary(long), "group_occupancy_summary", 4)
+    summary = out.report(
+        occupancy.group_occupancy_summary(long), "group_occupancy_summary", 4
+    )
+    out.report(occupancy.occupancy_bars(summary), "occupancy_bars")
     out.report(
         occupancy.occupancy_permutation_test(long, k, s.occupancy_permutations),
         "state_occupancy_permutation_tests", 6,

@@ -54,19 +54,15 @@ class Output:
         return saved
 
     def matrices(
-        self, upper: DataFrame, value: str, prefix: str, names: Sequence[str], k: int
+        self, upper: DataFrame, value: str, name: str, names: Sequence[str]
     ) -> None:
-        """One p x p CSV per state, row names in the first column."""
-        wide = matrix_wide(upper, value, len(names))
+        """p x p CSV matrices, row names in the first column, one folder ``state=s`` per state."""
         label = F.get(F.array(*[F.lit(n) for n in names]), F.col("i") - 1)
-        for s in range(1, k + 1):
-            one = wide.filter(F.col("state") == s).orderBy("i").select(
-                label.alias("roi"),
-                *[F.col(f"roi_{j}").alias(n) for j, n in enumerate(names, 1)],
-            )
-            one.coalesce(1).write.mode(self.mode).option("header", True).csv(
-                self.path(f"{prefix}_state_{s}.csv")
-            )
+        wide = matrix_wide(upper, value, len(names)).repartition("state").sortWithinPartitions("i")
+        wide.select(
+            "state", label.alias("roi"),
+            *[F.col(f"roi_{j}").alias(n) for j, n in enumerate(names, 1)],
+        ).write.mode(self.mode).partitionBy("state").option("header", True).csv(self.path(name))
 
     def settings(self, values: Mapping[str, object], name: str) -> DataFrame:
         rows = [(k, str(v)) for k, v in values.items()]

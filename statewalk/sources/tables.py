@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -69,25 +70,31 @@ def model_means(fits: DataFrame) -> DataFrame:
     )
 
 
-def read_correlation_csv(spark: SparkSession, path: str, state: int) -> DataFrame | None:
-    """One state's matrix (row names in the first column) as (state, i, j, r), i <= j; None when
-    the file does not exist."""
+def _read_csv(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        raw = spark.read.option("header", True).csv(path)
+        return spark.read.option("header", True).csv(path)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
             return None
         raise
-    names = raw.columns[1:]
+
+
+def _long_matrix(raw: DataFrame) -> DataFrame:
+    """(state, i, j, r) for i <= j from wide rows with a ``state`` column and the row name first."""
+    label, *names = [c for c in raw.columns if c != "state"]
     order = F.array(*[F.lit(n) for n in names])
     long = raw.select(
-        F.array_position(order, F.col(f"`{raw.columns[0]}`")).cast("int").alias("i"),
+        F.col("state").cast("int").alias("state"),
+        F.array_position(order, F.col(f"`{label}`")).cast("int").alias("i"),
         F.posexplode(F.array(*[F.col(f"`{n}`").try_cast("double") for n in names])).alias("j", "r"),
-    ).select(F.lit(state).alias("state"), "i", (F.col("j") + 1).alias("j"), "r")
+    ).withColumn("j", F.col("j") + 1)
     bad = F.count_if((F.col("i") < 1) | F.col("r").isNull() | F.isnan("r"))
-    facts = long.agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    if facts["bad"] or facts["n"] != len(names) ** 2:
-        raise ValueError(f"state {state}: the matrix is not square and finite")
+    cells = F.count_distinct("i", "j")
+    wrong = long.groupBy("state").agg(bad.alias("bad"), cells.alias("n")).filter(
+        (F.col("bad") > 0) | (F.col("n") != len(names) ** 2)
+    ).first()
+    if wrong is not None:
+        raise ValueError(f"state {wrong['state']}: the matrix is not square and finite")
     return symmetrize(long, "r").withColumn(
         "r", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
             F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))
@@ -95,23 +102,36 @@ def read_correlation_csv(spark: SparkSession, path: str, state: int) -> DataFram
     )
 
 
+def read_correlation_csv(spark: SparkSession, path: str, state: int) -> DataFrame | None:
+    """One state's matrix file; None when it does not exist."""
+    raw = _read_csv(spark, path)
+    return None if raw is None else _long_matrix(raw.withColumn("state", F.lit(state)))
+
+
 def state_correlations(
     spark: SparkSession, folder: str, k: int, fallback: DataFrame | None = None
 ) -> tuple[DataFrame, str]:
-    """Correlations of all states from CSV files, or all of them from model covariances as soon as
-    one file is missing; the second value names the source that was used."""
-    parts = [
-        read_correlation_csv(spark, f"{folder}/correlation_matrix_state_{s}.csv", s)
-        for s in range(1, k + 1)
-    ]
-    if all(p is not None for p in parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        sizes = out.groupBy("state").agg(F.max("j").alias("p")).select("p").distinct().count()
-        if sizes != 1:
-            raise ValueError("state matrices differ in size")
-        return out, "csv"
+    """Correlations of all states from the folder ``correlation_matrix`` (or from single files
+    correlation_matrix_state_<s>.csv), or all of them from model covariances as soon as one state is
+    missing; the second value names the source that was used."""
+    whole = _read_csv(spark, f"{folder}/correlation_matrix")
+    if whole is not None:
+        matrix = _long_matrix(whole).filter(F.col("state") <= k)
+        if matrix.select("state").distinct().count() == k:
+            return matrix, "csv"
+    else:
+        parts = []
+        for s in range(1, k + 1):
+            part = read_correlation_csv(spark, f"{folder}/correlation_matrix_state_{s}.csv", s)
+            if part is None:
+                break
+            parts.append(part)
+        if len(parts) == k:
+            out = reduce(DataFrame.unionByName, parts)
+            sizes = out.groupBy("state").agg(F.max("j").alias("p")).select("p").distinct().count()
+            if sizes != 1:
+                raise ValueError("state matrices differ in size")
+            return out, "csv"
     if fallback is None:
         raise FileNotFoundError(f"state matrices are missing in {folder}")
     return covariance_to_correlation(fallback), "model_covariance"

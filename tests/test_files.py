@@ -94,7 +94,7 @@ def test_matrix_files_and_fallback(spark, tmp_path):
             for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
     corr = spark.createDataFrame(rows, "state int, i int, j int, r double")
     out = Output(spark, str(tmp_path))
-    out.matrices(corr, "r", "correlation_matrix", ["A", "B", "C"], 2)
+    out.matrices(corr, "r", "correlation_matrix", ["A", "B", "C"])
     back, source = tables.state_correlations(spark, str(tmp_path), 2)
     assert source == "csv"
     want = {(r["state"], r["i"], r["j"]): r["r"] for r in corr.collect()}
@@ -107,6 +107,20 @@ def test_matrix_files_and_fallback(spark, tmp_path):
     assert {(r["state"], r["i"], r["j"]): r["r"] for r in back.collect()} == pytest.approx(want)
 
 
+def test_single_matrix_files(spark, tmp_path):
+    for s, r in ((1, 0.25), (2, -1.5)):
+        (tmp_path / f"correlation_matrix_state_{s}.csv").write_text(
+            f'"","A","B"\n"A",1,{r}\n"B",{r},1\n'
+        )
+    matrix, source = tables.state_correlations(spark, str(tmp_path), 2)
+    assert source == "csv"
+    got = {(r["state"], r["i"], r["j"]): r["r"] for r in matrix.collect()}
+    assert got[1, 1, 2] == 0.25 and got[2, 1, 2] == -1.0 and got[2, 2, 2] == 1.0
+    (tmp_path / "correlation_matrix_state_2.csv").write_text('"","A","B"\n"A",1,x\n"B",0,1\n')
+    with pytest.raises(ValueError, match="state 2"):
+        tables.state_correlations(spark, str(tmp_path), 2)
+
+
 def test_pipeline(spark, study, tmp_path):
     df, names = workbooks.read_workbooks(spark, study)
     settings = pipeline.Settings(

@@ -85,6 +85,8 @@ SELECT subject_id, signal, round(sd, 6) FROM (
 SELECT state::BIGINT AS state, i, j, n, round(cov, 6) AS cov FROM cov"""
     q["state_correlation"] = _with(*base, CORR) + """
 SELECT state::BIGINT AS state, i, j, round(r, 6) AS r FROM corr"""
+    q["state_matrices_from_csv"] = _with(*base, CORR) + """
+SELECT state::BIGINT AS state, i, j, round(r, 6) AS r, 'csv' AS matrix_source FROM corr"""
     q["state_correlation_wide"] = _with(*base, CORR, """
 full_corr AS (SELECT state, i, j, r FROM corr UNION ALL SELECT state, j, i, r FROM corr WHERE i < j)""") + (
         "SELECT state::BIGINT AS state, i, "

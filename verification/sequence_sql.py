@@ -182,6 +182,20 @@ SELECT grp AS "group", state, count(*) AS n_participants,
        round(min(occupancy_percent), 6) AS minimum, round(max(occupancy_percent), 6) AS maximum
 FROM occupancy GROUP BY ALL"""
 
+    q["occupancy_bars"] = _with(DECODED, SUBJECTS, OCCUPANCY) + "SELECT state, " + ", ".join(
+        f"""round(avg(occupancy_percent) FILTER (WHERE grp = '{g}'), 6) AS {g.lower()}_mean_percent,
+ round(stddev_samp(occupancy_percent) FILTER (WHERE grp = '{g}')
+       / sqrt(count(*) FILTER (WHERE grp = '{g}')), 6) AS {g.lower()}_se_percent"""
+        for g in ("TD", "Dyslexia")
+    ) + " FROM occupancy GROUP BY state"
+
+    q["normalized_occupancy"] = _with(DECODED, SUBJECTS, OCCUPANCY) + """
+SELECT subject_id, state, round(greatest(n_state, 0.5::DOUBLE)
+         / sum(greatest(n_state, 0.5::DOUBLE)) OVER (PARTITION BY subject_id), 6) AS probability
+FROM occupancy"""
+
+    q["decoded_from_csv"] = q["decoded_sequences"]
+
     q["occupancy_permutation_test"] = _with(
         DECODED, SUBJECTS, OCCUPANCY,
         _permuted(occupancy_b, occupancy_seed, f"range(1, {K + 1})"), """

@@ -333,7 +333,12 @@ _chunks: dict[tuple[str, str], Chunks] = {}
 def _chunk_table(spark: SparkSession, sf_dir: str) -> Chunks:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _chunks:
-        _chunks[key] = chunk_table(_zscored(spark, sf_dir), HSMM_SIGNALS)
+        lengths = (
+            views.table(spark, sf_dir, "lineitem")
+            .groupBy(F.col("l_suppkey").alias("subject_id"))
+            .agg(F.count(F.lit(1)).alias("n_timepoints"))
+        )
+        _chunks[key] = chunk_table(_zscored(spark, sf_dir), HSMM_SIGNALS, lengths=lengths)
     return _chunks[key]
 
 

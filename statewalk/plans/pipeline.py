@@ -47,10 +47,11 @@ def model_stage(
 ) -> int:
     """Standardise, fit all starts, choose K by BIC, refit the chosen K with more starts, decode
     with the best fit and measure the stability of the starts. Returns the chosen K."""
-    out.report(validate.subject_information(observations), "subject_information")
+    observations = out.table(observations, "observations")
+    subjects = out.table(validate.subject_information(observations), "subject_information")
     scaled = matrices.zscore_by_subject(observations, list(signals))
     columns = ["z" + c.lstrip("x") for c in signals]
-    chunks = chunk_table(scaled, columns)
+    chunks = chunk_table(scaled, columns, lengths=subjects.select("subject_id", "n_timepoints"))
     m = min(s.duration_cap, chunks.longest)
 
     def fit(k_values: Sequence[int], starts: Sequence[int]) -> DataFrame:

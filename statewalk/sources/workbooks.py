@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from statewalk import config
 from statewalk.operators.ordering import ordered_index
+from statewalk.session import materialize
 
 SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 PART_SCHEMA = "path string, names array<string>, timepoint bigint, x array<double>"
@@ -138,7 +139,8 @@ def read_workbooks(
             raise FileNotFoundError(f"no .xlsx files found in {folder}")
         parts.append(part)
     files = parts[0].unionByName(parts[1])
-    rows = files.select("path", "content").mapInPandas(_parse, PART_SCHEMA)
+    # Written once: every workbook is decoded a single time, whatever is done with the rows.
+    rows = materialize(files.select("path", "content").mapInPandas(_parse, PART_SCHEMA), "workbooks")
     seen = rows.agg(F.min("names").alias("a"), F.max("names").alias("b")).first()
     if seen["a"] != seen["b"]:
         raise ValueError("variable names or their order differ across participants")

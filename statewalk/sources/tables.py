@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from statewalk.operators.matrices import covariance_to_correlation, symmetrize
 from statewalk.operators.validate import coerce_decoded
 
-DECODED_TEXT = "subject_id string, `group` string, file string, timepoint string, state string"
-
 
 def read_decoded(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Decoded sequences. CSV is read as text and coerced, so unusable fields become NULL and are

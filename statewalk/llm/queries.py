@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import quality, sql
+from statewalk.llm import license_scan, quality, secret_scan, sql
 from statewalk.llm.common import table
 
 
@@ -17,9 +17,51 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("license")
+    joined = lambda c: F.array_join(c, ",")
+    return scanned.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        F.size(found["base"]).cast("long").alias("n_base"),
+        F.array_min(F.transform(found["base"], lambda x: x["start"])).alias("first_word"),
+        F.array_max(F.transform(found["base"], lambda x: x["start"])).alias("last_word"),
+        joined(found["base_labels"]).alias("base_labels"),
+        joined(found["labels"]).alias("labels"),
+        found["score"].alias("score"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_scan.RULES
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=rules)
+    spans = F.col("secrets")
+    names = F.array(*[F.lit(r.kind) for r in rules])
+    base = [i for i, r in enumerate(rules) if r.base]
+
+    def of(kinds):
+        return F.filter(spans, lambda x: x["kind"].isin(kinds))
+
+    def digest(rows):
+        return F.array_join(
+            F.transform(rows, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))),
+            ",",
+        )
+
+    return scanned.select(
+        "doc_id",
+        *[F.size(of([i])).cast("long").alias(f"n_{rules[i].kind}") for i in base],
+        F.sha2(digest(of(base)), 256).alias("base_sha256"),
+        digest(spans).alias("spans"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_rules": op8_quality_rules,
+        "op9_license_scan": op9_license_scan,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 

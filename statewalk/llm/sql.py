@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewalk.llm import quality
+from statewalk.llm import license_scan, quality, secret_scan
 
 
 def _quoted(value: str) -> str:
@@ -51,5 +51,71 @@ def quality_sql(rules: quality.LineRules = quality.LineRules()) -> str:
     FROM base"""
 
 
+def license_sql() -> str:
+    rules = ", ".join(
+        f"({_quoted(r.label)}, {_quoted(r.keyword)}, {_quoted(r.pattern)}, {r.priority})"
+        for r in license_scan.default_rules()
+    )
+    base = ", ".join(f"({_quoted(p)}, {_quoted(label)})" for p, label in license_scan.BASE)
+    levels = " ".join(f"WHEN {k} THEN {v}" for k, v in license_scan.CERTAINTY.items())
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '{license_scan.SEPARATOR}'), lambda x: x <> '') AS w FROM documents),
+    words AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM docs),
+    ahead AS (SELECT r, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2
+              FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+    base AS (SELECT r, i, label FROM ahead JOIN (VALUES {base}) b(phrase, label)
+             ON phrase = w || ' ' || w1 OR phrase = w || ' ' || w1 || ' ' || w2),
+    per_base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+                        list(DISTINCT label) AS labels FROM base GROUP BY r),
+    norm AS (SELECT r, CASE WHEN len(w) = 0 THEN '' ELSE ' ' || array_to_string(w, '  ') || ' ' END AS t FROM docs),
+    hits AS (SELECT r, label, priority, rank, unnest(m) AS m, generate_subscripts(m, 1) AS k, g
+             FROM (SELECT r, label, priority, row_number() OVER () AS rank, regexp_extract_all(t, pattern) AS m,
+                          regexp_split_to_array(t, pattern) AS g
+                   FROM norm JOIN (VALUES {rules}) v(label, keyword, pattern, priority)
+                   ON contains(t, ' ' || keyword || ' ')) WHERE len(m) > 0),
+    units AS (SELECT r, label, priority, rank, k, (length(m) - length(replace(m, ' ', ''))) // 2 AS n,
+                     (length(g[k]) - length(replace(g[k], ' ', ''))) // 2 AS gap FROM hits),
+    spans AS (SELECT r, label, priority, s, s + n AS e FROM (SELECT *, (sum(gap) OVER o + sum(n) OVER o - n)::BIGINT AS s
+              FROM units WINDOW o AS (PARTITION BY r, rank ORDER BY k))),
+    kept AS (SELECT DISTINCT r, label, priority FROM spans a WHERE NOT EXISTS (
+                SELECT 1 FROM spans b WHERE b.r = a.r AND b.s <= a.s AND b.e >= a.e AND b.priority >= a.priority
+                AND (b.s < a.s OR b.e > a.e OR b.priority > a.priority OR b.label < a.label))),
+    per_kept AS (SELECT r, list(DISTINCT label) AS labels, max(CASE priority {levels} END) AS score FROM kept GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(k.labels, [])))), ',') AS labels,
+           greatest(coalesce(score, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+    FROM docs LEFT JOIN per_base b USING (r) LEFT JOIN per_kept k USING (r)"""
+
+
+def secret_sql() -> str:
+    parts = []
+    for i, r in enumerate(secret_scan.RULES):
+        parts.append(f"""SELECT r, {i} AS kind, '{r.kind}' AS name, {str(r.base).lower()} AS base, {r.least} AS least,
+            regexp_extract_all(t, {_quoted(r.pattern)}) AS m, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) AS p,
+            regexp_split_to_array(t, {_quoted(r.pattern)}) AS g FROM docs""")
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    hits AS (SELECT r, kind, name, base, least, unnest(m) AS m, unnest(p) AS p, generate_subscripts(m, 1) AS k, g
+             FROM ({" UNION ALL ".join(parts)})),
+    placed AS (SELECT *, (sum(length(g[k])) OVER o + sum(length(m)) OVER o - length(m))::BIGINT AS s
+               FROM hits WINDOW o AS (PARTITION BY r, kind ORDER BY k)),
+    spans AS (SELECT r, kind, name, base, s, name || ':' || s || ':' || (s + length(m)) AS span FROM placed
+              WHERE length(p) >= least),
+    per_doc AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+                       count(*) FILTER (WHERE kind = 2) AS n_hex,
+                       string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE base) AS base_spans,
+                       string_agg(span, ',' ORDER BY s, kind) AS spans FROM spans GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN per_doc USING (r)"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op8_quality_rules": quality_sql()}
+    return {
+        "op8_quality_rules": quality_sql(),
+        "op9_license_scan": license_sql(),
+        "op10_secret_scan": secret_sql(),
+    }

@@ -4,12 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import license_scan, quality, secret_scan, sql
+from statewalk.llm import bpe, license_scan, packing, quality, secret_scan, sql, url_rules
 from statewalk.llm.common import table
 
+WORD_BPE = "word_bpe_49k.json"
+# Fixed values of the contract: rules and the end id of packed documents.
+URL_RULES = [
+    url_rules.Rule("allow", "com", "/"),
+    url_rules.Rule("block", "example.com", "/en/"),
+    url_rules.Rule("allow", "www.example.com", "/en/"),
+    url_rules.Rule("block", "net", "/es/"),
+    url_rules.Rule("block", "net", "/fr/"),
+]
+PACK_END = 2
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path(WORD_BPE), PACK_END)
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path(WORD_BPE), keep_text=False).drop("text")
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -59,6 +86,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_packing": op5_packing,
+        "op6_url_filters": op6_url_filters,
+        "op7_bpe": op7_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_license_scan": op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
@@ -66,4 +96,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle() -> dict[str, str]:
-    return sql.oracle()
+    return sql.oracle(URL_RULES)

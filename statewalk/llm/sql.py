@@ -113,8 +113,23 @@ def secret_sql() -> str:
     FROM docs LEFT JOIN per_doc USING (r)"""
 
 
-def oracle() -> dict[str, str]:
+def url_sql(rules) -> str:
+    listed = ", ".join(f"({_quoted(r.verdict)}, {_quoted(r.host)}, {_quoted(r.path)})" for r in rules)
+    return f"""
+    WITH parts AS (SELECT page_id, row_number() OVER () AS r,
+                     CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    urls AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    fits AS (SELECT r, max_by(v.host || v.path, length(v.host || v.path)) AS rule,
+                    max_by(verdict, length(v.host || v.path)) AS verdict
+             FROM urls u JOIN (VALUES {listed}) v(verdict, host, path)
+             ON (u.host = v.host OR ends_with(u.host, '.' || v.host)) AND starts_with(u.path, v.path) GROUP BY r)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (r)"""
+
+
+def oracle(url_rules=()) -> dict[str, str]:
     return {
+        "op6_url_filters": url_sql(url_rules),
         "op8_quality_rules": quality_sql(),
         "op9_license_scan": license_sql(),
         "op10_secret_scan": secret_sql(),

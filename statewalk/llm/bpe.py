@@ -30,21 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statewalk.llm.encoders import byte_symbols
+
 CACHE = 1_000_000
 #: Texts of these characters only are unchanged by NFC, and their white space is that of str.split.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ĩĲ-ſ]*")
 
 
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte: itself where printable, else the next free code point."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {b: chr(b) for b in plain}
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + len(out) - len(plain))
-    return [out[b] for b in range(256)]
-
-
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
@@ -148,12 +140,12 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep_text: bool
     ids_sha256 and decoded_sha256; without the two large columns where ``keep_text`` is false."""
     made = ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"][0 if keep_text else 2 :]
     kept = [c for c in df.columns if c.lower() not in made]
-    types = {"ids": "binary", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    types = {"ids": "binary", "n_tokens": "long"}
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_source_text"))
     plain = source.drop("_source_text").schema
     schema = plain
     for c in made:
-        schema = schema.add(c, {"binary": "binary", "string": "string", "bigint": "bigint"}[types[c]])
+        schema = schema.add(c, types.get(c, "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(path)

@@ -152,10 +152,10 @@ def pack(
     )
     schema = source.select("key").schema
     for name in ("start", "length"):
-        schema = schema.add(name, "bigint")
+        schema = schema.add(name, "long")
     schema = schema.add("ids", "binary")
     for name in ("doc_tokens", "sequence_id", "offset"):
-        schema = schema.add(name, "bigint")
+        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)

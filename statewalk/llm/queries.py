@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import bpe, license_scan, packing, quality, secret_scan, sql, url_rules
+from statewalk.llm import bpe, license_scan, packing, quality, secret_scan, set_join, sql, url_rules
 from statewalk.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ URL_RULES = [
 PACK_END = 2
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = set_join.link_classes(table(spark, sf_dir, "documents"), join=set_join.SetJoin(3, 90))
+    return classes.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path(WORD_BPE), PACK_END)
@@ -86,6 +91,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op5_packing": op5_packing,
         "op6_url_filters": op6_url_filters,
         "op7_bpe": op7_bpe,

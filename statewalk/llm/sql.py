@@ -113,6 +113,25 @@ def secret_sql() -> str:
     FROM docs LEFT JOIN per_doc USING (r)"""
 
 
+def jaccard_sql(n: int = 3, percent: int = 90) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array({lower}, '[\x20\x09-\x0D]+'),
+                                                       lambda x: x <> '') AS w FROM documents),
+    grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {n - 1}], ' ') AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+               GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+              WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reached AS (SELECT doc_id, doc_id AS other FROM documents
+                UNION SELECT r.doc_id, b.b FROM reached r JOIN arcs b ON r.other = b.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
 def url_sql(rules) -> str:
     listed = ", ".join(f"({_quoted(r.verdict)}, {_quoted(r.host)}, {_quoted(r.path)})" for r in rules)
     return f"""
@@ -129,6 +148,7 @@ def url_sql(rules) -> str:
 
 def oracle(url_rules=()) -> dict[str, str]:
     return {
+        "op1_ngram_jaccard": jaccard_sql(),
         "op6_url_filters": url_sql(url_rules),
         "op8_quality_rules": quality_sql(),
         "op9_license_scan": license_sql(),

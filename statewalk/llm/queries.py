@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import bpe, license_scan, packing, quality, secret_scan, set_join, sql, url_rules
+from statewalk.llm import bpe, license_scan, packing, quality, secret_scan, set_join, sql, toxicity, url_rules
 from statewalk.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +21,7 @@ URL_RULES = [
     url_rules.Rule("block", "net", "/fr/"),
 ]
 PACK_END = 2
+TOXIC = 0.3
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,16 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    score = F.col("toxicity.score")
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"),
+        (score >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path(WORD_BPE), PACK_END)
@@ -92,6 +103,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op3_toxicity": op3_toxicity,
         "op5_packing": op5_packing,
         "op6_url_filters": op6_url_filters,
         "op7_bpe": op7_bpe,

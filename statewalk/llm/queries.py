@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import bpe, license_scan, packing, quality, secret_scan, set_join, sql, toxicity, url_rules
+from statewalk.llm import bpe, license_scan, near_vectors, packing, quality, secret_scan, set_join, sql, toxicity, url_rules
 from statewalk.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -39,6 +39,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("key", "vec_id").withColumnRenamed("component", "component_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path(WORD_BPE), PACK_END)
@@ -104,6 +109,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_toxicity": op3_toxicity,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_packing": op5_packing,
         "op6_url_filters": op6_url_filters,
         "op7_bpe": op7_bpe,

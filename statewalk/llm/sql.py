@@ -132,6 +132,21 @@ def jaccard_sql(n: int = 3, percent: int = 90) -> str:
     FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
 
 
+def vectors_sql(cosine: float = 0.98) -> str:
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+             AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+              AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
+    reached AS (SELECT vec_id, vec_id AS other FROM v
+                UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+    comps AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+    counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM comps LEFT JOIN counts USING (vec_id)"""
+
+
 def url_sql(rules) -> str:
     listed = ", ".join(f"({_quoted(r.verdict)}, {_quoted(r.host)}, {_quoted(r.path)})" for r in rules)
     return f"""
@@ -149,6 +164,7 @@ def url_sql(rules) -> str:
 def oracle(url_rules=()) -> dict[str, str]:
     return {
         "op1_ngram_jaccard": jaccard_sql(),
+        "op4_embedding_near_dedup": vectors_sql(),
         "op6_url_filters": url_sql(url_rules),
         "op8_quality_rules": quality_sql(),
         "op9_license_scan": license_sql(),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import bpe, license_scan, near_vectors, packing, quality, secret_scan, set_join, sql, toxicity, url_rules
+from statewalk.llm import bpe, license_scan, near_vectors, packing, quality, secret_scan, set_join, sql, token_store, toxicity, url_rules
 from statewalk.llm.common import table
+from statewalk.session import shared_dir
 
+BYTE_BPE = "byte_bpe_50k.json"
+STORE_END = 0
 WORD_BPE = "word_bpe_49k.json"
 # Fixed values of the contract: rules and the end id of packed documents.
 URL_RULES = [
@@ -29,6 +33,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), STORE_END)
+    return token_store.read_store(spark, path).withColumnRenamed("key", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
@@ -108,6 +118,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_token_store": op2_token_store,
         "op3_toxicity": op3_toxicity,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_packing": op5_packing,

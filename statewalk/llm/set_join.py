@@ -3,17 +3,16 @@
 A document's words are lower-cased (A-Z); its set holds the hashes of its distinct n-grams. Documents
 with equal sets are one node. Nodes link when ``100 * intersection >= percent * union``.
 
-1. Groups: nodes that share a min-hash are compared with a few pivots of their bucket; links that
-   hold make components, and these are the groups of similar documents.
+1. Groups: nodes with the same min-hash, so similar ones as a rule, make groups of bounded size.
 2. Matrix: every node gives the first tokens of its set in a global order (tokens known to be
    frequent last, then by hash). Two sets that link share at least ``least_shared`` of these, so
    the matrix needs them only: one row per token and group, the union over the group's members.
-3. Bound: a query's tokens are looked up in the matrix. A group other than its own whose union
-   holds fewer of them than any partner must is never opened.
-4. Groups that qualify are opened: the query is compared with the members of a fitting size.
+3. Bound: two groups whose unions share fewer of them than any of their pairs must is never opened.
+   Where they share enough, each set is bounded by its overlap with the other group's whole union.
+4. Only sets that pass are compared with the members, by posting lists inside the task.
 
-Links inside a group that need no opening are implied by the group's links to its pivots: no pair within
-a group is listed. Frequent tokens only decide the order, so every set of them gives the same links.
+A task holds two groups and returns a spanning forest of the links it finds, so no pair within a crowd of
+near copies is listed. Frequent tokens only decide the order: every set of them gives the same links.
 Hashes have 64 bits: two different sets of a corpus of a billion documents share one with
 probability of about 3 %, and only then would be taken as equal.
 
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,13 +38,12 @@ from statewalk.llm.common import fresh
 from statewalk.llm.graph import components
 from statewalk.session import materialize
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 FREQUENT_TOKENS = 2_000_000
-#: Tokens below this part of the hash range are counted; short documents count all of theirs.
-COUNTED = 0.15
-SHORT = 64
-ROUNDS = 3
-PIVOTS = 2
+FREQUENT = 20
+#: Nodes per group, and partner groups that meet a group in one task.
+GROUP = 512
+PARTNERS = 16
 
 
 @dataclass(frozen=True)
@@ -65,6 +64,10 @@ class SetJoin:
     def first(self, size: int) -> int:
         return min(size, size - self.needed(size) + self.least_shared(size))
 
+    def counted(self, size: int) -> int:
+        """Tokens whose frequency is looked at, so that frequent ones can give way to later ones."""
+        return 2 * self.first(size) + 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -100,25 +103,23 @@ def _longs(values: list[np.ndarray]) -> pa.Array:
 
 
 def describe(docs: DataFrame, join: SetJoin) -> DataFrame:
-    """(key, node, size, mins, low) of the documents with a set; ``docs`` has key and text. mins are
-    min-hashes, low the tokens that are counted."""
-    schema = docs.select("key").schema.add("node", "long").add("size", "long")
-    schema = schema.add("mins", T.ArrayType(T.LongType())).add("low", T.ArrayType(T.LongType()))
-    limit = np.uint64(int(COUNTED * 2**64))
+    """(key, node, size, least, low) of the documents; ``docs`` has key and text. least is a
+    min-hash, low the tokens that are counted."""
+    schema = docs.select("key").schema.add("node", "long").add("size", "long").add("least", "long")
+    schema = schema.add("low", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, mins, low = [], [], [], []
+            nodes, sizes, least, low = [], [], [], []
             for text in batch.column(1):
                 t = tokens_of(text.as_py(), join.n)
                 nodes.append(node_of(t) if len(t) else None)
                 sizes.append(len(t))
-                rounds = [mix(t ^ np.uint64(0x2545F4914F6CDD1D * (r + 1) % 2**64)).min() for r in range(ROUNDS)] if len(t) else []
-                mins.append(np.array(rounds, np.uint64))
-                low.append(t if len(t) < SHORT else t[: np.searchsorted(t, limit)])
+                least.append(int(mix(t ^ np.uint64(0x2545F4914F6CDD1D)).min().astype(np.int64)) if len(t) else None)
+                low.append(t[: join.counted(len(t))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _longs(mins), _longs(low)],
-                names=["key", "node", "size", "mins", "low"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), _longs(low)],
+                names=["key", "node", "size", "least", "low"],
             )
 
     return docs.select("key", "text").mapInArrow(run, schema)
@@ -144,44 +145,49 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: SetJoin) -> DataFrame:
     return materialize(found.join(_few(wanted.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, join: SetJoin) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= join.percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def _fits(a: str, b: str, join: SetJoin):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * join.percent
-
-
-def _pivot_pairs(nodes: DataFrame, join: SetJoin) -> DataFrame:
-    """Pairs of nodes with pivots of their min-hash buckets: those with most copies, then any."""
-    spread = nodes.select("node", "size", "copies", F.posexplode("mins").alias("round", "bucket"))
-    pivots = spread.groupBy("round", "bucket").agg(
-        F.max(F.struct("copies", F.col("node").alias("pivot"), F.col("size").alias("pivot_size"))).alias("p0"),
-        *[
-            F.min(
-                F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("pivot"), F.col("size").alias("pivot_size"))
-            ).alias(f"p{k}")
-            for k in range(1, PIVOTS)
-        ],
-        F.min("node").alias("one"), F.max("node").alias("other"),
-    ).where("one <> other")
-    chosen = F.array(*[F.struct(F.col(f"p{k}.pivot").alias("pivot"), F.col(f"p{k}.pivot_size").alias("pivot_size")) for k in range(PIVOTS)])
-    pivots = pivots.select("round", "bucket", chosen.alias("pivots"))
-    met = spread.join(pivots, ["round", "bucket"]).select("node", "size", F.explode(F.array_distinct("pivots")).alias("p"))
-    met = met.where((F.col("node") != F.col("p.pivot")) & _fits("size", "p.pivot_size", join))
-    return met.select(F.col("node").alias("a"), F.col("p.pivot").alias("b")).distinct()
+def _compare(pdf: pd.DataFrame, join: SetJoin) -> pd.DataFrame:
+    """Spanning forest of the links between a group (side 0) and partner groups (side 1)."""
+    asked, group = (pdf[pdf["side"] == x] for x in (0, 1))
+    sets = [np.asarray(x, np.int64) for x in group["tokens"]]
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    member = np.repeat(np.arange(len(sets)), sizes)[order]
+    union, starts = np.unique(flat[order], return_index=True)
+    ends = np.append(starts[1:], len(flat))
+    names = group["node"].to_numpy()
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for node, tokens in zip(asked["node"], asked["tokens"], strict=True):
+        q = np.asarray(tokens, np.int64)
+        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+        at = at[union[at] == q]
+        if len(at) < join.needed(len(q)):
+            continue  # the union cannot hold a partner
+        length = ends[at] - starts[at]
+        rows = np.repeat(starts[at] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        shared = np.bincount(member[rows], minlength=len(sets))
+        hit = shared * 100 >= join.percent * (len(q) + sizes - shared)
+        for other in names[hit].tolist():
+            a, b = root(node), root(other)
+            if a != b:
+                parent[a] = b
+                edges.append((node, other))
+    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
 
 def _frequent(described: DataFrame) -> np.ndarray:
     """Sorted frequent tokens, at most FREQUENT_TOKENS: the order needs no particular set of them."""
-    counted = described.select(F.explode("low").alias("token")).groupBy("token").count().where("count > 50")
+    counted = described.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
     counted = materialize(counted, "token-counts")
-    least = 50
+    least = FREQUENT
     while counted.where(F.col("count") > least).count() > FREQUENT_TOKENS:
         least *= 2
     # Bounded by FREQUENT_TOKENS (16 MB), whatever the corpus.
@@ -217,10 +223,19 @@ def _first_tokens(docs: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataF
     return docs.select("text").mapInArrow(run, "token long, node long")
 
 
-def _shared_by_two(rows: DataFrame, what: str) -> DataFrame:
-    """Tokens that occur with two different values of ``what`` at least."""
-    both = rows.groupBy("token").agg(F.min(what).alias("one"), F.max(what).alias("other"))
-    return both.where("one <> other").select("token")
+def _group_pairs(rows: DataFrame, join: SetJoin) -> DataFrame:
+    """(one, two): pairs of groups, and groups with themselves, whose members can hold links.
+    ``rows`` has token, node, size and group."""
+    # The fewest tokens that a set of this size shares with a partner, whose size may be a little less.
+    size = F.col("size") * join.percent / 100
+    least = F.when(F.ceil(F.floor(size) * join.percent / 100) >= 12, 3).otherwise(1)
+    matrix = rows.groupBy("token", "group").agg(F.count("*").alias("members"), F.min(least).alias("least"))
+    matrix = materialize(matrix, "token-group-matrix")
+    left = matrix.select("token", F.col("group").alias("one"), F.col("least").alias("l1"), "members")
+    right = matrix.select("token", F.col("group").alias("two"), F.col("least").alias("l2"))
+    met = left.join(right, "token").where("one < two OR one = two AND members > 1")
+    bound = met.groupBy("one", "two").agg(F.count("*").alias("shared"), F.min(F.least("l1", "l2")).alias("least"))
+    return bound.where("shared >= least").select("one", "two")
 
 
 def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJoin = SetJoin()) -> DataFrame:
@@ -230,42 +245,38 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: S
     described = materialize(describe(docs, join), "described")
     nodes = materialize(
         described.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("key").alias("key"), F.first("size").alias("size"), F.count("*").alias("copies"), F.first("mins").alias("mins")
+            F.min("key").alias("key"), F.first("size").alias("size"), F.first("least").alias("least")
         ),
         "nodes",
     )
-
-    # Groups: links to pivots.
-    pairs = materialize(_pivot_pairs(nodes, join), "pivot-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes.join(ends, "node", "left_semi").select("key", "node"), join)
-    links = materialize(_linked(pairs, sets, join), "links")
-    grouped = components(links)
-
-    # Matrix, bound and opening.
-    first = _first_tokens(docs, _frequent(described), join)
-    first = materialize(first.join(_shared_by_two(first, "node"), "token").distinct(), "first-tokens")
-    group = F.coalesce("component", "node").alias("group")
-    member = materialize(nodes.join(grouped, "node", "left").select("node", "key", "size", group), "members")
-    rows = first.join(member.select("node", "size", "group"), "node")
-    rows = materialize(rows.join(_shared_by_two(rows, "group"), "token"), "query-tokens")
-    matrix = rows.select("token", F.col("group").alias("other")).distinct()
-    least = F.when(F.ceil(F.floor(F.col("size") * join.percent / 100) * join.percent / 100) >= 12, 3).otherwise(1)
-    bounded = rows.join(matrix, "token").where("group <> other").groupBy("node", "size", "other").agg(F.count("*").alias("n"))
-    opened = materialize(bounded.where(F.col("n") >= least).select("node", "size", "other"), "opened")
-    inside = member.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("other"))
-    pairs = opened.join(inside, "other").where(_fits("size", "size_b", join)).select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
+    crowds = nodes.groupBy("least").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    group = F.xxhash64("least", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).alias("group")
+    members = materialize(nodes.join(crowds, "least").select("node", "key", "size", group), "members")
+
+    first = materialize(_first_tokens(docs, _frequent(described), join), "first-tokens")
+    both = first.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
+    shared = materialize(both.select("token"), "shared-tokens")
+    rows = first.join(_few(shared), "token").distinct().join(members.select("node", "size", "group"), "node")
+    rows = materialize(rows, "rows")
+    pairs = materialize(_group_pairs(rows, join), "group-pairs")
+
+    # Members without a shared token cannot link; the others' sets meet by pair of groups.
+    dealt = pairs.groupBy("one").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(dealt, "one").select("one", "two", F.pmod(F.xxhash64("two"), F.col("parts")).alias("part"))
+    dealt = materialize(dealt, "dealt")
+    sides = dealt.select("one", "part", F.col("one").alias("group"), F.lit(0).alias("side")).distinct().union(
+        dealt.select("one", "part", F.col("two").alias("group"), F.lit(1).alias("side"))
     )
-    pairs = materialize(pairs.distinct(), "opened-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, member.join(ends, "node", "left_semi").select("key", "node"), join)
-    links = links.union(_linked(pairs, sets, join))
-
+    open_ = rows.select("node", "group").distinct().join(sides.select("group").distinct(), "group", "left_semi")
+    open_ = materialize(open_, "open")
+    sets = _sets(docs, members.join(_few(open_.select("node")), "node", "left_semi").select("key", "node"), join)
+    loaded = sides.join(open_, "group").join(sets, "node").select("one", "part", "side", "node", "tokens")
+    links = loaded.groupBy("one", "part").applyInPandas(lambda pdf: _compare(pdf, join), "a long, b long")
     found = components(links)
-    owner = member.join(found, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class"))
+
+    owner = members.join(found, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class"))
     smallest = owner.groupBy("class").agg(F.min("key").alias("component"))
-    owner = materialize(owner.select("node", "class").join(smallest, "class").select("node", "component"), "owners")
+    owner = materialize(owner.join(smallest, "class").select("node", "component"), "owners")
     out = described.select("key", F.col("size").alias("n_shingles"), "node").join(owner, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
     return out.select("key", "n_shingles", "node", component.alias("component"))

@@ -20,6 +20,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: a generator of one row keeps the optimiser
+    from copying the expression into filters, later columns or lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import fresh, let, lower_ascii
+from statewalk.llm.common import computed, fresh, let, lower_ascii
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -188,7 +188,7 @@ def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = Non
     rules = default_rules() if rules is None else rules
     df = df.drop("license")
     norm = fresh(df, "_norm")
-    wide = df.withColumn(norm, normalized(F.col(f"`{text}`")))
+    wide = computed(df, norm, normalized(F.col(f"`{text}`")))
     n = F.col(norm)
     spans = "array<struct<start:bigint,end:bigint>>"
     phrase = spaced("|".join(p for p, _ in BASE))
@@ -208,8 +208,8 @@ def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = Non
     score = F.lit(0.0)
     for level, value in CERTAINTY.items():
         score = F.when(best == level, F.lit(value)).otherwise(score)
-    wide = wide.withColumn(
-        "license",
+    wide = computed(
+        wide, "license",
         F.struct(
             ((F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit("")))) / 2).cast("long").alias("n_words"),
             base.alias("base"), base_labels.alias("base_labels"), found.alias("found"),

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import SPACES, fresh, let
+from statewalk.llm.common import SPACES, computed, fresh, let
 
 # Fixed values of the base measures.
 SYMBOLS = "#*$%&|<>"
@@ -134,7 +134,7 @@ def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) ->
     df = df.drop("quality")
     words, lines = fresh(df, "_words"), fresh(df, "_lines")
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    wide = df.withColumn(words, word_list(raw)).withColumn(lines, F.split(raw, "\n"))
+    wide = computed(computed(df, words, word_list(raw)), lines, F.split(raw, "\n"))
     has_word = lambda x: F.length(F.translate(x, SPACES, "")) > 0
 
     def measured(kept_lines: Column) -> Column:
@@ -153,12 +153,13 @@ def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) ->
         )
 
     good = F.filter(F.col(lines), lambda x: ~(has_word(x) & line_fails(x, rules)))
-    wide = wide.withColumn("quality", let(good, measured))
-    q = F.col("quality")
-    failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * REPEAT_PERCENT)
-    stays = ~failed & (q["kept_words"] * 100 > q["n_words"] * rules.kept_percent)
-    wide = wide.withColumn("quality", q.withField("base_failed", failed).withField("kept", stays))
-    return wide.drop(words, lines)
+
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * REPEAT_PERCENT)
+        stays = ~failed & (q["kept_words"] * 100 > q["n_words"] * rules.kept_percent)
+        return q.withField("base_failed", failed).withField("kept", stays)
+
+    return computed(wide, "quality", let(let(good, measured), judged)).drop(words, lines)
 
 
 def clean(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:

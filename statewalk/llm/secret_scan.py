@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import fresh, let, lower_ascii
+from statewalk.llm.common import computed, fresh, let, lower_ascii
 
 BLOCK = 4096
 
@@ -280,7 +280,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
             open_ = F.array_contains(F.col(kinds), rule.kind) | F.col(f"`{key}`").isNull()
             spans = F.when(open_, spans).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
         each.append(spans)
-    return wide.withColumn("secrets", F.array_sort(F.concat(*each))).drop(kinds)
+    return computed(wide, "secrets", F.array_sort(F.concat(*each))).drop(kinds)
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[redacted]") -> DataFrame:

@@ -302,7 +302,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJo
             nodes = pa.array([node_of(t) if len(t) else None for t in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, node])
 
-    named_rows = source.mapInArrow(run, source.schema.add(node, "long"))
+    named_rows = source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(node, T.LongType())]))
     gone = marked.where("NOT stays").select(F.col("key").alias("gone_key"), F.col("node").alias("gone_node")).distinct()
     gone = materialize(gone, "gone")
     on = F.col(k).eqNullSafe(F.col("gone_key")) & (F.col(node) == F.col("gone_node"))

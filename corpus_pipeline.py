@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewalk.llm import packing, quality, secret_scan, set_join, toxicity
-from statewalk.llm.common import table
+from statewalk.llm.common import fresh, table
 from statewalk.session import shared_dir
 
 TOXIC = 0.3
@@ -38,8 +38,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxicity.score") < TOXIC).select(*[f"`{c}`" for c in docs.columns])
+    into = fresh(docs, "_toxicity")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), into=into)
+    return scored.where(F.col(into)["score"] < TOXIC).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret of their texts masked."""
-    out = secret_scan.redact(secret_scan.scan(docs))
+    into = fresh(docs, "_secrets")
+    out = secret_scan.redact(secret_scan.scan(docs, into=into), spans=into)
     return _measured(out.select(*[f"`{c}`" for c in docs.columns]))
 
 

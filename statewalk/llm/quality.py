@@ -127,11 +127,11 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return decorated | shouting | menu | boiler
 
 
-def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """``df`` with a struct column ``quality``: n_words, word_chars, n_symbols, n_dup_lines,
+def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), into: str = "quality") -> DataFrame:
+    """``df`` with a struct column ``into``: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), n_failed_lines (long), kept_words (long), base_failed, kept (boolean) and
-    clean_text, the text without its failing lines. A column called quality gives way."""
-    df = df.drop("quality")
+    clean_text, the text without its failing lines. A column of that name gives way."""
+    df = df.drop(into)
     words, lines = fresh(df, "_words"), fresh(df, "_lines")
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     wide = computed(computed(df, words, word_list(raw)), lines, F.split(raw, "\n"))
@@ -159,10 +159,11 @@ def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) ->
         stays = ~failed & (q["kept_words"] * 100 > q["n_words"] * rules.kept_percent)
         return q.withField("base_failed", failed).withField("kept", stays)
 
-    return computed(wide, "quality", let(let(good, measured), judged)).drop(words, lines)
+    return computed(wide, into, let(let(good, measured), judged)).drop(words, lines)
 
 
 def clean(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Documents that stay, with their cleaned text; the columns of ``df``."""
-    judged = assess(df, text, rules).where("quality.kept")
-    return judged.withColumn(text, F.col("quality.clean_text")).select(*[f"`{c}`" for c in df.columns])
+    into = fresh(df, "_quality")
+    judged = assess(df, text, rules, into).where(F.col(into)["kept"])
+    return judged.withColumn(text, F.col(into)["clean_text"]).select(*[f"`{c}`" for c in df.columns])

@@ -263,10 +263,12 @@ def _at_least(rule: Rule) -> str:
     return rule.pattern
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with an array column ``secrets`` of (start, kind, end), sorted by start and then by
+def scan(
+    df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "secrets"
+) -> DataFrame:
+    """``df`` with an array column ``into`` of (start, kind, end), sorted by start and then by
     kind; kind is a place in ``rules``, places count code points, ends are exclusive."""
-    df = df.drop("secrets")
+    df = df.drop(into)
     wanted = sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
     found = candidates(index(df, key, text, wanted), rules)
     kinds, other = fresh(df, "_kinds"), fresh(df, "_key")
@@ -280,14 +282,14 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
             open_ = F.array_contains(F.col(kinds), rule.kind) | F.col(f"`{key}`").isNull()
             spans = F.when(open_, spans).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
         each.append(spans)
-    return computed(wide, "secrets", F.array_sort(F.concat(*each))).drop(kinds)
+    return computed(wide, into, F.array_sort(F.concat(*each))).drop(kinds)
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[redacted]") -> DataFrame:
-    """``df`` (with ``secrets``) with every span of the text replaced by ``mark``; overlapping and
+def redact(df: DataFrame, text: str = "text", mark: str = "[redacted]", spans: str = "secrets") -> DataFrame:
+    """``df`` (with a column of spans) with every span of the text replaced by ``mark``; overlapping and
     touching spans become one mark."""
     raw = F.col(f"`{text}`")
-    spans = F.col("secrets")
+    spans = F.col(spans)
 
     def pieces(chars: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))

@@ -43,7 +43,7 @@ FREQUENT_TOKENS = 2_000_000
 FREQUENT = 20
 #: Nodes per group, and partner groups that meet a group in one task.
 GROUP = 512
-PARTNERS = 16
+PARTNERS = 32
 
 
 @dataclass(frozen=True)
@@ -223,19 +223,16 @@ def _first_tokens(docs: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataF
     return docs.select("text").mapInArrow(run, "token long, node long")
 
 
-def _group_pairs(rows: DataFrame, join: SetJoin) -> DataFrame:
-    """(one, two): pairs of groups, and groups with themselves, whose members can hold links.
-    ``rows`` has token, node, size and group."""
+def _qualified(rows: DataFrame, join: SetJoin) -> DataFrame:
+    """(node, group, other): nodes and the groups (their own included) that can hold partners of
+    theirs, by the overlap of the node's tokens with the group's union. ``rows`` has token, node, size, group."""
     # The fewest tokens that a set of this size shares with a partner, whose size may be a little less.
     size = F.col("size") * join.percent / 100
     least = F.when(F.ceil(F.floor(size) * join.percent / 100) >= 12, 3).otherwise(1)
-    matrix = rows.groupBy("token", "group").agg(F.count("*").alias("members"), F.min(least).alias("least"))
-    matrix = materialize(matrix, "token-group-matrix")
-    left = matrix.select("token", F.col("group").alias("one"), F.col("least").alias("l1"), "members")
-    right = matrix.select("token", F.col("group").alias("two"), F.col("least").alias("l2"))
-    met = left.join(right, "token").where("one < two OR one = two AND members > 1")
-    bound = met.groupBy("one", "two").agg(F.count("*").alias("shared"), F.min(F.least("l1", "l2")).alias("least"))
-    return bound.where("shared >= least").select("one", "two")
+    matrix = rows.groupBy("token", F.col("group").alias("other")).agg(F.count("*").alias("members"))
+    met = rows.join(matrix, "token").where("group <> other OR members > 1")
+    bound = met.groupBy("node", "size", "group", "other").agg(F.count("*").alias("shared"))
+    return bound.where(F.col("shared") >= least).select("node", "group", "other")
 
 
 def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJoin = SetJoin()) -> DataFrame:
@@ -258,19 +255,23 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: S
     shared = materialize(both.select("token"), "shared-tokens")
     rows = first.join(_few(shared), "token").distinct().join(members.select("node", "size", "group"), "node")
     rows = materialize(rows, "rows")
-    pairs = materialize(_group_pairs(rows, join), "group-pairs")
+    asked = materialize(_qualified(rows, join), "qualified")
 
-    # Members without a shared token cannot link; the others' sets meet by pair of groups.
+    # A pair of groups is opened where members of both qualify, and only these members meet.
+    sides = asked.select(
+        F.least("group", "other").alias("one"), F.greatest("group", "other").alias("two"), "node",
+        (F.col("group") > F.col("other")).cast("int").alias("side"),
+    )
+    pairs = sides.groupBy("one", "two").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("one = two OR a < b")
     dealt = pairs.groupBy("one").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
     dealt = pairs.join(dealt, "one").select("one", "two", F.pmod(F.xxhash64("two"), F.col("parts")).alias("part"))
-    dealt = materialize(dealt, "dealt")
-    sides = dealt.select("one", "part", F.col("one").alias("group"), F.lit(0).alias("side")).distinct().union(
-        dealt.select("one", "part", F.col("two").alias("group"), F.lit(1).alias("side"))
-    )
-    open_ = rows.select("node", "group").distinct().join(sides.select("group").distinct(), "group", "left_semi")
-    open_ = materialize(open_, "open")
-    sets = _sets(docs, members.join(_few(open_.select("node")), "node", "left_semi").select("key", "node"), join)
-    loaded = sides.join(open_, "group").join(sets, "node").select("one", "part", "side", "node", "tokens")
+    met = sides.join(dealt, ["one", "two"])
+    # Within one group every member is on both sides.
+    side = F.explode(F.when(F.col("one") == F.col("two"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("side"))).alias("side")
+    met = materialize(met.select("one", "part", "node", side).distinct(), "met")
+    wanted = materialize(met.select("node").distinct(), "met-nodes")
+    sets = _sets(docs, members.join(_few(wanted), "node", "left_semi").select("key", "node"), join)
+    loaded = met.join(sets, "node")
     links = loaded.groupBy("one", "part").applyInPandas(lambda pdf: _compare(pdf, join), "a long, b long")
     found = components(links)
 

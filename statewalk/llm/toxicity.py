@@ -268,16 +268,16 @@ def _calibrate(index: Index, examples: list[tuple], labelled: DataFrame, setting
     index.rates = rates
 
 
-def score(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """``df`` with a struct column ``toxicity``: score, neighbours (keys as text) and cosines."""
-    df = df.drop("toxicity")
+def score(df: DataFrame, index: Index, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """``df`` with a struct column ``into``: score, neighbours (keys as text) and cosines."""
+    df = df.drop(into)
     shared = df.sparkSession.sparkContext.broadcast(index)
     source = fresh(df, "_text")
     result = T.StructType([
         T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.StringType())),
         T.StructField("cosines", T.ArrayType(T.DoubleType())),
     ])
-    schema = T.StructType([*df.schema.fields, T.StructField("toxicity", result)])
+    schema = T.StructType([*df.schema.fields, T.StructField(into, result)])
     arrow = pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.string())), ("cosines", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +300,9 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``toxicity``, learnt from ``labels`` (doc_id, toxic) that
+def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), into: str = "toxicity") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the struct column ``into``, learnt from ``labels`` (doc_id, toxic) that
     are not held out."""
     labelled = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))
     corpus = docs.select(F.col("doc_id").alias("key"), "text")
-    return score(docs, learn(corpus, labelled, settings))
+    return score(docs, learn(corpus, labelled, settings), into=into)

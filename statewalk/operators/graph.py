@@ -210,6 +210,18 @@ def agreement(memberships: DataFrame) -> DataFrame:
     )
 
 
+def thresholded_agreement(
+    agreements: DataFrame, threshold: float = config.CONSENSUS_THRESHOLD
+) -> DataFrame:
+    """Full symmetric matrix of the shares that reach the threshold; 0 below it and on the diagonal."""
+    kept = F.when(F.col("agreement") >= threshold, F.col("agreement")).otherwise(0.0)
+    cells = F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    off = agreements.select("state", F.explode(cells).alias("c"), kept.alias("agreement"))
+    off = off.select("state", "c.i", "c.j", "agreement")
+    diagonal = off.select("state", "i", F.col("i").alias("j"), F.lit(0.0).alias("agreement")).distinct()
+    return off.union(diagonal)
+
+
 def consensus_communities(
     agreements: DataFrame,
     nodes: DataFrame,
@@ -241,31 +253,6 @@ def consensus_communities(
     return nodes.join(found, ["state", "node"], "left")
 
 
-def layout_coordinates(
-    edges: DataFrame, nodes: DataFrame, common: bool = False, seed: int = config.LAYOUT_SEED
-) -> DataFrame:
-    """Plot coordinates per state, or one set from the mean network of all states."""
-    if common:
-        states = nodes.select("state").distinct()
-        n_states = states.agg(F.count(F.lit(1))).scalar()
-        mean = edges.groupBy("i", "j").agg(F.sum("w").alias("s")).select(
-            F.lit(0).alias("state"), "i", "j", (F.col("s") / n_states).alias("w")
-        )
-        edges, nodes = mean, nodes.select(F.lit(0).alias("state"), "node").distinct()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = int(pdf["state"].iloc[0])
-        rng = np.random.Generator(np.random.PCG64(seed + state))
-        at = kernels.spring_layout(_matrix(pdf, 0.0), rng)
-        return pd.DataFrame(
-            {"state": state, "node": np.arange(1, len(at) + 1), "x": at[:, 0], "y": at[:, 1]}
-        )
-
-    return _per_state(edges, nodes).groupBy("state").applyInPandas(
-        solve, "state int, node int, x double, y double"
-    )
-
-
 def density_edges(
     edges: DataFrame, nodes: DataFrame, proportions: Sequence[float] = config.EDGE_PROPORTIONS
 ) -> DataFrame:

@@ -89,19 +89,3 @@ def louvain(a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         graph = hot.T @ graph @ hot
     first = {}
     return np.array([first.setdefault(c, len(first) + 1) for c in member])
-
-
-def spring_layout(a: np.ndarray, rng: np.random.Generator, steps: int = 1000) -> np.ndarray:
-    """Force-directed coordinates: attraction along weighted edges, repulsion between all nodes."""
-    n = len(a)
-    at = rng.uniform(-1, 1, (n, 2)) * np.sqrt(n)
-    heat = np.sqrt(n)
-    for step in range(steps):
-        delta = at[:, None, :] - at[None, :, :]
-        dist = np.sqrt((delta**2).sum(axis=2)) + 1e-9
-        push = delta / dist[..., None] ** 2
-        pull = delta * (a * dist)[..., None]
-        move = push.sum(axis=1) - pull.sum(axis=1)
-        size = np.sqrt((move**2).sum(axis=1, keepdims=True)) + 1e-12
-        at = at + move / size * np.minimum(size, heat * (1 - step / steps))
-    return at

@@ -183,8 +183,18 @@ def state_similarity(cov: DataFrame, means: DataFrame, value: str = "cov") -> Da
     )
 
 
+def check_names(df: DataFrame, names: Sequence[str], column: str = "i") -> None:
+    """Raise unless the distinct names are as many as the largest index of ``df`` (if it has rows)."""
+    size = df.agg(F.max(column)).first()[0]
+    if len(set(names)) != len(names):
+        raise ValueError("names are not distinct")
+    if size is not None and int(size) != len(names):
+        raise ValueError(f"{len(names)} names for a matrix of size {size}")
+
+
 def roi_names(df: DataFrame, names: Sequence[str], column: str = "i", out: str = "roi") -> DataFrame:
-    """Attach ROI names to an index column."""
+    """Attach ROI names to an index column; there must be one name per index."""
+    check_names(df, names, column)
     lookup = F.array(*[F.lit(n) for n in names])
     return df.withColumn(out, F.get(lookup, F.col(column) - 1))
 

@@ -60,7 +60,7 @@ def spread(df: DataFrame, replicates: int, n_rows: int) -> DataFrame:
     work = n_rows * replicates
     parts = min(cores, -(-work // MIN_ROWS_PER_TASK))
     waves = -(-work // (ROWS_PER_TASK * cores))
-    return df.repartition(max(1, parts * min(waves, 64)), "subject_id")
+    return df.repartition(max(1, parts * waves), "subject_id")
 
 
 def _replicated(df: DataFrame, replicates: int, per_replicate: DataFrame) -> DataFrame:

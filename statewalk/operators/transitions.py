@@ -276,5 +276,8 @@ def transition_comparison(
     )
 
 
-def large_differences(tested: DataFrame) -> DataFrame:
-    return tested.filter(F.col("large_descriptive_difference"))
+def large_differences(tested: DataFrame, least: float | None = None) -> DataFrame:
+    """Cells whose difference is large: as the test marks it, or ``least`` and more."""
+    if least is None:
+        return tested.filter(F.col("large_descriptive_difference"))
+    return tested.filter(F.abs("difference") >= least)

@@ -19,7 +19,7 @@ from statewalk.model.fit import fit_starts, fit_table, model_of
 from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
 from statewalk.plans import views
-from statewalk.session import materialize, shared_dir
+from statewalk.session import fingerprint, materialize, shared_dir
 from statewalk.sinks.tables import Output
 from statewalk.sources.tables import read_decoded, state_correlations
 
@@ -27,7 +27,7 @@ K = views.EVENT_K
 SEQUENCE_WIDTH = config.DURATION_CAP
 DIGITS = 6
 
-_hubs: dict[tuple[str, str, str], str] = {}
+_hubs: dict[tuple, str] = {}
 
 
 def presentable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -44,9 +44,9 @@ def presentable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def hub(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Hub tables are written once per application and shared by the queries that start from
-    them, as the pipeline's stages share the decoded table."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Hub tables are written once per application and state of the data folder, and shared by the
+    queries that start from them, as the pipeline's stages share the decoded table."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir), name)
     if key not in _hubs:
         df = materialize(build(), name)
         _hubs[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
@@ -192,6 +192,13 @@ def sequence_queries() -> dict[str, Query]:
         "large_transition_differences": lambda s, d: transitions.large_differences(
             transitions.transition_permutation_test(_counts(s, d), K)
         ),
+        "transition_differences_from_half_percent": lambda s, d: transitions.large_differences(
+            transitions.transition_permutation_test(_counts(s, d), K), 0.005
+        ),
+        "ordered_transition_comparison": lambda s, d: transitions.transition_comparison(
+            transitions.transition_permutation_test(_counts(s, d), K),
+            transitions.transition_bootstrap(_counts(s, d), K),
+        ),
         "transition_bootstrap_ci": lambda s, d: transitions.transition_bootstrap(
             _counts(s, d), K
         ),
@@ -314,23 +321,25 @@ def matrix_queries() -> dict[str, Query]:
         "consensus_communities": lambda s, d: graph.consensus_communities(
             _agreement(s, d), _nodes(s, d)
         ),
-        "network_layout": lambda s, d: graph.layout_coordinates(_edges(s, d), _nodes(s, d)),
     }
 
 
 CRITERIA_SIGNALS = 20
 VIEW_SIGNALS = 16
+# Settings of the hsmm_em10 queries, which run a fixed number of EM iterations; a fit that has not
+# converged by then is not eligible. Converged fits come from plans/pipeline.py (config's settings).
 HSMM_K = (2, 3)
 HSMM_STARTS = (1, 2)
 HSMM_DURATION_CAP = 20
-HSMM_MAX_ITERATIONS = 40
+HSMM_ITERATIONS = 10
+HSMM_STATUS = "valid"
 HSMM_SIGNALS = ("z1", "z2", "z3", "z4")
 
-_chunks: dict[tuple[str, str], Chunks] = {}
+_chunks: dict[tuple, Chunks] = {}
 
 
 def _chunk_table(spark: SparkSession, sf_dir: str) -> Chunks:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir))
     if key not in _chunks:
         lengths = (
             views.table(spark, sf_dir, "lineitem")
@@ -342,16 +351,14 @@ def _chunk_table(spark: SparkSession, sf_dir: str) -> Chunks:
 
 
 def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All starts of all candidate K. The stopping tolerance grows with the number of rows because
-    a log-likelihood is a sum over rows."""
+    """All starts of all candidate K after HSMM_ITERATIONS iterations (fewer if converged)."""
 
     def build() -> DataFrame:
         chunks = _chunk_table(spark, sf_dir)
         fits = fit_starts(
-            chunks, planned_starts(HSMM_K, HSMM_STARTS), HSMM_DURATION_CAP, HSMM_MAX_ITERATIONS,
-            tolerance=2e-3 * chunks.n_rows,
+            chunks, planned_starts(HSMM_K, HSMM_STARTS), HSMM_DURATION_CAP, HSMM_ITERATIONS
         )
-        return fit_table(spark, fits, HSMM_MAX_ITERATIONS)
+        return fit_table(spark, fits, HSMM_ITERATIONS)
 
     return hub(spark, sf_dir, "hsmm_fits", build)
 
@@ -359,14 +366,15 @@ def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunk_table(spark, sf_dir)
     return select.model_selection(
-        _fits(spark, sf_dir), chunks.p, min(HSMM_DURATION_CAP, chunks.longest), chunks.n_rows
+        _fits(spark, sf_dir), chunks.p, min(HSMM_DURATION_CAP, chunks.longest), chunks.n_rows,
+        HSMM_STATUS,
     )
 
 
 def _selected_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, int]:
-    """Eligible fits of the selected K numbered as runs, their models and K."""
+    """Valid fits of the selected K numbered as runs, their models and K."""
     k = select.selected_k(_selection(spark, sf_dir))
-    kept = select.usable(_fits(spark, sf_dir)).filter(F.col("k") == k).withColumn(
+    kept = select.usable(_fits(spark, sf_dir), HSMM_STATUS).filter(F.col("k") == k).withColumn(
         "run", F.row_number().over(Window.partitionBy("k").orderBy("start"))
     )
     return kept, {r["run"]: model_of(r) for r in kept.collect()}, k
@@ -374,7 +382,7 @@ def _selected_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, i
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = select.selected_k(_selection(spark, sf_dir))
-    return select.best_fits(_fits(spark, sf_dir)).filter(F.col("k") == k)
+    return select.best_fits(_fits(spark, sf_dir), HSMM_STATUS).filter(F.col("k") == k)
 
 
 def _final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,13 +506,13 @@ def model_queries() -> dict[str, Query]:
         "stability_metric_summary": lambda s, d: match.stability_summary(_matched(s, d), metrics),
         "pair_agreement": lambda s, d: match.pair_agreement(_labelings(s, d), [1, 2, 3]),
         "occupancy_correlation": _labeling_occupancy,
-        "hsmm_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
-        "hsmm_model_selection": _selection,
-        "hsmm_final_summary": _final_summary,
-        "hsmm_parameters": _hsmm_parameters,
+        "hsmm_em10_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
+        "hsmm_em10_model_selection": _selection,
+        "hsmm_em10_final_summary": _final_summary,
+        "hsmm_em10_parameters": _hsmm_parameters,
         "viterbi_decode": _viterbi,
-        "hsmm_pairwise_stability": _hsmm_stability,
-        "hsmm_state_similarity": _hsmm_within,
+        "hsmm_em10_pairwise_stability": _hsmm_stability,
+        "hsmm_em10_state_similarity": _hsmm_within,
     }
 
 

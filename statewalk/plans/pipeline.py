@@ -78,7 +78,7 @@ def model_stage(
     out.report(kept.drop("model", "log_lik_trace"), "random_starts_selected_k")
     eligible = select.usable(kept).orderBy("start").collect()
     if len(eligible) < 2:
-        raise ValueError("fewer than two eligible solutions were obtained for the selected K")
+        raise ValueError("stability needs two converged starts of the chosen K")
     final = out.table(select.best_fits(kept), "final_model")
     out.report(
         select.with_criteria(
@@ -202,7 +202,8 @@ def topology_stage(
     members = out.table(
         graph.louvain_memberships(edges, nodes, s.louvain_repetitions), "louvain_memberships"
     )
-    agreed = out.table(graph.agreement(members), "consensus_agreement")
+    agreed = out.table(graph.agreement(members), "consensus_agreement_raw")
+    out.table(graph.thresholded_agreement(agreed), "consensus_agreement")
     primary, additional, node_table = graph.topology_tables(matrix, agreements=agreed)
     out.report(primary, "state_topology_primary_metrics", 6)
     out.report(additional, "state_topology_additional_metrics", 6)
@@ -212,7 +213,6 @@ def topology_stage(
         "thresholded_edges", ["percent"],
     )
     out.report(graph.density_summary(kept, edges), "threshold_summary")
-    out.table(graph.layout_coordinates(edges, nodes), "network_layout")
     out.settings({"matrix_source": source, **asdict(s)}, "topology_settings")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,38 @@ def local_session(cpus: int | str = "*", app: str = "statewalk", **conf: str) ->
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: a driver may be started from any
+    folder, and executors have no other way to it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="package-"), os.path.basename(root) + ".zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
+def fingerprint(spark: SparkSession, folder: str) -> int:
+    """Changes when a file of a data folder (two levels deep) is added, removed or rewritten."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for pattern in ("/*", "/*/*"):
+        for f in files.globStatus(hadoop(folder + pattern)) or ():
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names, or a fresh one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

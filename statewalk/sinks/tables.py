@@ -12,7 +12,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.operators.matrices import matrix_wide
+from statewalk.operators.matrices import check_names, matrix_wide
 
 
 class Output:
@@ -57,6 +57,7 @@ class Output:
         self, upper: DataFrame, value: str, name: str, names: Sequence[str]
     ) -> None:
         """p x p CSV matrices, row names in the first column, one folder ``state=s`` per state."""
+        check_names(upper, names, "j")
         label = F.get(F.array(*[F.lit(n) for n in names]), F.col("i") - 1)
         wide = matrix_wide(upper, value, len(names)).repartition("state").sortWithinPartitions("i")
         wide.select(

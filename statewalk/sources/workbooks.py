@@ -76,15 +76,15 @@ def read_workbook(content: bytes, label: str) -> tuple[list[str], np.ndarray]:
                 values = [cells.get(c) for c in range(len(names))]
                 bad = [names[c] for c, v in enumerate(values) if isinstance(v, str)]
                 if bad:
-                    raise ValueError(f"non-numeric column(s) in {label}: {', '.join(bad)}")
+                    raise ValueError(f"{label}: not numbers in {', '.join(bad)}")
                 rows.append([np.nan if v is None else v for v in values])
     x = np.array(rows, dtype=float).reshape(len(rows), len(names))
     if len(x) < 2:
-        raise ValueError(f"too few time points in {label}")
+        raise ValueError(f"{label}: needs two rows of values or more")
     if x.shape[1] < 2:
-        raise ValueError(f"too few variables in {label}")
+        raise ValueError(f"{label}: needs two columns or more")
     if not np.isfinite(x).all():
-        raise ValueError(f"missing or non-finite values in {label}")
+        raise ValueError(f"{label}: holds empty or infinite cells")
     return names, x
 
 
@@ -143,7 +143,7 @@ def read_workbooks(
     rows = materialize(files.select("path", "content").mapInPandas(_parse, PART_SCHEMA), "workbooks")
     seen = rows.agg(F.min("names").alias("a"), F.max("names").alias("b")).first()
     if seen["a"] != seen["b"]:
-        raise ValueError("variable names or their order differ across participants")
+        raise ValueError("workbooks disagree on their column names")
     names = list(seen["a"])
     numbered = _numbered_files(files.select("path", "group"), hot_rows)
     observations = rows.join(numbered, "path").select(

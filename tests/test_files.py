@@ -58,8 +58,8 @@ def test_workbooks(spark, study, hot_rows):
 def test_workbook_errors(spark, study, tmp_path):
     good = [[1.0, 2.0], [2.0, 1.0], [0.5, 0.1]]
     cases = {
-        "non-numeric": dict(x=good, text_at=(1, 0)), "non-finite": dict(x=[[1.0, np.nan]] + good),
-        "time points": dict(x=good[:1]),
+        "not numbers": dict(x=good, text_at=(1, 0)), "infinite": dict(x=[[1.0, np.nan]] + good),
+        "two rows": dict(x=good[:1]),
     }
     for message, case in cases.items():
         path = tmp_path / "one.xlsx"
@@ -68,7 +68,7 @@ def test_workbook_errors(spark, study, tmp_path):
             workbooks.read_workbook(path.read_bytes(), "one.xlsx")
     write_workbook(os.path.join(study, "data", "Patients", "z.xlsx"), ["A", "X", "C"],
                    np.random.default_rng(0).normal(size=(5, 3)).tolist())
-    with pytest.raises(ValueError, match="differ"):
+    with pytest.raises(ValueError, match="disagree"):
         workbooks.read_workbooks(spark, study)
 
 

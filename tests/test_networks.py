@@ -131,7 +131,16 @@ def test_zscore_guard(spark):
         matrices.zscore_by_subject(df, ["x1", "x2"]).collect()
 
 
-def test_layout(net):
-    edges, nodes = net
-    assert graph.layout_coordinates(edges, nodes).count() == 4
-    assert graph.layout_coordinates(edges, nodes, common=True).count() == 4
+def test_thresholded_agreement(spark):
+    df = spark.createDataFrame([(1, 1, 2, 0.5), (1, 1, 3, 0.49), (1, 2, 3, 1.0)], "state int, i int, j int, agreement double")
+    got = {(r["i"], r["j"]): r["agreement"] for r in graph.thresholded_agreement(df).collect()}
+    want = {(1, 2): 0.5, (1, 3): 0.0, (2, 3): 1.0}
+    assert got == want | {(j, i): v for (i, j), v in want.items()} | {(i, i): 0.0 for i in (1, 2, 3)}
+
+
+def test_names_must_fit_the_matrix(spark):
+    df = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.2)], "state int, i int, mean double")
+    assert matrices.roi_names(df, ["a", "b"]).count() == 2
+    for names in (["a"], ["a", "b", "c"], ["a", "a"]):
+        with pytest.raises(ValueError, match="names"):
+            matrices.roi_names(df, names)

@@ -388,6 +388,7 @@ SELECT from_state, to_state, c_td::BIGINT AS td_count, round(p_td, 6) AS td_prob
 FROM adjusted"""
     q["transition_permutation_test"] = tested + columns
     q["large_transition_differences"] = tested + columns + " WHERE abs(diff) >= 0.075"
+    q["transition_differences_from_half_percent"] = tested + columns + " WHERE abs(diff) >= 0.005"
 
     positions = f"""
 numbered_subjects AS (
@@ -449,4 +450,7 @@ parts AS (
          (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM cells GROUP BY other)) AS b,
          (SELECT sum(n) * (sum(n) - 1) / 2 FROM cells) AS t)""") + """
 SELECT round((c - a * b / t) / (0.5 * (a + b) - a * b / t), 6) AS ari FROM parts"""
+    q["ordered_transition_comparison"] = f"""
+SELECT * FROM ({q["transition_permutation_test"]}) t
+LEFT JOIN ({q["transition_bootstrap_ci"]}) b USING (from_state, to_state)"""
     return q

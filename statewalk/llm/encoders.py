@@ -40,6 +40,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.cache: dict[bytes, bytes | bool] = {}
+        self.known: dict[str, bytes] = {}  # words, which pieces with other punctuation share
         self.symbols = byte_symbols()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -84,17 +85,23 @@ class Encoder:
             text = piece.decode("utf-8").lower()
         ids = False
         if PLAIN.fullmatch(text):
-            tokenize = self.tokenizer.model.tokenize
-            out = []
-            for word in self.words.findall(text):
-                symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-                out += [t.id for t in tokenize(symbols)]
-            ids = np.array(out, self.dtype).tobytes()
+            ids = b"".join(map(self._word, self.words.findall(text)))
         if len(self.cache) < CACHE:
             self.cache[piece] = ids
         return ids
 
 
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
+            size = int(self.dtype[-1])
+            ids = b"".join(t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(symbols))
+            if len(self.known) < CACHE:
+                self.known[word] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""

@@ -287,7 +287,7 @@ def scan(
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[redacted]", spans: str = "secrets") -> DataFrame:
     """``df`` (with a column of spans) with every span of the text replaced by ``mark``; overlapping and
-    touching spans become one mark."""
+    touching spans become one mark, a null text stays null."""
     raw = F.col(f"`{text}`")
     spans = F.col(spans)
 

@@ -66,7 +66,7 @@ class SetJoin:
 
     def counted(self, size: int) -> int:
         """Tokens whose frequency is looked at, so that frequent ones can give way to later ones."""
-        return 2 * self.first(size) + 32
+        return self.first(size) * 3 // 2 + 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,17 +96,22 @@ def node_of(tokens: np.ndarray) -> int:
         return int(mix(np.array([first * np.uint64(3) + second], np.uint64))[0].astype(np.int64))
 
 
-def _longs(values: list[np.ndarray]) -> pa.Array:
+def _lists(values: list[np.ndarray], kind: type) -> pa.Array:
     sizes = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(values).view(kind) if values else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
+
+
+def short(tokens: np.ndarray) -> np.ndarray:
+    """The upper half of a token's bits: enough to count by, as any set of frequent tokens will do."""
+    return (tokens >> np.uint64(32)).astype(np.uint32)
 
 
 def describe(docs: DataFrame, join: SetJoin) -> DataFrame:
     """(key, node, size, least, low) of the documents; ``docs`` has key and text. least is a
     min-hash, low the tokens that are counted."""
     schema = docs.select("key").schema.add("node", "long").add("size", "long").add("least", "long")
-    schema = schema.add("low", T.ArrayType(T.LongType()))
+    schema = schema.add("low", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +121,9 @@ def describe(docs: DataFrame, join: SetJoin) -> DataFrame:
                 nodes.append(node_of(t) if len(t) else None)
                 sizes.append(len(t))
                 least.append(int(mix(t ^ np.uint64(0x2545F4914F6CDD1D)).min().astype(np.int64)) if len(t) else None)
-                low.append(t[: join.counted(len(t))])
+                low.append(short(t[: join.counted(len(t))]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), _longs(low)],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), _lists(low, np.int32)],
                 names=["key", "node", "size", "least", "low"],
             )
 
@@ -139,7 +144,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: SetJoin) -> DataFrame:
         for batch in batches:
             sets = [tokens_of(t.as_py(), join.n) for t in batch.column(0)]
             nodes = [node_of(t) if len(t) else None for t in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _longs(sets)], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets, np.int64)], names=["node", "tokens"])
 
     found = texts.select("text").mapInArrow(run, "node long, tokens array<long>")
     return materialize(found.join(_few(wanted.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -184,15 +189,15 @@ def _compare(pdf: pd.DataFrame, join: SetJoin) -> pd.DataFrame:
 
 
 def _frequent(described: DataFrame) -> np.ndarray:
-    """Sorted frequent tokens, at most FREQUENT_TOKENS: the order needs no particular set of them."""
+    """Sorted frequent tokens (their upper halves), at most FREQUENT_TOKENS: the order needs no particular set of them."""
     counted = described.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
     counted = materialize(counted, "token-counts")
     least = FREQUENT
     while counted.where(F.col("count") > least).count() > FREQUENT_TOKENS:
         least *= 2
-    # Bounded by FREQUENT_TOKENS (16 MB), whatever the corpus.
+    # Bounded by FREQUENT_TOKENS (8 MB), whatever the corpus.
     rows = counted.where(F.col("count") > least).select("token").toPandas()["token"].to_numpy()
-    return np.sort(rows.astype(np.int64).view(np.uint64))
+    return np.sort(rows.astype(np.int32).view(np.uint32))
 
 
 def _first_tokens(docs: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataFrame:
@@ -209,7 +214,8 @@ def _first_tokens(docs: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataF
                     continue
                 k = join.first(len(t))
                 if len(late):
-                    known = late[np.minimum(np.searchsorted(late, t), len(late) - 1)] == t
+                    half = short(t)
+                    known = late[np.minimum(np.searchsorted(late, half), len(late) - 1)] == half
                     first = np.concatenate([t[~known], t[known]])[:k]
                 else:
                     first = t[:k]
@@ -267,8 +273,8 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: S
     dealt = pairs.join(dealt, "one").select("one", "two", F.pmod(F.xxhash64("two"), F.col("parts")).alias("part"))
     met = sides.join(dealt, ["one", "two"])
     # Within one group every member is on both sides.
-    side = F.explode(F.when(F.col("one") == F.col("two"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("side"))).alias("side")
-    met = materialize(met.select("one", "part", "node", side).distinct(), "met")
+    inside = met.where("one = two").select("one", "part", "node", F.lit(1).alias("side"))
+    met = materialize(met.select("one", "part", "node", "side").union(inside).distinct(), "met")
     wanted = materialize(met.select("node").distinct(), "met-nodes")
     sets = _sets(docs, members.join(_few(wanted), "node", "left_semi").select("key", "node"), join)
     loaded = met.join(sets, "node")

@@ -182,17 +182,22 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
             )
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = coder.encode(batch.column(4)[i].as_py() or "") + end
+            first = 0  # rows of the batch before this one are in ``parts`` already
+            shard = batch.column(0)[0].as_py() if batch.num_rows else shard
+            for i, text in enumerate(batch.column(4).to_pylist()):
+                row = coder.encode(text or "") + end
                 if ids and (len(ids) == SEGMENT_DOCS or total + len(row) // width > SEGMENT_IDS):
+                    if i > first:
+                        parts.append(batch.slice(first, i - first))
+                    first = i
                     yield segment()
                     done, total = done + 1, 0
                     parts.clear()
                     ids.clear()
-                shard = batch.column(0)[i].as_py()
-                parts.append(batch.slice(i, 1))
                 ids.append(row)
                 total += len(row) // width
+            if batch.num_rows:
+                parts.append(batch.slice(first))
         if ids:
             yield segment()
 
@@ -251,10 +256,15 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     no more of them than the writing job had partitions, so their bounds go to every task."""
     segments = spark.read.parquet(path)
     wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias("want")).where("want IS NOT NULL").distinct()
-    bounds = segments.groupBy("shard").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
-    near = wanted.join(F.broadcast(bounds), (F.col("want") >= F.col("lo")) & (F.col("want") <= F.col("hi"))).select("want", "shard")
+    bounds = segments.groupBy("shard").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"), F.max(F.col("first_key").isNull()).alias("open"))
+    # A range that begins with null keys has no lower bound.
+    near = wanted.join(
+        F.broadcast(bounds), (F.col("open") | (F.col("want") >= F.col("lo"))) & (F.col("want") <= F.col("hi"))
+    ).select("want", "shard")
     places = segments.select("shard", "segment", "first_key", "last_key")
-    met = near.join(places, "shard").where(F.col("want").between(F.col("first_key"), F.col("last_key")))
+    met = near.join(places, "shard").where(
+        (F.col("first_key").isNull() | (F.col("want") >= F.col("first_key"))) & (F.col("want") <= F.col("last_key"))
+    )
     asked = met.groupBy("shard", "segment").agg(F.collect_set("want").alias("wanted"))
     hashed = [F.transform("wanted", lambda k: _hash_columns(k)[i]).alias(f"h{i}") for i in (0, 1)]
     source = segments.join(asked, ["shard", "segment"]).select("wanted", *hashed, "index", "payload")

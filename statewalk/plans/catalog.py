@@ -326,13 +326,13 @@ def matrix_queries() -> dict[str, Query]:
 
 CRITERIA_SIGNALS = 20
 VIEW_SIGNALS = 16
-# Settings of the hsmm_em10 queries, which run a fixed number of EM iterations; a fit that has not
-# converged by then is not eligible. Converged fits come from plans/pipeline.py (config's settings).
+# The model queries fit with config's settings (K, starts, durations, iterations, tolerance) and choose
+# among converged fits only. Settings of hsmm_em10_fits, a check of a fixed number of EM iterations
+# from which nothing is chosen:
 HSMM_K = (2, 3)
 HSMM_STARTS = (1, 2)
 HSMM_DURATION_CAP = 20
 HSMM_ITERATIONS = 10
-HSMM_STATUS = "valid"
 HSMM_SIGNALS = ("z1", "z2", "z3", "z4")
 
 _chunks: dict[tuple, Chunks] = {}
@@ -350,8 +350,8 @@ def _chunk_table(spark: SparkSession, sf_dir: str) -> Chunks:
     return _chunks[key]
 
 
-def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All starts of all candidate K after HSMM_ITERATIONS iterations (fewer if converged)."""
+def _em10_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two starts of two K after HSMM_ITERATIONS iterations (fewer if converged)."""
 
     def build() -> DataFrame:
         chunks = _chunk_table(spark, sf_dir)
@@ -360,29 +360,54 @@ def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return fit_table(spark, fits, HSMM_ITERATIONS)
 
-    return hub(spark, sf_dir, "hsmm_fits", build)
+    return hub(spark, sf_dir, "hsmm_em10_fits", build)
+
+
+def _fitted(spark: SparkSession, sf_dir: str, k_values, starts) -> DataFrame:
+    """Fits with config's settings, each run until it converges or reaches the iteration limit."""
+    fits = fit_starts(_chunk_table(spark, sf_dir), planned_starts(k_values, starts))
+    return fit_table(spark, fits)
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All starts of all candidate K."""
+    starts = range(1, config.STARTS_MODEL_SELECTION + 1)
+    return hub(spark, sf_dir, "hsmm_fits", lambda: _fitted(spark, sf_dir, config.K_VALUES, starts))
 
 
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunk_table(spark, sf_dir)
+    chunks, fits = _chunk_table(spark, sf_dir), _fits(spark, sf_dir)
+    select.require_all_k(fits)
     return select.model_selection(
-        _fits(spark, sf_dir), chunks.p, min(HSMM_DURATION_CAP, chunks.longest), chunks.n_rows,
-        HSMM_STATUS,
+        fits, chunks.p, min(config.DURATION_CAP, chunks.longest), chunks.n_rows
     )
 
 
+def _selected_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fits of the selected K, with the starts that only this K gets."""
+
+    def build() -> DataFrame:
+        k = select.selected_k(_selection(spark, sf_dir))
+        more = range(config.STARTS_MODEL_SELECTION + 1, config.STARTS_SELECTED_K + 1)
+        kept = _fits(spark, sf_dir).filter(F.col("k") == k)
+        return kept.unionByName(_fitted(spark, sf_dir, [k], more))
+
+    return hub(spark, sf_dir, "hsmm_selected_fits", build)
+
+
 def _selected_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, int]:
-    """Valid fits of the selected K numbered as runs, their models and K."""
-    k = select.selected_k(_selection(spark, sf_dir))
-    kept = select.usable(_fits(spark, sf_dir), HSMM_STATUS).filter(F.col("k") == k).withColumn(
+    """Converged fits of the selected K numbered as runs, their models and K."""
+    kept = select.usable(_selected_fits(spark, sf_dir)).withColumn(
         "run", F.row_number().over(Window.partitionBy("k").orderBy("start"))
     )
-    return kept, {r["run"]: model_of(r) for r in kept.collect()}, k
+    rows = kept.collect()
+    if len(rows) < 2:
+        raise ValueError("stability needs two converged starts of the chosen K")
+    return kept, {r["run"]: model_of(r) for r in rows}, int(rows[0]["k"])
 
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = select.selected_k(_selection(spark, sf_dir))
-    return select.best_fits(_fits(spark, sf_dir), HSMM_STATUS).filter(F.col("k") == k)
+    return select.best_fits(_selected_fits(spark, sf_dir))
 
 
 def _final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,7 +417,7 @@ def _final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("log_lik").alias("final_log_lik"),
     )
     return select.with_criteria(
-        final, "final_log_lik", chunks.p, min(HSMM_DURATION_CAP, chunks.longest), chunks.n_rows
+        final, "final_log_lik", chunks.p, min(config.DURATION_CAP, chunks.longest), chunks.n_rows
     )
 
 
@@ -506,13 +531,14 @@ def model_queries() -> dict[str, Query]:
         "stability_metric_summary": lambda s, d: match.stability_summary(_matched(s, d), metrics),
         "pair_agreement": lambda s, d: match.pair_agreement(_labelings(s, d), [1, 2, 3]),
         "occupancy_correlation": _labeling_occupancy,
-        "hsmm_em10_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
-        "hsmm_em10_model_selection": _selection,
-        "hsmm_em10_final_summary": _final_summary,
-        "hsmm_em10_parameters": _hsmm_parameters,
+        "hsmm_em10_fits": lambda s, d: _em10_fits(s, d).drop("model", "log_lik_trace"),
+        "hsmm_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
+        "hsmm_model_selection": _selection,
+        "hsmm_final_summary": _final_summary,
+        "hsmm_parameters": _hsmm_parameters,
         "viterbi_decode": _viterbi,
-        "hsmm_em10_pairwise_stability": _hsmm_stability,
-        "hsmm_em10_state_similarity": _hsmm_within,
+        "hsmm_pairwise_stability": _hsmm_stability,
+        "hsmm_state_similarity": _hsmm_within,
     }
 
 

@@ -3,9 +3,11 @@
 Vectors are compared only within a label. Equal vectors of a label are one node. The nodes of a label
 are dealt to shards of bounded size by hash, every shard builds its graph, and every shard is asked for
 the neighbours of all the label's nodes, shard against shard. A query's beam widens while it is full
-of links, and all beams of a pair of shards widen until an audit of sampled queries against an exact
-scan finds at least ``recall`` of their links; a beam as wide as the shard is an exact scan. Found
-pairs are verified by their cosine in double precision.
+of links, and all beams of a pair of shards widen until they find at least ``recall`` of the links that an
+exact scan of sampled queries has. The sample grows until ``audit`` queries with few links to others are in
+it; where there are not that many, it grows to all queries, and the pair of shards is scanned exactly. Recall
+is a mean over queries, once of those with few links and once of those in crowds, so neither hides the
+other. Found pairs are verified by their cosine in double precision.
 
 A task holds two shards, whatever the size of the label. It returns link counts by node and a spanning
 forest of its links, not the links; Spark sums the counts and unites the forests into components.
@@ -34,14 +36,15 @@ from statewalk.session import materialize
 class Settings:
     """cosine: least cosine of a link; shard: nodes per shard; degree: links a node keeps per layer
     (twice as many in the lowest); breadth: beam while building; beam: first beam of a query;
-    audit: audited queries per pair of shards; recall: what an audit must find."""
+    audit: audited queries with few links (at most ``beam``, self-links aside) per pair of shards;
+    recall: what a search must find of audited queries' links."""
 
     cosine: float = 0.98
     shard: int = 8192
     degree: int = 12
     breadth: int = 48
     beam: int = 32
-    audit: int = 64
+    audit: int = 300
     recall: float = 0.99
 
 
@@ -192,19 +195,49 @@ class Graph:
         """(query, node) of all pairs with at least that cosine, exactly."""
         return np.nonzero(q @ self.units.T >= least)
 
-    def within(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the pairs found with at least that cosine."""
-        n, s = len(self.units), self.settings
-        audited = np.unique(np.linspace(0, len(q) - 1, min(s.audit, len(q))).astype(int))
-        truth = {(int(audited[a]), int(b)) for a, b in zip(*self.scan(q[audited], least), strict=True)}
-        width = s.beam
-        while width < n // 4:
+    def _audit(self, q: np.ndarray, least: float, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(audited, query, node): which queries were scanned, and all their pairs."""
+        order = np.random.default_rng(len(q)).permutation(len(q))
+        audited = np.zeros(len(q), bool)
+        found_a, found_b, few = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for i in range(0, len(q), 512):
+            part = order[i : i + 512]
+            a, b = self.scan(q[part], least)
+            a = part[a]
+            audited[part] = True
+            found_a.append(a)
+            found_b.append(b)
+            links = np.bincount(a[a != b] if own else a, minlength=len(q))
+            few += int(((links > 0) & (links <= self.settings.beam)).sum())
+            if few >= self.settings.audit:
+                break
+        return audited, np.concatenate(found_a), np.concatenate(found_b)
+
+    def _finds(self, a: np.ndarray, b: np.ndarray, true_a: np.ndarray, true_b: np.ndarray, m: int, own: bool) -> bool:
+        """Whether the pairs found hold enough of the audited queries' true ones, self-links aside."""
+        n = len(self.units)
+        if own:
+            true_a, true_b = true_a[true_a != true_b], true_b[true_a != true_b]
+        hit = np.isin(true_a * n + true_b, a * n + b)
+        links = np.bincount(true_a, minlength=m)
+        share = np.bincount(true_a, weights=hit, minlength=m) / np.maximum(links, 1)
+        few = (links > 0) & (links <= self.settings.beam)
+        many = links > self.settings.beam
+        return all(share[x].mean() >= self.settings.recall for x in (few, many) if x.any())
+
+    def within(self, q: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the pairs found with at least that cosine. ``own``: query i is node i."""
+        n, width = len(self.units), self.settings.beam
+        audited, true_a, true_b = self._audit(q, least, own)
+        while width < n // 4 and not audited.all():
             a, b = self._widening(q, least, width)
-            if not truth or len(truth & set(zip(a.tolist(), b.tolist(), strict=True))) >= s.recall * len(truth):
-                return a, b
+            if self._finds(a, b, true_a, true_b, len(q), own):
+                rest = ~audited[a]
+                return np.concatenate([a[rest], true_a]), np.concatenate([b[rest], true_b])
             width *= 2
-        out = [self.scan(q[i : i + 1024], least) for i in range(0, len(q), 1024)]
-        return np.concatenate([a + i * 1024 for i, (a, _) in enumerate(out)]), np.concatenate([b for _, b in out])
+        rest = np.flatnonzero(~audited)
+        out = [(rest[i + a], b) for i in range(0, len(rest), 1024) for a, b in [self.scan(q[rest[i : i + 1024]], least)]]
+        return np.concatenate([true_a, *(a for a, _ in out)]), np.concatenate([true_b, *(b for _, b in out)])
 
     def _widening(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         """One search; queries whose beam is full of links are asked again with a wider one."""
@@ -309,7 +342,7 @@ def near_duplicates(
         sides = {int(s): _unpack(d, settings) for s, d in zip(pdf["shard"], pdf["data"], strict=True)}
         nodes, copies, unit, graph = sides[min(sides)]
         nodes_b, copies_b, unit_b, _ = sides[max(sides)]
-        b, a = graph.within(unit_b.astype(np.float32), least - 1e-5)
+        b, a = graph.within(unit_b.astype(np.float32), least - 1e-5, len(sides) == 1)
         if len(sides) == 1:
             # Found from either end counts for both.
             a, b = np.minimum(a, b), np.maximum(a, b)

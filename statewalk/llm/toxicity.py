@@ -1,17 +1,19 @@
 """Toxicity of documents by their nearest labelled examples.
 
-Examples are a bounded sample of labelled rows, half of each class as far as there are. Words that
-go with the label in the sample are the features; their document frequencies are counted over the whole
-corpus. A text's neighbours are the examples of highest exact TF-IDF cosine: an inverted index holds
-the examples in blocks with the largest weight of each word per block, blocks are visited by falling
-upper bound, and the search ends when no block can still change the result. Neighbours vote with
+Examples are a bounded sample of labelled rows, half of each class as far as there are. All words of the
+examples are features; their document frequencies are counted over the whole corpus, and words that go with
+the label in the sample weigh more. A text's neighbours are the examples of highest exact cosine of these
+weighted TF-IDF vectors: an inverted index holds each word's examples and its largest weight, words are
+visited by falling upper bound, and once the rest can lift only a few examples into the result, these alone
+are completed. Words that no example holds can't meet an example and are left out of a text's length, which is
+the same for all its cosines but for a factor. Neighbours vote with
 weights that fall with distance; votes are calibrated on the examples themselves (each without itself),
 re-weighted to the class shares of all labelled rows. Evidence names the neighbours.
 
-Bounds: ``Settings.examples`` per class, ``features`` words, so the index that goes to every task
-has a fixed size. No shuffle carries texts except the sampled ones. Labels are used to learn only.
+Bounds: ``Settings.examples`` per class, so the index that goes to every task is bounded by the words of
+these texts. No shuffle carries texts except the sampled ones. Labels are used to learn only.
 
-Defined cases: null and empty texts, and texts without a feature, have no neighbours and the rate that
+Defined cases: null and empty texts, and texts without a word of the examples, have no neighbours and the rate that
 such texts have among the examples. Null keys and null labels teach nothing; of several labels of a
 key the larger counts, of several texts of a key one is an example. Without any labelled rows
 every score is 0. Repeated rows are scored row by row; empty tables give empty results.
@@ -20,12 +22,14 @@ every score is 0. Repeated rows are scored row by row; empty tables give empty r
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,40 +38,54 @@ from statewalk.llm.common import fresh
 from statewalk.session import materialize
 
 WORDS = regex.compile(r"\p{L}+")
-BLOCK = 64
-#: Blocks with the highest bounds that are scored first.
+#: Words of a text after which the search looks whether it can end, each time twice as many.
 FIRST = 8
 
 
 @dataclass(frozen=True)
 class Settings:
     """examples: most labelled rows of each class in the sample
-    features: most words, by strength of association with the label
     neighbours: examples that vote
-    association: least likelihood ratio (G) of a feature word against the label
-    lift: least ratio of a feature word's rates in toxic and in other examples
+    association: likelihood ratio (G) against the label from which a word's weight grows with it in full
     bins: calibration bins of the vote
     """
 
     examples: int = 8192
-    features: int = 4096
     neighbours: int = 16
     association: float = 20.0
-    lift: float = 3.0
     bins: int = 10
 
 
+class Postings(Mapping):
+    """Word: (examples in ascending order, weights, place), over three flat arrays."""
+
+    def __init__(self, starts: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+        self.starts, self.at, self.weight = starts, at, weight
+
+    def __getitem__(self, word: int) -> tuple[np.ndarray, np.ndarray, int]:
+        if not 0 <= word < len(self.starts) - 1 or self.starts[word] == self.starts[word + 1]:
+            raise KeyError(word)
+        part = slice(self.starts[word], self.starts[word + 1])
+        return self.at[part], self.weight[part], part.start
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(np.flatnonzero(np.diff(self.starts)).tolist())
+
+    def __len__(self) -> int:
+        return int(np.count_nonzero(np.diff(self.starts)))
+
+
 @dataclass
 class Index:
-    """Postings of each word (examples in ascending order, weights, blocks) and its largest weight
-    per block; similar examples share blocks."""
+    """Postings of each word, its largest weight, and the same weights by example."""
 
     words: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the word's association
     keys: list
     labels: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    maxima: dict[int, tuple[np.ndarray, np.ndarray]]  # word: blocks, largest weights
+    postings: Postings
+    maxima: np.ndarray
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray]  # by example: starts, words, weights
     rates: np.ndarray  # calibrated score by vote bin; the last is for texts without neighbours
     settings: Settings
 
@@ -81,37 +99,56 @@ class Index:
 
     def nearest(self, vector: dict[int, float], without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest examples with a cosine above 0, best first."""
-        k = self.settings.neighbours
-        blocks = -(-len(self.keys) // BLOCK)
-        bounds = np.zeros(blocks)
-        for w, x in vector.items():
-            if w in self.maxima:
-                at, most = self.maxima[w]
-                bounds[at] += x * most
+        k, n = self.settings.neighbours, len(self.keys)
+        words = np.fromiter(vector, np.int64, len(vector))
+        weights = np.fromiter(vector.values(), np.float64, len(vector))
+        bounds = weights * self.maxima[words]
         order = np.argsort(-bounds, kind="stable")
-        scores = np.zeros(blocks * BLOCK)
-        todo = order[:FIRST]
-        while len(todo := todo[bounds[todo] > 0]):
-            open_ = np.zeros(blocks, bool)
-            open_[todo] = True
-            for w, x in vector.items():
-                if w in self.postings:
-                    at, weight, block = self.postings[w]
-                    seen = open_[block]
-                    scores[at[seen]] += x * weight[seen]
-            if len(todo) == blocks or todo[0] != order[0]:
-                break
-            # Every other block that could still change the result; cosines equal to nine digits are ties.
+        order = order[bounds[order] > 0]
+        words, weights = words[order], weights[order]
+        rest = np.append(np.cumsum(bounds[order][::-1])[::-1], 0.0)
+        starts, at, weight = self.postings.starts, self.postings.at, self.postings.weight
+        scores = np.zeros(n)
+        done, look = 0, FIRST
+        while done < len(words):
+            for w, x in zip(words[done:look].tolist(), weights[done:look].tolist(), strict=True):
+                part = slice(starts[w], starts[w + 1])
+                scores[at[part]] += x * weight[part]
+            done, look = min(look, len(words)), look * 2
             if without >= 0:
                 scores[without] = 0
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            todo = order[FIRST:][bounds[order[FIRST:]] > least + 1e-9]
+            if done == len(words) or n <= k:
+                continue
+            # Examples that could still be in the result; cosines equal to nine digits are ties.
+            least = np.partition(scores, -k)[-k] - rest[done] - 2e-9
+            if least <= 0:
+                continue
+            open_ = np.flatnonzero(scores > least)
+            if len(open_) * 4 < n:
+                kept = np.zeros(n)
+                kept[open_] = self._completed(open_, words, weights)
+                scores = kept
+                break
         if without >= 0:
             scores[without] = 0
         hit = np.flatnonzero(scores > 0)
+        if len(hit) > k:
+            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 2e-9]
         best = hit[np.lexsort((hit, -np.round(scores[hit], 9)))][:k]
         return [(float(scores[i]), int(i)) for i in best]
 
+    def _completed(self, examples: np.ndarray, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of some examples by their own words."""
+        starts, held, weight = self.rows
+        length = starts[examples + 1] - starts[examples]
+        at = np.repeat(starts[examples] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        order = np.argsort(words)
+        words, weights = words[order], weights[order]
+        place = np.minimum(np.searchsorted(words, held[at]), len(words) - 1)
+        same = words[place] == held[at]
+        owner = np.repeat(np.arange(len(examples)), length)[same]
+        return np.bincount(owner, weights=weight[at][same] * weights[place[same]], minlength=len(examples))
+
     def bin_of(self, near: list[tuple[float, int]]) -> int:
         if not near:
             return self.settings.bins
@@ -127,23 +164,31 @@ def normed(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
 
 
 def build_index(words: list[str], idf: np.ndarray, examples: list[tuple], settings: Settings) -> Index:
-    """examples: (key, label, {word: count}); those near each other share blocks."""
-    rows = [(k, label, v) for k, label, c in examples if (v := normed(c, idf))]
-    rows.sort(key=lambda r: (max(r[2], key=lambda w: (r[2][w], w)), -max(r[2].values()), str(r[0])))
-    lists: dict[int, list] = {}
-    for i, (_, _, v) in enumerate(rows):
-        for w, x in v.items():
-            lists.setdefault(w, []).append((i, x))
-    postings, maxima = {}, {}
-    for w, p in lists.items():
-        at, x = np.array([i for i, _ in p]), np.array([x for _, x in p])
-        blocks, first = np.unique(at // BLOCK, return_index=True)
-        postings[w] = (at, x, at // BLOCK)
-        maxima[w] = (blocks, np.maximum.reduceat(x, first))
-    return Index(
-        {w: i for i, w in enumerate(words)}, idf, [r[0] for r in rows], np.array([r[1] for r in rows], bool),
-        postings, maxima, np.zeros(settings.bins + 1), settings,
-    )
+    """examples: (key, label, {word: count})."""
+    lengths = np.array([len(c) for _, _, c in examples], np.int64)
+    held = np.array([w for _, _, c in examples for w in c], np.int32)
+    counts = np.array([n for _, _, c in examples for n in c.values()], np.int64)
+    known = {w: i for i, w in enumerate(words)}
+    return _indexed(known, idf, [k for k, _, _ in examples], np.array([x for _, x, _ in examples], bool), lengths, held, counts, settings)
+
+
+def _indexed(
+    words: dict[str, int], idf: np.ndarray, keys: list, labels: np.ndarray, lengths: np.ndarray, held: np.ndarray,
+    counts: np.ndarray, settings: Settings,
+) -> Index:
+    """An index of examples with ``lengths`` words each, one after the other; those without words stay out."""
+    kept = np.flatnonzero(lengths)
+    keys, labels, lengths = [keys[i] for i in kept], labels[kept], lengths[kept]
+    starts = np.append(0, np.cumsum(lengths))
+    weight = (1 + np.log(counts)) * idf[held]
+    if len(keys):
+        weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, starts[:-1])), lengths)
+    order = np.argsort(held, kind="stable")
+    at = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)[order]
+    postings = Postings(np.append(0, np.cumsum(np.bincount(held, minlength=len(words)))), at, weight[order])
+    maxima = np.zeros(len(words))
+    np.maximum.at(maxima, held, weight)
+    return Index(words, idf, keys, labels, postings, maxima, (starts, held, weight), np.zeros(settings.bins + 1), settings)
 
 
 def _sample(labelled: DataFrame, settings: Settings) -> DataFrame:
@@ -173,26 +218,30 @@ def _word_counts(sampled: DataFrame) -> DataFrame:
     return sampled.select("key", "label", "text").mapInArrow(run, schema)
 
 
-def _features(counted: DataFrame, settings: Settings) -> list[str]:
-    """Words whose share of toxic examples stands out, strongest first."""
+def _features(counted: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
+    """All words of the examples, and what their weights are multiplied by: 1, more for words whose share
+    of toxic examples stands out."""
     totals = counted.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     toxic, clean = totals["t"], totals["n"] - totals["t"]
     by_word = counted.select("label", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("label").alias("a"), (F.count("*") - F.sum("label")).alias("b")
     )
+    found = by_word.toArrow().sort_by("word")  # bounded by the words of the examples
+    a, b = (found[x].to_numpy().astype(np.float64) for x in ("a", "b"))
     # Likelihood ratio of the word's class shares against those of the sample.
-    a, b = F.col("a"), F.col("b")
-    part = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * F.lit(share)))).otherwise(0.0)
     n = max(1, toxic + clean)
-    ratio = 2 * (part(a, max(toxic, 0.5) / n) + part(b, max(clean, 0.5) / n))
-    often = a * max(clean, 1) >= b * max(toxic, 1) * settings.lift
-    chosen = by_word.where(often).select("word", ratio.alias("z")).where(F.col("z") >= settings.association)
-    return [r["word"] for r in chosen.orderBy(F.desc("z"), "word").limit(settings.features).collect()]
+
+    def part(x: np.ndarray, share: float) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1) / ((a + b) * share))
+
+    ratio = np.maximum(2 * (part(a, max(toxic, 0.5) / n) + part(b, max(clean, 0.5) / n)), 0)
+    often, seldom = a * max(clean, 1), b * max(toxic, 1)
+    excess = np.maximum(1 - seldom / np.maximum(often, 1), 0)
+    return found["word"].to_pylist(), 1 + excess * ratio * ratio / (ratio + settings.association)
 
 
-def _frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, known: Broadcast) -> tuple[np.ndarray, int]:
     """Documents that hold each word, and documents, over the whole corpus."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = known.value
@@ -205,10 +254,9 @@ def _frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(words) + 1, np.int64)
-    for word, n in rows:
-        out[word] = n
+    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(known.value) + 1, np.int64)
+    out[rows["word"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -220,10 +268,11 @@ def learn(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings())
         F.first("label").alias("label"), F.min("text").alias("text")
     )
     counted = materialize(_word_counts(texts), "examples")
-    words = _features(counted, settings)
-    held, n_docs = _frequencies(docs, words)
-    idf = np.log((1 + n_docs) / (1 + held)) + 1
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    words, association = _features(counted, settings)
+    places = {w: i for i, w in enumerate(words)}
+    known = docs.sparkSession.sparkContext.broadcast(places)
+    held, n_docs = _frequencies(docs, known)
+    idf = (np.log((1 + n_docs) / (1 + held)) + 1) * association
 
     def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = known.value
@@ -239,27 +288,33 @@ def learn(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings())
             )
 
     schema = counted.select("key", "label").schema.add("words", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.LongType()))
-    rows = counted.mapInArrow(restrict, schema).collect()  # at most 2 * examples rows of feature counts
-    examples = [(r["key"], r["label"], dict(zip(r["words"], r["counts"], strict=True))) for r in rows]
-    index = build_index(words, idf, examples, settings)
-    _calibrate(index, examples, labelled, settings)
+    # At most 2 * examples rows of word counts, as flat arrays.
+    rows = counted.mapInArrow(restrict, schema).toArrow().combine_chunks()
+    flat = [rows[x].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int64) for x in ("words", "counts")]
+    lengths = pa.compute.list_value_length(rows["words"]).to_numpy().astype(np.int64)
+    labels = rows["label"].to_numpy().astype(bool)
+    index = _indexed(places, idf, rows["key"].to_pylist(), labels, lengths, flat[0].astype(np.int32), flat[1], settings)
+    _calibrate(index, [int((~labels).sum()), int(labels.sum())], labelled, settings)
     return index
 
 
-def _calibrate(index: Index, examples: list[tuple], labelled: DataFrame, settings: Settings) -> None:
-    """Score of each vote bin: share of toxic rows, re-weighted to all labelled rows, never falling."""
+def _calibrate(index: Index, sampled: list[int], labelled: DataFrame, settings: Settings) -> None:
+    """Score of each vote bin: share of toxic rows, re-weighted to all labelled rows, never falling. ``sampled``
+    counts the examples of each class, those without words included."""
     shares = {
         r["label"]: r["n"]
         for r in labelled.where("key IS NOT NULL AND label IS NOT NULL").groupBy((F.col("label") > 0).cast("int").alias("label"))
         .agg(F.count("*").alias("n")).collect()
     }
-    sampled = [sum(1 for e in examples if e[1] == c) for c in (0, 1)]
     weight = [shares.get(c, 0) / max(1, sampled[c]) for c in (0, 1)]
-    own = {k: i for i, k in enumerate(index.keys)}
     mass = np.zeros((settings.bins + 1, 2))
-    for key, label, counts in examples:
-        near = index.nearest(normed(counts, index.idf), own.get(key, -1))
+    starts, held, x = index.rows
+    for i, label in enumerate(index.labels.astype(int).tolist()):
+        part = slice(starts[i], starts[i + 1])
+        near = index.nearest(dict(zip(held[part].tolist(), x[part].tolist(), strict=True)), i)
         mass[index.bin_of(near), label] += weight[label]
+    for c in (0, 1):
+        mass[-1, c] += weight[c] * (sampled[c] - int((index.labels == bool(c)).sum()))
     if not sum(sampled):
         return
     prior = shares.get(1, 0) / max(1, sum(shares.values()))

@@ -8,13 +8,13 @@ visited by falling upper bound, and once the rest can lift only a few examples i
 are completed. Words that no example holds can't meet an example and are left out of a text's length, which is
 the same for all its cosines but for a factor. Neighbours vote with
 weights that fall with distance; votes are calibrated on the examples themselves (each without itself),
-re-weighted to the class shares of all labelled rows. Evidence names the neighbours.
+re-weighted to the class shares of all labelled documents. Evidence names the neighbours.
 
 Bounds: ``Settings.examples`` per class, so the index that goes to every task is bounded by the words of
 these texts. No shuffle carries texts except the sampled ones. Labels are used to learn only.
 
 Defined cases: null and empty texts, and texts without a word of the examples, have no neighbours and the rate that
-such texts have among the examples. Null keys and null labels teach nothing; of several labels of a
+such texts have among the examples. Null keys and null labels teach nothing, nor do labels of documents that aren't there; of several labels of a
 key the larger counts, of several texts of a key one is an example. Without any labelled rows
 every score is 0. Repeated rows are scored row by row; empty tables give empty results.
 """
@@ -191,9 +191,14 @@ def _indexed(
     return Index(words, idf, keys, labels, postings, maxima, (starts, held, weight), np.zeros(settings.bins + 1), settings)
 
 
-def _sample(labelled: DataFrame, settings: Settings) -> DataFrame:
-    """(key, label) of at most ``examples`` rows a class, by a hash of the key."""
+def _known(labelled: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, label) of the labelled keys that ``docs`` holds, one row a key."""
     one = labelled.where("key IS NOT NULL AND label IS NOT NULL").groupBy("key").agg((F.max("label") > 0).cast("int").alias("label"))
+    return materialize(one.join(docs.select("key"), "key", "left_semi"), "labels")
+
+
+def _sample(one: DataFrame, settings: Settings) -> DataFrame:
+    """(key, label) of at most ``examples`` rows a class, by a hash of the key."""
     parts = [one.where(F.col("label") == c).orderBy(F.xxhash64("key"), "key").limit(settings.examples) for c in (0, 1)]
     return materialize(parts[0].union(parts[1]), "label-sample")
 
@@ -262,6 +267,7 @@ def _frequencies(docs: DataFrame, known: Broadcast) -> tuple[np.ndarray, int]:
 
 def learn(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -> Index:
     """Index and calibration from ``docs`` (key, text) and ``labelled`` (key, label)."""
+    labelled = _known(labelled, docs)
     sample = _sample(labelled, settings)
     # The sample has at most 2 * examples rows, which bounds what is broadcast.
     texts = docs.where("key IS NOT NULL").join(F.broadcast(sample), "key").groupBy("key").agg(
@@ -303,8 +309,7 @@ def _calibrate(index: Index, sampled: list[int], labelled: DataFrame, settings:
     counts the examples of each class, those without words included."""
     shares = {
         r["label"]: r["n"]
-        for r in labelled.where("key IS NOT NULL AND label IS NOT NULL").groupBy((F.col("label") > 0).cast("int").alias("label"))
-        .agg(F.count("*").alias("n")).collect()
+        for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()
     }
     weight = [shares.get(c, 0) / max(1, sampled[c]) for c in (0, 1)]
     mass = np.zeros((settings.bins + 1, 2))

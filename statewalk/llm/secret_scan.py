@@ -51,7 +51,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
 )
 OWN = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # Up to the END line; without one before the next BEGIN, header lines and what is base64.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:[\x20\x09-\x0D]*[A-Za-z0-9-]+:\x20[^\x0A\x0D]*[\x0A\x0D])*+[A-Za-z0-9+/=\x20\x09-\x0D]*)",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

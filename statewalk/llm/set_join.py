@@ -11,7 +11,8 @@ with equal sets are one node. Nodes link when ``100 * intersection >= percent *
    Where they share enough, each set is bounded by its overlap with the other group's whole union.
 4. Only sets that pass are compared with the members, by posting lists inside the task.
 
-A task holds two groups and returns a spanning forest of the links it finds, so no pair within a crowd of
+A task holds the members of one group and of up to ``PARTNERS`` partner groups that can have links; both
+lists are also bounded by the total size of their sets. It returns a spanning forest of the links it finds, so no pair within a crowd of
 near copies is listed. Frequent tokens only decide the order: every set of them gives the same links.
 Hashes have 64 bits: two different sets of a corpus of a billion documents share one with
 probability of about 3 %, and only then would be taken as equal.
@@ -44,6 +45,9 @@ FREQUENT = 20
 #: Nodes per group, and partner groups that meet a group in one task.
 GROUP = 512
 PARTNERS = 32
+#: Tokens per group, and tokens of partners that meet a group in one task (a larger set is alone).
+GROUP_TOKENS = 1 << 20
+PARTNER_TOKENS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -238,7 +242,7 @@ def _qualified(rows: DataFrame, join: SetJoin) -> DataFrame:
     matrix = rows.groupBy("token", F.col("group").alias("other")).agg(F.count("*").alias("members"))
     met = rows.join(matrix, "token").where("group <> other OR members > 1")
     bound = met.groupBy("node", "size", "group", "other").agg(F.count("*").alias("shared"))
-    return bound.where(F.col("shared") >= least).select("node", "group", "other")
+    return bound.where(F.col("shared") >= least).select("node", "size", "group", "other")
 
 
 def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJoin = SetJoin()) -> DataFrame:
@@ -252,7 +256,9 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: S
         ),
         "nodes",
     )
-    crowds = nodes.groupBy("least").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    crowds = nodes.groupBy("least").agg(
+        F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("parts")
+    )
     group = F.xxhash64("least", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).alias("group")
     members = materialize(nodes.join(crowds, "least").select("node", "key", "size", group), "members")
 
@@ -265,11 +271,15 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: S
 
     # A pair of groups is opened where members of both qualify, and only these members meet.
     sides = asked.select(
-        F.least("group", "other").alias("one"), F.greatest("group", "other").alias("two"), "node",
+        F.least("group", "other").alias("one"), F.greatest("group", "other").alias("two"), "node", "size",
         (F.col("group") > F.col("other")).cast("int").alias("side"),
     )
-    pairs = sides.groupBy("one", "two").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("one = two OR a < b")
-    dealt = pairs.groupBy("one").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    partner = F.when((F.col("side") == 1) | (F.col("one") == F.col("two")), F.col("size"))
+    pairs = sides.groupBy("one", "two").agg(F.min("side").alias("a"), F.max("side").alias("b"), F.sum(partner).alias("tokens"))
+    pairs = pairs.where("one = two OR a < b")
+    dealt = pairs.groupBy("one").agg(
+        F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("tokens") / PARTNER_TOKENS)).alias("parts")
+    )
     dealt = pairs.join(dealt, "one").select("one", "two", F.pmod(F.xxhash64("two"), F.col("parts")).alias("part"))
     met = sides.join(dealt, ["one", "two"])
     # Within one group every member is on both sides.

@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewalk.llm import bpe, license_scan, near_vectors, packing, quality, secret_scan, set_join, sql, token_store, toxicity, url_rules
+from statewalk.llm import (
+    bpe,
+    decontaminate,
+    filter_audit,
+    license_scan,
+    near_vectors,
+    packing,
+    quality,
+    run_detection,
+    secret_scan,
+    set_join,
+    sql,
+    token_store,
+    toxicity,
+    url_rules,
+)
 from statewalk.llm.common import table
 from statewalk.session import shared_dir
 
@@ -115,6 +130,30 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seeds = F.when(code % 10 == 0, F.floor(code / 10))
+    found = run_detection.find_runs(docs, seeds=seeds, keep_texts=False)
+    names = (*run_detection.NUMBERS, "runs_sha256", "collapsed_sha256")
+    return found.select("doc_id", *[F.col("runs")[n].alias(n) for n in names])
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("leaks")
+    ids = F.array_sort(F.transform(found["items"], lambda x: x.cast("string")))
+    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (found["n_hit"] > 0).alias("contaminated"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -127,6 +166,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_license_scan": op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_decontamination": op13_decontamination,
     }
 
 

@@ -161,6 +161,57 @@ def url_sql(rules) -> str:
     SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (r)"""
 
 
+def audit_sql() -> str:
+    return """
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    words AS (SELECT r, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM docs),
+    first AS (SELECT t, min(doc_id) AS least FROM docs GROUP BY t),
+    marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                     max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    flags AS (SELECT r, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+                     100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 10 * length(d.t) AS c,
+                     regexp_matches(d.t, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e
+              FROM docs d JOIN words USING (r) JOIN first f ON f.t = d.t LEFT JOIN marks USING (doc_id)),
+    fails AS (SELECT r, part, good, toxic, unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([a, b, c, d, e]) AS fail FROM flags),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
+               WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    out AS (SELECT o, r, min(instr(o, f)) FILTER (WHERE fail) AS hit FROM orders, fails GROUP BY o, r),
+    cells AS (SELECT o, part, instr(o, f) AS step, f, good, toxic, fail, coalesce(hit, 9) AS hit,
+                     sum(fail::INTEGER) OVER (PARTITION BY o, r) AS n_fails
+              FROM out JOIN fails USING (r)),
+    sums AS (SELECT part, o AS filter_order, step, f, count(*) FILTER (WHERE hit > step) AS kept, count(*) FILTER (WHERE hit = step) AS removed,
+                    count(*) FILTER (WHERE fail AND hit < step) AS redundant, count(*) FILTER (WHERE fail AND n_fails = 1) AS unique_fails,
+                    count(*) FILTER (WHERE hit = step AND good = 1) AS good_lost, count(*) FILTER (WHERE hit = step AND toxic = 1) AS toxic_lost
+             FROM cells GROUP BY part, o, step, f)
+    SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM sums"""
+
+
+def leaks_sql(window: int = 10) -> str:
+    def words(table: str, key: str) -> str:
+        return f"""SELECT row_number() OVER () AS r, {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),
+            lambda x: x <> '') AS w FROM {table}"""
+
+    return f"""
+    WITH docs AS ({words("documents", "doc_id")}), items AS ({words("benchmark", "item_id")}),
+    sized AS (SELECT item_id, w, least(len(w), {window}) AS n FROM items WHERE len(w) > 0),
+    wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+             FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+    lengths AS (SELECT DISTINCT n FROM wins),
+    places AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, lengths WHERE len(w) >= n),
+    hits AS (SELECT r, i, p.n, item_id FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM places) p
+             JOIN wins USING (n, g)),
+    covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hits, range({window}) AS t(k) WHERE k < n GROUP BY r),
+    found AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+              FROM hits GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
+
+
 def oracle(url_rules=()) -> dict[str, str]:
     return {
         "op1_ngram_jaccard": jaccard_sql(),
@@ -169,4 +220,6 @@ def oracle(url_rules=()) -> dict[str, str]:
         "op8_quality_rules": quality_sql(),
         "op9_license_scan": license_sql(),
         "op10_secret_scan": secret_sql(),
+        "op11_filter_audit": audit_sql(),
+        "op13_decontamination": leaks_sql(),
     }

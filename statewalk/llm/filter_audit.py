@@ -27,9 +27,10 @@ are not looked at, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import permutations
+from itertools import count, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,11 @@ DISTINCT_PERCENT = 80
 CAPITAL_PERCENT = 10
 SYMBOLS = b"#$%&*|"
 
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 24
 SLOT_ENTRIES = 1 << 16
 SHARDS = """
 shard long, ids array<long>, parts array<string>, digests array<binary>, capital array<boolean>,
-symbol array<boolean>, indptr array<long>, indices array<long>, counts array<int>, vocabulary array<binary>
+symbol array<boolean>, indptr array<long>, indices array<int>, counts array<int>, vocabulary array<binary>
 """
 KEPT = ("shard", "ids", "parts", "digests", "capital", "symbol", "indptr")
 
@@ -84,13 +85,12 @@ def _character_flags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _csr(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Row pointers, column numbers, counts and vocabulary of some texts."""
-    vocabulary: dict[bytes, int] = {}
-    words = [t.split() for t in texts]
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    for w in words:
-        for word in set(w):
-            vocabulary.setdefault(word, len(vocabulary))
-    numbers = np.fromiter((n for w in words for n in map(vocabulary.__getitem__, w)), np.int64, int(lengths.sum()))
+    vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+    rows = []
+    for t in texts:
+        words = t.split()
+        rows.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+    lengths, numbers = np.array([len(r) for r in rows], dtype=np.int64), np.concatenate([*rows, np.zeros(0, np.int64)])
     width = max(1, len(vocabulary))
     cells, counts = np.unique(np.repeat(np.arange(len(texts)), lengths) * width + numbers, return_counts=True)
     indptr = np.concatenate([[0], np.cumsum(np.bincount(cells // width, minlength=len(texts)))])
@@ -114,7 +114,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "parts": _lists(part.column("part").to_pylist(), pa.string()),
                 "digests": _lists([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                 "capital": _lists(capital, pa.bool_()), "symbol": _lists(symbol, pa.bool_()),
-                "indptr": _lists(indptr, pa.int64()), "indices": _lists(indices, pa.int64()),
+                "indptr": _lists(indptr, pa.int64()), "indices": _lists(indices.astype(np.int32), pa.int32()),
                 "counts": _lists(counts, pa.int32()), "vocabulary": _lists(vocabulary, pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(columns)
@@ -177,7 +177,7 @@ def term_matrix(df: DataFrame, key: str = "doc_id", text: str = "text", part: st
     numbers = entries.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("local", "number"))).alias("n"))
     joined = local.drop("vocabulary").join(numbers.select("shard", F.col("n.number").alias("numbers")), "shard", "left")
     joined = joined.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<long>")))
-    schema = joined.select(*KEPT, "indices", "counts").schema
+    schema = joined.select(*KEPT, F.col("numbers").alias("indices"), "counts").schema
     shards = joined.select(*KEPT, "indices", "counts", "numbers").mapInArrow(_recoded, schema)
     return TermMatrix(materialize(shards, "matrix"), entries)
 

@@ -1,20 +1,20 @@
 """Filter interaction audit over a sparse document-term matrix.
 
-1. Shards. A task lays its documents into CSR shards of at most ``SHARD_BYTES`` of text: row pointers,
-   column numbers and counts. Columns are numbered per shard at first, beside the shard's vocabulary.
-   Each row also brings what needs its text but not its words: share of capitals, symbols and a
-   digest of the text.
-2. Dictionary. (word, shard, local number) entries are dealt to slots by the word's hash and ranked
-   inside their slot; the slots' sizes give offsets. The result numbers all words of the corpus
-   without gaps, and does not depend on the order of rows.
-3. Matrix. Every shard gets its local numbers replaced by those of the dictionary.
+1. Shards. A task lays its documents into a CSR shard of at most ``SHARD_BYTES`` of text, in pieces of
+   at most ``PIECE_BYTES``: row pointers, column numbers, counts and the words that no piece before had. Columns
+   are numbered within the shard at first. Each row also brings what needs its text but not its words:
+   share of capitals, symbols and a digest of the text.
+2. Dictionary. One entry per word and shard is dealt to a slot by the word's hash. The words of a slot are
+   ranked, and rank and slot give a number that all shards share. Slots follow the number of entries, so
+   they stay small and about equal, and numbers have next to no gaps.
+3. Matrix. Entries return to their shards, whose column numbers become those of the dictionary.
 4. Flags. Row sums are words and nonzero counts are distinct words: conditions A and B. Documents
    with equal texts are found by digest (SHA-256), their smallest id by a grouped minimum; only the rows at
    that id, met by (digest, id), are free of condition E.
 5. Audit. Rows fold to one count per part, set of failed filters and label. All orders are evaluated
    on these counts: 32 sets of filters at most per part and label.
 
-Shuffles carry one entry per word and shard, the shards once, and a few dozen bytes per document. A
+Shuffles carry one entry per word and shard (twice), the shards once, and a few dozen bytes per document. A
 text that a third of the documents share folds before it is shuffled by (digest, id).
 
 Defined cases: a null text is an empty one; an empty text has no words, so it fails A only (0 words) and E
@@ -30,7 +30,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, permutations
+from itertools import count, islice, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +48,19 @@ DISTINCT_PERCENT = 80
 CAPITAL_PERCENT = 10
 SYMBOLS = b"#$%&*|"
 
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 25
+PIECE_BYTES = 1 << 20
 SLOT_ENTRIES = 1 << 16
-SHARDS = """
+PLACE_BITS = 32
+PIECES = """
 shard long, ids array<long>, parts array<string>, digests array<binary>, capital array<boolean>,
-symbol array<boolean>, indptr array<long>, indices array<int>, counts array<int>, vocabulary array<binary>
+symbol array<boolean>, indptr array<long>, indices array<int>, counts array<int>, first int, vocabulary array<binary>
+"""
+KEPT = ("ids", "parts", "digests", "capital", "symbol", "indptr")
+MATRIX = """
+shard long, ids array<long>, parts array<string>, digests array<binary>, capital array<boolean>, symbol array<boolean>,
+indptr array<long>, counts array<int>, indices array<long>
 """
-KEPT = ("shard", "ids", "parts", "digests", "capital", "symbol", "indptr")
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -62,7 +68,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     first = 0
     while first < batch.num_rows:
         base = int(sizes[first - 1]) if first else 0
-        n = max(1, int(np.searchsorted(sizes, base + SHARD_BYTES, side="right")) - first)
+        n = max(1, int(np.searchsorted(sizes, base + PIECE_BYTES, side="right")) - first)
         yield batch.slice(first, n)
         first += n
 
@@ -83,9 +89,8 @@ def _character_flags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return 100 * capitals > CAPITAL_PERCENT * characters, _sums(symbols[raw], bounds) > 0
 
 
-def _csr(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Row pointers, column numbers, counts and vocabulary of some texts."""
-    vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+def _csr(texts: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pointers, column numbers and counts of some texts; new words enter the vocabulary."""
     rows = []
     for t in texts:
         words = t.split()
@@ -94,37 +99,44 @@ def _csr(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[b
     width = max(1, len(vocabulary))
     cells, counts = np.unique(np.repeat(np.arange(len(texts)), lengths) * width + numbers, return_counts=True)
     indptr = np.concatenate([[0], np.cumsum(np.bincount(cells // width, minlength=len(texts)))])
-    return indptr.astype(np.int64), cells % width, counts.astype(np.int32), list(vocabulary)
+    return indptr.astype(np.int64), (cells % width).astype(np.int32), counts.astype(np.int32)
 
 
 def _lists(values, kind: pa.DataType) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 10
+    vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+    held = 0
     for batch in batches:
         for part in _slices(batch):
             texts = part.column("text").to_pylist()
-            indptr, indices, counts, vocabulary = _csr(texts)
+            size = sum(map(len, texts))
+            if held and held + size > SHARD_BYTES:
+                shard, held, vocabulary = shard + 1, 0, defaultdict(count().__next__)
+            held += size
+            first = len(vocabulary)
+            indptr, indices, counts = _csr(texts, vocabulary)
             capital, symbol = _character_flags(texts)
             columns = {
-                "shard": pa.array([number], pa.int64()),
+                "shard": pa.array([shard], pa.int64()),
                 "ids": _lists(part.column("id").to_pylist(), pa.int64()),
                 "parts": _lists(part.column("part").to_pylist(), pa.string()),
                 "digests": _lists([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                 "capital": _lists(capital, pa.bool_()), "symbol": _lists(symbol, pa.bool_()),
-                "indptr": _lists(indptr, pa.int64()), "indices": _lists(indices.astype(np.int32), pa.int32()),
-                "counts": _lists(counts, pa.int32()), "vocabulary": _lists(vocabulary, pa.binary()),
+                "indptr": _lists(indptr, pa.int64()), "indices": _lists(indices, pa.int32()),
+                "counts": _lists(counts, pa.int32()), "first": pa.array([first], pa.int32()),
+                "vocabulary": _lists(list(islice(vocabulary, first, None)), pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(columns)
-            number += 1
 
 
 @dataclass
 class TermMatrix:
-    """``shards``: CSR shards with the columns of the dictionary; ``entries``: word, number (from 0,
-    without gaps) and the shards and local numbers of every word."""
+    """``shards``: pieces of CSR shards whose columns are numbers of the dictionary; ``entries``: word,
+    place (shard and local number) and number, one row per word and shard."""
 
     shards: DataFrame
     entries: DataFrame
@@ -134,59 +146,48 @@ class TermMatrix:
         return self.entries.select("word", "number").distinct()
 
 
-def _numbered(entries: DataFrame) -> DataFrame:
-    """``entries`` (word, shard, local) with the words' numbers. Slots are ranked apart; their number
-    follows the number of entries, so a slot stays small however large the vocabulary is."""
-    slots = max(1, -(-entries.count() // SLOT_ENTRIES))
-    dealt = entries.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(slots)))
-    rank = F.dense_rank().over(Window.partitionBy("slot").orderBy("word"))
-    ranked = materialize(dealt.withColumn("rank", rank), "dictionary")
-    sizes = ranked.groupBy("slot").agg(F.max("rank").cast("long").alias("size"))
-    # One row per slot: 1/65,536 of the entries.
-    blocks = sizes.withColumn("block", F.floor(F.col("slot") / 4096))
-    within = Window.partitionBy("block").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = blocks.groupBy("block").agg(F.sum("size").alias("all")).select(
-        "block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("head")
-    )
-    offsets = blocks.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(heads, "block").select(
-        "slot", (F.col("own") + F.col("head")).alias("offset")
-    )
-    return ranked.join(offsets, "slot").select(
-        "word", "shard", "local", (F.col("offset") + F.col("rank") - 1).alias("number")
+def _entries(pieces: DataFrame) -> DataFrame:
+    """(word, place, number): place holds shard and local number."""
+    total = pieces.agg(F.sum(F.size("vocabulary")).alias("n")).first()["n"] or 0
+    slots = max(1, -(-total // SLOT_ENTRIES))
+    words = pieces.select("shard", "first", F.posexplode("vocabulary").alias("at", "word"))
+    placed = words.select(
+        "word", (F.shiftleft("shard", PLACE_BITS) + F.col("first") + F.col("at")).alias("place"),
+        F.pmod(F.xxhash64("word"), F.lit(slots)).alias("slot"),
     )
+    rank = F.dense_rank().over(Window.partitionBy("slot").orderBy("word"))
+    return placed.select("word", "place", ((rank - 1) * F.lit(slots).cast("long") + F.col("slot")).alias("number"))
 
 
-def _recoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, numbers = batch.column("indices"), batch.column("numbers")
-        new = [np.asarray(n.values)[np.asarray(i.values)] for i, n in zip(at, numbers, strict=True)]
-        columns = [batch.column(c) for c in KEPT] + [pa.array(new, pa.list_(pa.int64())), batch.column("counts")]
-        yield pa.RecordBatch.from_arrays(columns, names=[*KEPT, "indices", "counts"])
+def _recoded(pieces: pa.Table, entries: pa.Table) -> pa.Table:
+    """Pieces of one shard with the dictionary's numbers."""
+    local = entries.column("place").to_numpy() & ((1 << PLACE_BITS) - 1)
+    numbers = np.empty(len(local), dtype=np.int64)
+    numbers[local] = entries.column("number").to_numpy()
+    new = [numbers[np.asarray(v.values)] for v in pieces.column("indices")]
+    return pieces.select(["shard", *KEPT, "counts"]).append_column("indices", pa.array(new, pa.list_(pa.int64())))
 
 
 def term_matrix(df: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang") -> TermMatrix:
-    """Document-term matrix of all rows, written to the shared folder."""
+    """Document-term matrix of all rows."""
     source = df.select(
         F.col(f"`{key}`").cast("long").alias("id"),
         F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"),
     )
-    local = materialize(source.mapInArrow(_shards, SHARDS), "shards")
-    entries = _numbered(local.select("shard", F.posexplode("vocabulary").alias("local", "word")))
-    numbers = entries.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("local", "number"))).alias("n"))
-    joined = local.drop("vocabulary").join(numbers.select("shard", F.col("n.number").alias("numbers")), "shard", "left")
-    joined = joined.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<long>")))
-    schema = joined.select(*KEPT, F.col("numbers").alias("indices"), "counts").schema
-    shards = joined.select(*KEPT, "indices", "counts", "numbers").mapInArrow(_recoded, schema)
-    return TermMatrix(materialize(shards, "matrix"), entries)
+    pieces = materialize(source.mapInArrow(_pieces, PIECES), "pieces")
+    entries = _entries(pieces)
+    back = entries.select(F.shiftright("place", PLACE_BITS).alias("shard"), "place", "number")
+    cells = pieces.select("shard", *KEPT, "indices", "counts")
+    shards = cells.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_recoded, MATRIX)
+    return TermMatrix(shards, entries)
 
 
 def _row_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
             ids, parts, digests, capital, symbol, indptr, indices, counts = (
-                batch.column(c)[r].values for c in (*KEPT[1:], "indices", "counts")
+                batch.column(c)[r].values for c in (*KEPT, "indices", "counts")
             )
             bounds = np.asarray(indptr)
             words = np.diff(np.concatenate([[0], np.cumsum(np.asarray(counts), dtype=np.int64)])[bounds])

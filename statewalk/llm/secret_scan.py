@@ -51,12 +51,12 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
 )
 OWN = (
-    # Up to the END line; without one before the next BEGIN, header lines and what is base64.
+    # Header lines, then base64 and hyphens up to the END line, or base64 alone. Plain enough for every engine.
     Rule(
         "private_key",
         r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"|(?:[\x20\x09-\x0D]*[A-Za-z0-9-]+:\x20[^\x0A\x0D]*[\x0A\x0D])*+[A-Za-z0-9+/=\x20\x09-\x0D]*)",
+        r"(?:[\x20\x09-\x0D]*[A-Za-z0-9-]+:\x20[^\x0A\x0D]*[\x0A\x0D]){0,40}"
+        r"(?:[A-Za-z0-9+/=\x20\x09-\x0D-]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\x20\x09-\x0D]*)",
     ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),

@@ -27,12 +27,20 @@ def local_session(cpus: int | str = "*", app: str = "statewalk", **conf: str) ->
     return builder.getOrCreate()
 
 
+def one_thread_per_task(spark: SparkSession) -> None:
+    """Matrix products of a task use its own core only; the tasks of an executor would otherwise each
+    start as many threads as there are cores. Settings the user made stay."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")
+
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: a driver may be started from any
     folder, and executors have no other way to it."""
+    one_thread_per_task(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -16,9 +17,10 @@ from statewalk.model import match, select
 from statewalk.model.chunks import Chunks, chunk_table
 from statewalk.model.decode import decoded_labels, decoded_rows
 from statewalk.model.fit import fit_starts, fit_table, model_of
+from statewalk.model.journal import Journal
 from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
-from statewalk.plans import views
+from statewalk.plans import given_model, views
 from statewalk.session import fingerprint, materialize, shared_dir
 from statewalk.sinks.tables import Output
 from statewalk.sources.tables import read_decoded, state_correlations
@@ -364,9 +366,12 @@ def _em10_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str, k_values, starts) -> DataFrame:
-    """Fits with config's settings, each run until it converges or reaches the iteration limit."""
-    fits = fit_starts(_chunk_table(spark, sf_dir), planned_starts(k_values, starts))
-    return fit_table(spark, fits)
+    """Fits with config's settings, each run until it converges or reaches the iteration limit. Their journal
+    is named by the data and the starts, so a job that was stopped goes on where it was."""
+    planned = planned_starts(k_values, starts)
+    text = repr((sf_dir, fingerprint(spark, sf_dir), HSMM_SIGNALS, planned, config.DURATION_CAP))
+    journal = Journal(spark, f"{shared_dir(spark)}/fits-{hashlib.sha256(text.encode()).hexdigest()[:24]}")
+    return fit_table(spark, fit_starts(_chunk_table(spark, sf_dir), planned, journal=journal))
 
 
 def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,6 +536,11 @@ def model_queries() -> dict[str, Query]:
         "stability_metric_summary": lambda s, d: match.stability_summary(_matched(s, d), metrics),
         "pair_agreement": lambda s, d: match.pair_agreement(_labelings(s, d), [1, 2, 3]),
         "occupancy_correlation": _labeling_occupancy,
+        "given_model_statistics": lambda s, d: given_model.statistics(_chunk_table(s, d)),
+        "given_model_next": lambda s, d: given_model.next_model(_chunk_table(s, d)),
+        "given_model_paths": lambda s, d: given_model.best_paths(_chunk_table(s, d)),
+        "given_model_lloyd_step": lambda s, d: given_model.lloyd_step(_chunk_table(s, d)),
+        "given_model_shrinkage": lambda s, d: given_model.shrunk_covariances(_chunk_table(s, d)),
         "hsmm_em10_fits": lambda s, d: _em10_fits(s, d).drop("model", "log_lik_trace"),
         "hsmm_fits": lambda s, d: _fits(s, d).drop("model", "log_lik_trace"),
         "hsmm_model_selection": _selection,

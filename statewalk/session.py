@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,7 +65,7 @@ def fingerprint(spark: SparkSession, folder: str) -> int:
     for pattern in ("/*", "/*/*"):
         for f in files.globStatus(hadoop(folder + pattern)) or ():
             found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return hash(tuple(sorted(found)))
+    return zlib.crc32(repr(sorted(found)).encode())
 
 
 def shared_dir(spark: SparkSession) -> str:

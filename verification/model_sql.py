@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from verification.matrix_sql import SERIES
+
 P, K, RUNS = 16, 10, 4
 
 VIEWS = f"""
@@ -81,8 +85,167 @@ FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM labels
              (SELECT count(*) * (count(*) - 1) / 2 FROM labels) AS t)"""
 
 
-def oracle() -> dict[str, str]:
-    q: dict[str, str] = {}
+def given_model_sql(init, transition, duration, mu, sigma) -> dict[str, str]:
+    """Forward, backward and max-product recursions of a semi-Markov model in recursive SQL, over (state,
+    remaining or elapsed duration), with all K x M weights as columns."""
+    k, m, p = len(init), duration.shape[1], mu.shape[1]
+    states, ages, dims = range(1, k + 1), range(1, m + 1), range(1, p + 1)
+    cells = [(j, r) for j in states for r in ages]
+
+    def density(j: int) -> str:
+        inverse, norm = np.linalg.inv(sigma[j - 1]), p * np.log(2 * np.pi) + np.log(np.linalg.det(sigma[j - 1]))
+        terms = [
+            f"({inverse[a - 1, b - 1]!r}::DOUBLE) * (z{a} - ({mu[j - 1, a - 1]!r}::DOUBLE)) * (z{b} - ({mu[j - 1, b - 1]!r}::DOUBLE))"
+            for a in dims for b in dims
+        ]
+        return f"-0.5::DOUBLE * ({norm!r}::DOUBLE + {' + '.join(terms)})".replace("np.float64(", "(")
+
+    def n(value: float) -> str:
+        return f"{float(value)!r}::DOUBLE"
+
+    zs = ", ".join(f"(x{i} - avg(x{i}) OVER w) / stddev_samp(x{i}) OVER w AS z{i}" for i in dims)
+    head = f"""{SERIES},
+scaled AS MATERIALIZED (SELECT subject_id AS sid, grp, file, timepoint AS t, count(*) OVER w AS n, {zs}
+                        FROM series WINDOW w AS (PARTITION BY subject_id)),
+em AS MATERIALIZED (SELECT sid, grp, file, t, n, {", ".join(f"z{i}" for i in dims)}, {", ".join(f"{density(j)} AS l{j}" for j in states)} FROM scaled)"""
+    alphas = ", ".join(f"exp(l{j}) * q{j}_{r} AS a{j}_{r}" for j, r in cells)
+    total = " + ".join(f"a{j}_{r}" for j, r in cells)
+    enter = {j: " + ".join(f"a{i}_1 * {n(transition[i - 1, j - 1])}" for i in states if i != j) for j in states}
+    following = ", ".join(
+        f"(({enter[j]}) * {n(duration[j - 1, r - 1])}" + (f" + a{j}_{r + 1}" if r < m else "") + f") / c AS q{j}_{r}" for j, r in cells
+    )
+    keep = ", ".join(f"a{j}_{r} / c AS a{j}_{r}" for j, r in cells)
+    step = f"SELECT sid, t, c, {keep}, {following} FROM (SELECT *, {total} AS c FROM (SELECT e.sid, e.t, {alphas} FROM"
+    first = ", ".join(f"{n(init[j - 1])} * {n(duration[j - 1, r - 1])} AS q{j}_{r}" for j, r in cells)
+    forward = f"""
+fw AS (
+  {step} (SELECT *, {first} FROM em WHERE t = 1) e))
+  UNION ALL
+  {step} em e JOIN fw ON fw.sid = e.sid AND e.t = fw.t + 1)))"""
+    # Weights of the future, relative to the forward pass.
+    worth = {j: " + ".join(f"{n(duration[j - 1, r - 1])} * g{j}_{r}" for r in ages) for j in states}
+    beta = {
+        (j, r): " + ".join(f"{n(transition[j - 1, i - 1])} * w{i}" for i in states if i != j) if r == 1 else f"g{j}_{r - 1}"
+        for j, r in cells
+    }
+    g_of = ", ".join(f"exp(l{j}) * b{j}_{r} / c AS g{j}_{r}" for j, r in cells)
+    backward = f"""
+ahead AS MATERIALIZED (SELECT fw.*, e.n, {", ".join(f"l{j}" for j in states)} FROM fw JOIN em e USING (sid, t)),
+bw AS (
+  SELECT sid, t, {", ".join(f"b{j}_{r}" for j, r in cells)}, {g_of}
+  FROM (SELECT *, {", ".join(f"1.0::DOUBLE AS b{j}_{r}" for j, r in cells)} FROM ahead WHERE t = n)
+  UNION ALL
+  SELECT sid, t, {", ".join(f"b{j}_{r}" for j, r in cells)}, {g_of}
+  FROM (SELECT sid, t, c, {", ".join(f"l{j}" for j in states)}, {", ".join(f"{beta[j, r]} AS b{j}_{r}" for j, r in cells)}
+        FROM (SELECT f.sid, f.t, f.c, {", ".join(f"f.l{j}" for j in states)}, {", ".join(f"g{j}_{r}" for j, r in cells)},
+                     {", ".join(f"{worth[j]} AS w{j}" for j in states)}
+              FROM bw JOIN ahead f ON f.sid = bw.sid AND f.t = bw.t - 1))),
+post AS MATERIALIZED (
+  SELECT f.sid, f.t, f.n, f.c, {", ".join(f"z{i}" for i in dims)}, {", ".join(f"{' + '.join(f'f.a{j}_{r} * b.b{j}_{r}' for r in ages)} AS p{j}" for j in states)},
+         {", ".join(f"f.a{j}_1" for j in states)}, {", ".join(f"b.g{j}_{r}" for j, r in cells)},
+         {", ".join(f"lead(b.g{j}_{r}) OVER v AS h{j}_{r}" for j, r in cells)}
+  FROM ahead f JOIN bw b USING (sid, t) JOIN em USING (sid, t) WINDOW v AS (PARTITION BY f.sid ORDER BY f.t))"""
+    stats = [("loglik", 1, 0, 0, "sum(ln(c))")]
+    for j in states:
+        opened = {r: f"{n(init[j - 1])} * {n(duration[j - 1, r - 1])} * g{j}_{r}" for r in ages}
+        stats.append(("init", j, 0, 0, f"sum({' + '.join(opened.values())}) FILTER (WHERE t = 1)"))
+        later = " + ".join(f"a{i}_1 * {n(transition[i - 1, j - 1])}" for i in states if i != j)
+        for r in ages:
+            stats.append(("duration", j, r, 0, f"sum({opened[r]}) FILTER (WHERE t = 1) + coalesce(sum(({later}) * {n(duration[j - 1, r - 1])} * h{j}_{r}), 0)"))
+        for i in states:
+            after = " + ".join(f"{n(duration[i - 1, r - 1])} * h{i}_{r}" for r in ages)
+            stats.append(("transition", j, i, 0, f"coalesce(sum(a{j}_1 * {n(transition[j - 1, i - 1])} * ({after})), 0)"))
+        stats.append(("w", j, 0, 0, f"sum(p{j})"))
+        stats.append(("w2", j, 0, 0, f"sum(p{j} * p{j})"))
+        for a in dims:
+            stats.append(("wx", j, a, 0, f"sum(p{j} * z{a})"))
+            stats += [("wxx", j, a, b, f"sum(p{j} * z{a} * z{b})") for b in dims]
+    packed = ", ".join(f"{{'part': '{s}', 'a': {a}, 'b': {b}, 'c': {c}, 'v': ({v})::DOUBLE}}" for s, a, b, c, v in stats)
+    sums = f"""
+sums AS MATERIALIZED (
+  SELECT s.part AS part, s.a::BIGINT AS a, s.b::BIGINT AS b, s.c::BIGINT AS c, s.v AS v, n
+  FROM (SELECT unnest([{packed}]) AS s, count(*) AS n FROM post))"""
+    recursive = f"WITH RECURSIVE {head}, {forward}, {backward}, {sums}\n"
+    q = {"given_model_statistics": recursive + "SELECT part, a, b, c, round(v / n, 6) AS value FROM sums"}
+    q["given_model_next"] = recursive + """
+, parts AS (SELECT s.*, w.v AS w, w2.v AS w2, x.v AS xa, y.v AS xb
+            FROM sums s LEFT JOIN sums w ON w.part = 'w' AND w.a = s.a LEFT JOIN sums w2 ON w2.part = 'w2' AND w2.a = s.a
+            LEFT JOIN sums x ON x.part = 'wx' AND x.a = s.a AND x.b = s.b LEFT JOIN sums y ON y.part = 'wx' AND y.a = s.a AND y.b = s.c)
+SELECT CASE part WHEN 'wx' THEN 'mu' WHEN 'wxx' THEN 'sigma' ELSE part END AS part, a, b, c,
+       round(CASE part WHEN 'init' THEN v / sum(v) OVER (PARTITION BY part)
+                       WHEN 'wx' THEN v / w
+                       WHEN 'wxx' THEN (v / w - xa * xb / (w * w)) / (1 - w2 / (w * w))
+                       ELSE v / sum(v) OVER (PARTITION BY part, a) END, 6) AS value
+FROM parts WHERE part NOT IN ('loglik', 'w', 'w2')"""
+    # Best paths: weights of (state, elapsed), with the best end of every state and the source of every start.
+    ends = {j: [f"d{j}_{r} + ln({n(duration[j - 1, r - 1])})" for r in ages] for j in states}
+    best_end = ", ".join(f"greatest({', '.join(ends[j])}) AS e{j}" for j in states)
+    age_of = ", ".join(
+        f"CASE {' '.join(f'WHEN {v} = greatest({chr(44).join(ends[j])}) THEN {r}' for r, v in zip(ages, ends[j]))} END AS u{j}" for j in states
+    )
+    moves = {j: {i: f"e{i} + ln({n(transition[i - 1, j - 1])})" for i in states if i != j} for j in states}
+    source = ", ".join(
+        f"CASE {' '.join(f'WHEN {v} = greatest({chr(44).join(moves[j].values())}) THEN {i}' for i, v in moves[j].items())} END AS s{j}" for j in states
+    )
+    into = ", ".join(f"greatest({', '.join(moves[j].values())}) + l{j} AS d{j}_1" for j in states)
+    going = ", ".join(f"d{j}_{r - 1} + l{j} AS d{j}_{r}" for j, r in cells if r > 1)
+    order = ", ".join(f"d{j}_{r}" for j, r in cells)
+    sources = ", ".join(f"s{j}" for j in states)
+    used = ", ".join(f"u{j}" for j in states)
+    opened = ", ".join(f"ln({n(init[j - 1])}) + l{j} AS d{j}_1" for j in states)
+    never = ", ".join(f"'-infinity'::DOUBLE AS d{j}_{r}" for j, r in cells if r > 1)
+    survivor = np.cumsum(duration[:, ::-1], axis=1)[:, ::-1]
+    closing = {(j, r): f"d{j}_{r} + ln({n(survivor[j - 1, r - 1])})" for j, r in cells}
+    top = f"greatest({', '.join(closing.values())})"
+    state_case = " ".join(f"WHEN {v} = {top} THEN {j}" for (j, _), v in closing.items())
+    age_case = " ".join(f"WHEN {v} = {top} THEN {r}" for (_, r), v in closing.items())
+    prior = " ".join(f"WHEN {j} THEN v.s{j}" for j in states)
+    pick = "CASE CASE p.state " + prior + " END " + " ".join(f"WHEN {j} THEN v.u{j}" for j in states) + " END"
+    q["given_model_paths"] = f"""WITH RECURSIVE {head},
+vt AS (
+  SELECT sid, t, {order}, {", ".join(f"0 AS s{j}" for j in states)}, {", ".join(f"0 AS u{j}" for j in states)}
+  FROM (SELECT sid, t, {opened}, {never} FROM em WHERE t = 1)
+  UNION ALL
+  SELECT sid, t, {order}, {sources}, {used}
+  FROM (SELECT sid, t, {into}, {going}, {source}, {used}
+        FROM (SELECT *, {best_end}, {age_of} FROM (SELECT e.sid, e.t, {", ".join(f"e.l{j}" for j in states)}, {order}
+              FROM em e JOIN vt ON vt.sid = e.sid AND e.t = vt.t + 1)))),
+walk AS MATERIALIZED (SELECT * FROM vt),
+path AS (
+  SELECT sid, t, (CASE {state_case} END)::INT AS state, (CASE {age_case} END)::INT AS age FROM walk WHERE t = (SELECT max(t) FROM walk w WHERE w.sid = walk.sid)
+  UNION ALL
+  SELECT p.sid, p.t - 1, CASE WHEN p.age > 1 THEN p.state ELSE CASE p.state {prior} END END,
+         CASE WHEN p.age > 1 THEN p.age - 1 ELSE {pick} END
+  FROM path p JOIN walk v ON v.sid = p.sid AND v.t = p.t WHERE p.t > 1)
+SELECT p.sid AS subject_id, e.grp AS "group", e.file, p.t AS timepoint, p.state::BIGINT AS state FROM path p JOIN em e USING (sid, t)"""
+    near = ", ".join(f"{' + '.join(f'(z{a} - ({n(mu[j - 1, a - 1])})) * (z{a} - ({n(mu[j - 1, a - 1])}))' for a in dims)} AS d{j}" for j in states)
+    least = f"least({', '.join(f'd{j}' for j in states)})"
+    clusters = f"""WITH {head},
+members AS (SELECT *, CASE {" ".join(f"WHEN d{j} = {least} THEN {j}" for j in states)} END AS s FROM (SELECT *, {near} FROM em)),
+long AS (SELECT sid, t, s, unnest(range(1, {p + 1})) AS i, unnest([{", ".join(f"z{a}" for a in dims)}]) AS x FROM members),
+means AS (SELECT s, i, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM long GROUP BY s, i)"""
+    q["given_model_lloyd_step"] = clusters + """
+SELECT 'size' AS part, s::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, n::DOUBLE AS value FROM means WHERE i = 1
+UNION ALL SELECT 'centre', s, i, 0, round(m, 6) FROM means"""
+    q["given_model_shrinkage"] = clusters + """,
+std AS (SELECT sid, t, s, i, (x - m) / sd AS y FROM long JOIN means USING (s, i)),
+pairs AS (SELECT a.s, a.i, b.i AS j, count(*) AS n, sum(a.y * b.y) AS c, sum(a.y * a.y * b.y * b.y) AS c2
+          FROM std a JOIN std b USING (sid, t) GROUP BY a.s, a.i, b.i),
+vars AS (SELECT *, n / ((n - 1.0) ** 3) * (c2 - c * c / n) AS v, c / (n - 1) AS r FROM pairs),
+lam AS (SELECT s, least(1.0, greatest(0.0, sum(v) / sum(r * r))) AS l FROM vars WHERE i <> j GROUP BY s),
+mid AS (SELECT s, median(sd * sd) AS target FROM means GROUP BY s),
+lamv AS (SELECT s, least(1.0, greatest(0.0, sum(v * sd ** 4) / sum((sd * sd - target) ** 2))) AS l
+         FROM vars JOIN means USING (s, i) JOIN mid USING (s) WHERE i = j GROUP BY s),
+spread AS (SELECT s, i, lamv.l * target + (1 - lamv.l) * sd * sd AS v FROM means JOIN mid USING (s) JOIN lamv USING (s))
+SELECT 'mean' AS part, s::BIGINT AS a, i::BIGINT AS b, 0::BIGINT AS c, round(m, 6) AS value FROM means
+UNION ALL
+SELECT 'covariance', p.s, p.i, p.j, round(CASE WHEN p.i = p.j THEN 1 ELSE (1 - lam.l) * p.r END * sqrt(x.v) * sqrt(y.v), 6)
+FROM vars p JOIN lam ON lam.s = p.s JOIN spread x ON x.s = p.s AND x.i = p.i JOIN spread y ON y.s = p.s AND y.i = p.j"""
+    return q
+
+
+def oracle(given: tuple) -> dict[str, str]:
+    q: dict[str, str] = given_model_sql(*given)
     q["information_criteria"] = """
 WITH binned AS (
   SELECT k, least(k - 1, floor((l_quantity - 1) * k / 50)) AS bin

@@ -162,10 +162,15 @@ def rescale(
 
 
 def adjusted_rand_index(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index of two labelings, from the contingency table (labels x labels rows):
-    every cell is added to its own pair, its row and its column in one pass."""
+    """Adjusted Rand index of two labelings."""
+    return rand_from_cells(df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__n")), x, y, "__n", keys)
+
+
+def rand_from_cells(cells: DataFrame, x: str, y: str, count: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adjusted Rand index from contingency tables (labels x labels rows), whose cells may come in several
+    parts: every part is added to its own pair, its row and its column in one pass."""
     keys = list(keys)
-    cells = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__n"))
+    cells = cells.select(*keys, x, y, F.col(count).alias("__n"))
     a, b, none = F.col(x).cast("string"), F.col(y).cast("string"), F.lit(None).cast("string")
     parts = F.array(
         *[

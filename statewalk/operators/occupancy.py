@@ -44,11 +44,20 @@ def occupancy_wide(occupancy: DataFrame, k: int) -> DataFrame:
 
 def occupancy_violations(occupancy: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """Subjects whose percentages do not add up to 100."""
-    total = F.sum("occupancy_percent")
-    return (
-        occupancy.groupBy("subject_id").agg(total.alias("total_percent"))
-        .filter(F.abs(F.col("total_percent") - 100.0) > tolerance)
-    )
+    return occupancy_totals(occupancy, tolerance).filter(~F.col("complete")).drop("complete")
+
+
+def occupancy_totals(occupancy: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Sum of the percentages per subject, and whether it is 100."""
+    totals = occupancy.groupBy("subject_id").agg(F.sum("occupancy_percent").alias("total_percent"))
+    return totals.withColumn("complete", F.abs(F.col("total_percent") - 100.0) <= tolerance)
+
+
+def check_occupancy(occupancy: DataFrame) -> None:
+    """Every subject's percentages must add up to 100."""
+    wrong = occupancy_violations(occupancy).limit(5).collect()
+    if wrong:
+        raise ValueError("occupancy does not add up to 100 for subjects " + ", ".join(str(r["subject_id"]) for r in wrong))
 
 
 def group_occupancy_summary(

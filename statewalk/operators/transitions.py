@@ -102,6 +102,33 @@ def group_transition_matrices(counts: DataFrame, k: int) -> DataFrame:
     return pooled.select("group", F.explode(F.array(*rows)).alias("r")).select("group", "r.*")
 
 
+def wide_matrices(counts: DataFrame, k: int, value: str) -> DataFrame:
+    """One row per group and origin, one column per destination; ``value`` is transition_count or
+    probability."""
+    long = group_transition_matrices(counts, k)
+    return long.groupBy("group", "from_state").agg(
+        *[F.max(F.when(F.col("to_state") == j, F.col(value))).alias(f"to_{j}") for j in range(1, k + 1)]
+    )
+
+
+def difference_matrix(
+    counts: DataFrame, k: int, reference: str = config.REFERENCE_GROUP, target: str = config.TARGET_GROUP
+) -> DataFrame:
+    """Target minus reference probabilities, one row per origin and one column per destination. The
+    diagonal is NULL, as no run is followed by one of its own state."""
+    wide = wide_matrices(counts, k, "probability")
+
+    def of(group: str, j: int) -> Column:
+        return F.max(F.when(F.col("group") == group, F.col(f"to_{j}")))
+
+    return wide.groupBy("from_state").agg(
+        *[
+            F.when(F.col("from_state") != j, of(target, j) - of(reference, j)).alias(f"to_{j}")
+            for j in range(1, k + 1)
+        ]
+    )
+
+
 def _origins(k: int) -> Column:
     """The count row of a subject as an array with one struct per origin state; d1..d(k-1) are the
     destinations in order, the origin left out."""

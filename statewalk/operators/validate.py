@@ -118,3 +118,18 @@ def subject_information(decoded: DataFrame) -> DataFrame:
         F.min("group").alias("group"), F.min("file").alias("file"),
         F.count(F.lit(1)).alias("n_timepoints"),
     )
+
+
+def length_check(subjects: DataFrame, decoded: DataFrame) -> DataFrame:
+    """One row: sum of the sequence lengths, number of rows, and whether they are equal."""
+    lengths = subjects.agg(F.coalesce(F.sum("n_timepoints"), F.lit(0)).alias("total_length"))
+    rows = decoded.agg(F.count(F.lit(1)).alias("n_rows"))
+    # Two one-row tables side by side.
+    both = lengths.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").drop("one")
+    return both.withColumn("equal", F.col("total_length") == F.col("n_rows"))
+
+
+def check_lengths(subjects: DataFrame, decoded: DataFrame) -> None:
+    row = length_check(subjects, decoded).first()
+    if not row["equal"]:
+        raise ValueError(f"sequence lengths add up to {row['total_length']}, but there are {row['n_rows']} rows")

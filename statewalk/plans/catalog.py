@@ -185,6 +185,11 @@ def sequence_queries() -> dict[str, Query]:
         "subject_transitions": lambda s, d: transitions.subject_transition_table(
             _counts(s, d), K
         ),
+        "transition_count_matrices": lambda s, d: transitions.wide_matrices(_counts(s, d), K, "transition_count"),
+        "transition_probability_matrices": lambda s, d: transitions.wide_matrices(_counts(s, d), K, "probability"),
+        "transition_difference_matrix": lambda s, d: transitions.difference_matrix(_counts(s, d), K),
+        "length_check": lambda s, d: validate.length_check(_subjects(s, d), decoded(s, d)),
+        "occupancy_violations": lambda s, d: occupancy.occupancy_totals(_occupancy(s, d)),
         "group_transition_matrices": lambda s, d: transitions.group_transition_matrices(
             _counts(s, d), K
         ),
@@ -455,7 +460,7 @@ def _hsmm_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = materialize(
         decoded_labels(_chunk_table(spark, sf_dir), models), "decoded_by_run"
     )
-    return match.pairwise_stability(sigma, mu, labelled, sorted(models), k)
+    return match.with_starts(match.pairwise_stability(sigma, mu, labelled, sorted(models), k), kept)
 
 
 def _hsmm_within(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ from statewalk import config
 from statewalk.model import match, select
 from statewalk.model.chunks import chunk_table
 from statewalk.model.decode import decoded_labels, decoded_rows
-from statewalk.model.fit import fit_starts, fit_table, model_of
+from statewalk.model.fit import fit_starts, fit_table, model_of, start_log
+from statewalk.model.journal import Journal
 from statewalk.model.start import planned_starts
 from statewalk.operators import graph, matrices, occupancy, runs, sojourn, transitions, validate
 from statewalk.sinks.tables import Output
@@ -58,12 +59,14 @@ def model_stage(
         fits = fit_starts(
             chunks, planned_starts(k_values, starts, s.master_seed), s.duration_cap,
             s.max_iterations, s.tolerance, s.kmeans_iterations,
+            Journal(spark, out.path(f"fit_journal_{min(k_values)}_{max(k_values)}_{min(starts)}")),
         )
         return fit_table(spark, fits, s.max_iterations)
 
     first = range(1, s.starts_model_selection + 1)
     fits = out.table(fit(s.k_values, first), "fits_model_selection", ["k"])
     out.report(fits.drop("model", "log_lik_trace"), "random_starts_model_selection")
+    out.table(start_log(fits), "log_likelihood_by_iteration")
     select.require_all_k(fits)
     selection = out.report(
         select.model_selection(fits, chunks.p, m, chunks.n_rows), "model_selection_bic"
@@ -101,7 +104,7 @@ def model_stage(
     sigma, mu = match.parameter_tables(numbered)
     by_run = out.table(decoded_labels(chunks, models), "decoded_by_run")
     pairs = out.report(
-        match.pairwise_stability(sigma, mu, by_run, sorted(models), k), "pairwise_stability"
+        match.with_starts(match.pairwise_stability(sigma, mu, by_run, sorted(models), k), numbered), "pairwise_stability"
     )
     out.report(match.stability_summary(pairs), "stability_summary")
     out.report(
@@ -131,14 +134,17 @@ def state_stage(
     out.report(
         matrices.roi_names(matrices.mean_signal_wide(means, k), names), "state_mean_signal_wide"
     )
+    out.settings({"selected_K": k, "variables": len(names)}, "state_settings")
 
 
 def occupancy_stage(
     spark: SparkSession, decoded: DataFrame, k: int, out: Output, s: Settings
 ) -> None:
     validate.check_decoded(decoded, k)
-    out.table(validate.subject_information(decoded), "decoded_subject_information")
+    subjects = out.table(validate.subject_information(decoded), "decoded_subject_information")
+    validate.check_lengths(subjects, decoded)
     long = out.table(occupancy.subject_occupancy(decoded, k), "subject_occupancy_long")
+    occupancy.check_occupancy(long)
     out.table(occupancy.occupancy_wide(long, k), "subject_occupancy")
     out.table(
         occupancy.wide_state_sequences(decoded, s.sequence_width), "viterbi_sequences_wide"
@@ -151,12 +157,15 @@ def occupancy_stage(
         occupancy.occupancy_permutation_test(long, k, s.occupancy_permutations),
         "state_occupancy_permutation_tests", 6,
     )
+    out.settings({"selected_K": k, **asdict(s)}, "occupancy_settings")
 
 
 def sojourn_stage(
     spark: SparkSession, decoded: DataFrame, k: int, out: Output, s: Settings
 ) -> None:
     validate.check_decoded(decoded, k)
+    if s.duration_cap < 1:
+        raise ValueError("the largest duration must be 1 or more")
     complete = out.table(runs.complete_runs(runs.state_runs(decoded)), "complete_sojourn_runs")
     if complete.isEmpty():
         raise ValueError("no complete internal runs")
@@ -171,6 +180,7 @@ def sojourn_stage(
         ),
         "sojourn_kl_permutation_results", 6,
     )
+    out.settings({"selected_K": k, **asdict(s)}, "sojourn_settings")
 
 
 def transition_stage(
@@ -180,12 +190,20 @@ def transition_stage(
     counts = out.table(transitions.subject_counts(decoded, k), "subject_transition_counts")
     out.table(transitions.subject_transition_table(counts, k), "subject_transition_table")
     out.report(transitions.group_transition_matrices(counts, k), "group_transition_matrices")
+    for value, name in (("transition_count", "count"), ("probability", "probability")):
+        wide = transitions.wide_matrices(counts, k, value)
+        for group, label in ((config.REFERENCE_GROUP, "td"), (config.TARGET_GROUP, "dyslexia")):
+            own = wide.filter(F.col("group") == group).drop("group")
+            out.report(own.orderBy("from_state"), f"transition_{name}_matrix_{label}")
+    difference = transitions.difference_matrix(counts, k)
+    out.report(difference.orderBy("from_state"), "transition_probability_difference_matrix")
     tested = transitions.transition_permutation_test(counts, k, s.transition_permutations)
     intervals = transitions.transition_bootstrap(counts, k, s.bootstraps)
     full = out.report(
         transitions.transition_comparison(tested, intervals), "transition_group_comparison", 6
     )
     out.report(transitions.large_differences(full), "large_transition_differences")
+    out.settings({"selected_K": k, **asdict(s)}, "transition_settings")
 
 
 def topology_stage(

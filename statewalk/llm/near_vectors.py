@@ -344,9 +344,9 @@ def near_duplicates(
         nodes_b, copies_b, unit_b, _ = sides[max(sides)]
         b, a = graph.within(unit_b.astype(np.float32), least - 1e-5, len(sides) == 1)
         if len(sides) == 1:
-            # Found from either end counts for both.
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            a, b = np.unique(np.stack([a, b])[:, a != b], axis=1)
+            # Found from either end counts for both; a pair is one number, which sorts fast.
+            pairs = np.unique((np.minimum(a, b).astype(np.int64) * len(unit) + np.maximum(a, b))[a != b])
+            a, b = pairs // len(unit), pairs % len(unit)
         exact = np.concatenate([
             np.einsum("ij,ij->i", unit[a[i : i + 65536]], unit_b[b[i : i + 65536]]) for i in range(0, len(a), 65536)
         ]) if len(a) else np.zeros(0)

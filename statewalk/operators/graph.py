@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -195,18 +195,52 @@ def louvain_memberships(
 
 
 def agreement(memberships: DataFrame) -> DataFrame:
-    """Share of repetitions in which i < j fall in one community, zeros included; a repetition
-    has p nodes."""
-    left = memberships.select(
-        "state", "rep", F.col("community").alias("ci"), F.col("node").alias("i")
+    """Share of repetitions in which i < j fall in one community, zeros included. The memberships of a
+    repetition (p nodes) are one row; a task adds up which nodes stand together, one p x p block per state, so
+    what is shuffled does not depend on the number of repetitions."""
+    point = F.struct("node", "community")
+    rows = memberships.groupBy("state", "rep").agg(F.array_sort(F.collect_list(point)).alias("m")).select(
+        "state", F.col("m.node").alias("nodes"), F.col("m.community").alias("communities")
     )
-    right = memberships.select(
-        "state", "rep", F.col("community").alias("cj"), F.col("node").alias("j")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        together: dict[tuple, np.ndarray] = {}
+        runs: dict[tuple, int] = {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                key, c = (r.state, tuple(r.nodes)), np.asarray(r.communities)
+                same = (c[:, None] == c[None, :]).astype(np.int64)
+                together[key] = together[key] + same if key in together else same
+                runs[key] = runs.get(key, 0) + 1
+        for (state, nodes), counts in together.items():
+            i, j = np.triu_indices(len(nodes), 1)
+            at = np.array(nodes)
+            yield pd.DataFrame(
+                {"state": state, "i": at[i], "j": at[j], "n": counts[i, j], "runs": runs[state, nodes]}
+            )
+
+    parts = rows.mapInPandas(fold, "state int, i int, j int, n bigint, runs bigint")
+    return parts.groupBy("state", "i", "j").agg((F.sum("n") / F.sum("runs")).alias("agreement"))
+
+
+def partition_modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """Modularity of a given partition (state, node, community) of every state's network: weight inside
+    communities against that expected from strengths. NULL without any weight."""
+    ends = partition.select("state", "node", "community")
+    inside = edges.join(
+        ends.select("state", F.col("node").alias("i"), F.col("community").alias("ci")), ["state", "i"]
+    ).join(ends.select("state", F.col("node").alias("j"), F.col("community").alias("cj")), ["state", "j"])
+    weights = inside.groupBy("state").agg(
+        F.sum("w").alias("total"), F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0)).alias("within")
     )
-    return (
-        left.join(right, ["state", "rep"]).filter(F.col("i") < F.col("j"))
-        .groupBy("state", "i", "j")
-        .agg(F.avg((F.col("ci") == F.col("cj")).cast("double")).alias("agreement"))
+    strength = _both_ways(edges).groupBy("state", "node").agg(F.sum("w").alias("s")).join(ends, ["state", "node"])
+    expected = strength.groupBy("state", "community").agg(F.sum("s").alias("s")).groupBy("state").agg(
+        F.sum(F.col("s") * F.col("s")).alias("squares")
+    )
+    states = partition.select("state").distinct()
+    total = F.when(F.col("total") > 0, F.col("total"))
+    return states.join(weights, "state", "left").join(expected, "state", "left").select(
+        "state", (F.col("within") / total - F.col("squares") / (4 * total * total)).alias("modularity")
     )
 
 

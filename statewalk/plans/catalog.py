@@ -245,6 +245,17 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _given_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight partitions of every network by a formula."""
+    rep = F.explode(F.sequence(F.lit(1), F.lit(8)))
+    nodes = _nodes(spark, sf_dir).select("state", "node", rep.alias("rep"))
+    return nodes.withColumn("community", ((F.col("node") * F.col("rep") + F.col("state")) % 5).cast("int"))
+
+
+def _topology(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
+    return graph.topology_tables(_correlation(spark, sf_dir), agreements=_agreement(spark, sf_dir))[which]
+
+
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hub(
         spark, sf_dir, "louvain_agreement", lambda: graph.agreement(_members(spark, sf_dir))
@@ -322,6 +333,13 @@ def matrix_queries() -> dict[str, Query]:
             _edges(s, d), _nodes(s, d)
         ).select("state", "node", "weighted_clustering"),
         "node_betweenness": lambda s, d: graph.node_betweenness(_edges(s, d), _nodes(s, d)),
+        "given_partition_agreement": lambda s, d: graph.agreement(_given_memberships(s, d)),
+        "given_partition_modularity": lambda s, d: graph.partition_modularity(
+            _edges(s, d), _given_memberships(s, d).filter("rep = 3")
+        ),
+        "topology_primary_metrics": lambda s, d: _topology(s, d, 0),
+        "topology_additional_metrics": lambda s, d: _topology(s, d, 1),
+        "topology_node_metrics": lambda s, d: _topology(s, d, 2),
         "state_matrices_from_csv": _matrices_from_csv,
         "louvain_memberships": _members,
         "consensus_agreement": _agreement,

@@ -190,4 +190,27 @@ FROM nodes n LEFT JOIN (
   WHERE st.i < st.j AND abs(sv.d + vt.d - st.d) < 1e-10) x
   ON x.state = n.state AND x.node = n.node
 GROUP BY ALL"""
+    def exact(name: str) -> str:
+        """A query without its rounding."""
+        return q[name].replace("round(", "(").replace(", 6)", ")")
+
+    given = f"""
+given AS (SELECT state, node, rep, (node * rep + state) % 5 AS community
+          FROM nodes CROSS JOIN (SELECT unnest(range(1, 9)) AS rep))"""
+    q["given_partition_agreement"] = _with(*g, given) + """
+SELECT a.state::BIGINT AS state, a.node AS i, b.node AS j, round(avg((a.community = b.community)::INT), 6) AS agreement
+FROM given a JOIN given b ON a.state = b.state AND a.rep = b.rep AND a.node < b.node GROUP BY ALL"""
+    q["given_partition_modularity"] = _with(*g, given) + """
+SELECT t.state::BIGINT AS state, round(sum(CASE WHEN x.community = y.community THEN coalesce(w.w, 0) - sx.strength * sy.strength / t.total END) / t.total, 6) AS modularity
+FROM (SELECT state, sum(strength) AS total FROM degrees GROUP BY state) t
+JOIN given x ON x.state = t.state AND x.rep = 3 JOIN given y ON y.state = t.state AND y.rep = 3
+JOIN degrees sx ON sx.state = t.state AND sx.node = x.node JOIN degrees sy ON sy.state = t.state AND sy.node = y.node
+LEFT JOIN ways w ON w.state = t.state AND w.i = x.node AND w.j = y.node GROUP BY t.state, t.total"""
+    q["topology_additional_metrics"] = f"""
+SELECT s.state, s.positive_edges, round(s.density, 6) AS density, round(s.mean_degree, 6) AS mean_degree, round(s.cost, 6) AS cost,
+       round(s.mean_strength, 6) AS mean_strength, round(p.average_path_length, 6) AS average_path_length,
+       round(c.m, 6) AS weighted_clustering, round(b.m, 6) AS mean_betweenness
+FROM ({exact("network_summary")}) s JOIN ({exact("path_metrics")}) p USING (state)
+JOIN (SELECT state, avg(weighted_clustering) AS m FROM ({exact("weighted_clustering")}) GROUP BY state) c USING (state)
+JOIN (SELECT state, avg(betweenness) AS m FROM ({exact("node_betweenness")}) GROUP BY state) b USING (state)"""
     return q

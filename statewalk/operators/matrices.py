@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewalk.functions.stats import safe_correlation
 
-MOMENT_SCHEMA = "state int, i int, j int, n bigint, mean_i double, mean_j double, c double"
+MOMENT_SCHEMA = "state int, task bigint, n bigint, mean array<double>, c array<double>"
+MERGED = 256
 SQRT_EPS = 1.4901161193847656e-08
 
 
@@ -44,40 +47,77 @@ def variance_violations(series: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter(F.col("sd").isNull() | F.isnan("sd") | (F.col("sd") <= SQRT_EPS))
 
 
-def _batch_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@dataclass
+class Moments:
+    """Count, mean and centred cross products (upper triangle) of some rows; two of them merge exactly
+    about their common mean, so sums of raw products never meet."""
+
+    n: int
+    mean: np.ndarray
+    cross: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0)
+        centred = x - mean
+        return cls(len(x), mean, (centred.T @ centred)[np.triu_indices(x.shape[1])])
+
+    def merged(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        i, j = np.triu_indices(len(gap))
+        cross = self.cross + other.cross + gap[i] * gap[j] * (self.n * other.n / n)
+        return Moments(n, self.mean + gap * (other.n / n), cross)
+
+
+def _moment_rows(found: dict[int, Moments], task: int) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "state": list(found), "task": task, "n": [m.n for m in found.values()],
+            "mean": [m.mean.tolist() for m in found.values()], "c": [m.cross.tolist() for m in found.values()],
+        }
+    )
+
+
+def _task_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found: dict[int, Moments] = {}
     for batch in batches:
         for state, rows in batch.groupby("state"):
-            x = np.stack(rows["x"].to_numpy())
-            mean = x.mean(axis=0)
-            centred = x - mean
-            i, j = np.triu_indices(x.shape[1])
-            yield pd.DataFrame(
-                {
-                    "state": np.int32(state), "i": (i + 1).astype("int32"),
-                    "j": (j + 1).astype("int32"), "n": np.int64(len(x)),
-                    "mean_i": mean[i], "mean_j": mean[j], "c": (centred.T @ centred)[i, j],
-                }
-            )
+            m = Moments.of(np.stack(rows["x"].to_numpy()))
+            found[int(state)] = found[int(state)].merged(m) if int(state) in found else m
+    if found:
+        yield _moment_rows(found, TaskContext.get().partitionId())
+
+
+def _merge_moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    total: Moments | None = None
+    for r in pdf.sort_values("task").itertuples():
+        m = Moments(int(r.n), np.asarray(r.mean), np.asarray(r.c))
+        total = m if total is None else total.merged(m)
+    return _moment_rows({int(pdf["state"].iloc[0]): total}, int(pdf["task"].min()))
 
 
 def state_moments(observations: DataFrame) -> DataFrame:
     """(state, i, j, n, mean_i, mean_j, cov) for i <= j from rows (state, x).
 
-    Every Arrow batch is reduced to centred cross products by one matrix multiplication; the merge
-    of batches is a plain aggregation over p(p+1)/2 rows per state and batch.
+    A task folds its rows to one mergeable record per state; records of ``MERGED`` neighbouring tasks are
+    merged at a time, on three levels, so no group holds more.
     """
-    parts = observations.select("state", "x").mapInPandas(_batch_moments, MOMENT_SCHEMA)
-    n, mi, mj = F.col("n").cast("double"), F.col("mean_i"), F.col("mean_j")
-    merged = parts.groupBy("state", "i", "j").agg(
-        F.sum("n").alias("n"), F.sum(n * mi).alias("si"), F.sum(n * mj).alias("sj"),
-        F.sum(n * mi * mj).alias("sij"), F.sum("c").alias("c"),
+    parts = observations.select("state", "x").mapInPandas(_task_moments, MOMENT_SCHEMA)
+    for level in (1, 2, 3):
+        group = F.floor(F.col("task") / MERGED**level)
+        keys = ["state"] if level == 3 else ["state", group]
+        parts = parts.groupBy(*keys).applyInPandas(_merge_moments, MOMENT_SCHEMA)
+    p = F.size("mean")
+    cells = F.flatten(
+        F.transform(F.sequence(F.lit(1), p), lambda i: F.transform(F.sequence(i, p), lambda j: F.struct(i.alias("i"), j.alias("j"))))
     )
-    total = F.col("n").cast("double")
-    cross = F.col("c") + F.col("sij") - F.col("si") * F.col("sj") / total
-    return merged.select(
-        "state", "i", "j", "n",
-        (F.col("si") / total).alias("mean_i"), (F.col("sj") / total).alias("mean_j"),
-        (cross / F.when(total > 1, total - 1)).alias("cov"),
+    places = parts.select("state", "n", "mean", F.posexplode(F.arrays_zip(cells.alias("at"), F.col("c").alias("c"))).alias("_", "v"))
+    n = F.col("n")
+    return places.select(
+        "state", F.col("v.at.i").alias("i"), F.col("v.at.j").alias("j"), "n",
+        F.get("mean", F.col("v.at.i") - 1).alias("mean_i"), F.get("mean", F.col("v.at.j") - 1).alias("mean_j"),
+        (F.col("v.c") / F.when(n > 1, n - 1)).alias("cov"),
     )
 
 

@@ -144,3 +144,17 @@ def test_names_must_fit_the_matrix(spark):
     for names in (["a"], ["a", "b", "c"], ["a", "a"]):
         with pytest.raises(ValueError, match="names"):
             matrices.roi_names(df, names)
+
+
+def test_moments_merge_about_a_common_mean(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 3)) + 1e7
+    rows = [(int(i % 2) + 1, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "state int, x array<double>").repartition(9)
+    parts = df.mapInPandas(matrices._task_moments, matrices.MOMENT_SCHEMA)
+    assert parts.groupBy("state", "task").count().filter("count > 1").isEmpty()
+    for r in matrices.state_moments(df).collect():
+        own = x[r["state"] - 1 :: 2]
+        assert r["n"] == len(own)
+        want = np.cov(own[:, r["i"] - 1], own[:, r["j"] - 1])[0, 1]
+        assert abs(r["cov"] - want) < 1e-7

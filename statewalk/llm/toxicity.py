@@ -1,194 +1,313 @@
 """Toxicity of documents by their nearest labelled examples.
 
-Examples are a bounded sample of labelled rows, half of each class as far as there are. All words of the
-examples are features; their document frequencies are counted over the whole corpus, and words that go with
-the label in the sample weigh more. A text's neighbours are the examples of highest exact cosine of these
-weighted TF-IDF vectors: an inverted index holds each word's examples and its largest weight, words are
-visited by falling upper bound, and once the rest can lift only a few examples into the result, these alone
-are completed. Words that no example holds can't meet an example and are left out of a text's length, which is
-the same for all its cosines but for a factor. Neighbours vote with
-weights that fall with distance; votes are calibrated on the examples themselves (each without itself),
-re-weighted to the class shares of all labelled documents. Evidence names the neighbours.
-
-Bounds: ``Settings.examples`` per class, so the index that goes to every task is bounded by the words of
-these texts. No shuffle carries texts except the sampled ones. Labels are used to learn only.
+Examples are a bounded sample of labelled rows, half of each class as far as there are. Vectors are plain TF-IDF
+over all words: square root of the count times ln((1 + documents) / (1 + documents with the word)) + 1, counted over
+the whole corpus, divided by the Euclidean length. A word that no example holds counts as one of a single document: it
+meets no example and only lengthens the text's vector. Neighbours are the examples of highest exact cosine.
+
+Block-max inverted index: each word's posting list is cut into blocks of ``RANGE`` neighbouring examples (sorted so
+that similar ones lie together), and each block keeps its largest weight. The words of few examples are added up
+first; the block maxima of the frequent ones then bound every range, the ranges with the highest bounds are opened, and of the
+others all whose bound stays below the cosine of the last neighbour so far are skipped with their blocks.
+
+Neighbours vote with the square of their cosine over that of all neighbours; a toxic neighbour's vote is weighed by how
+strongly the words that it shares with the text go with the label. Neither depends on a text's length. Votes are calibrated on the
+examples themselves (each without itself), re-weighted to the class shares of all labelled documents, by steps that
+never fall, with straight lines between them. Evidence names the neighbours and their cosines.
+
+Words are 64-bit hashes; two words of a vocabulary of a hundred million share one with a probability of 0.03 %.
+
+Bounds: ``Settings.examples`` rows and ``Settings.words`` distinct words in all, per class, bound the index that goes
+to every task (20 bytes per word of an example); postings are built in the tasks. No shuffle carries texts except the
+sampled ones. Labels are used to learn only.
 
 Defined cases: null and empty texts, and texts without a word of the examples, have no neighbours and the rate that
-such texts have among the examples. Null keys and null labels teach nothing, nor do labels of documents that aren't there; of several labels of a
-key the larger counts, of several texts of a key one is an example. Without any labelled rows
-every score is 0. Repeated rows are scored row by row; empty tables give empty results.
+such texts have among the examples. Long texts are read whole; an example with more words than its class may hold in all teaches nothing.
+Null keys and null labels teach nothing, nor do labels of documents that aren't there; of several labels of a
+key the larger counts, of several texts of a key the smallest is the example. Examples with equal cosines (to nine digits) are
+taken in the order of the index, which depends on the examples only. Other columns stay as they are; one named like the result is replaced.
+Without any labelled rows every score is 0. Repeated rows are scored row by row; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import regex
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statewalk.llm.common import fresh
 from statewalk.session import materialize
 
-WORDS = regex.compile(r"\p{L}+")
-#: Words of a text after which the search looks whether it can end, each time twice as many.
+WORDS = re.compile(r"[^\W\d_]+")
+#: Examples of a range, the unit of blocks.
+RANGE = 64
+#: The most frequent words, whose posting lists are kept as blocks with maxima; the postings of others are simply added.
+FREQUENT = 512
+#: Cosines equal to nine digits are ties; sums in another order differ by less.
+SLACK = 2e-9
+#: Short words whose hashes a worker keeps.
+CACHED = 500_000
+#: Texts searched at once.
+BATCH = 64
+#: Random projections by which examples are ordered, at most 64.
+PROJECTIONS = 48
+#: Ranges opened before the rest is compared with its bounds.
 FIRST = 8
 
 
 @dataclass(frozen=True)
 class Settings:
     """examples: most labelled rows of each class in the sample
+    words: most distinct words of a class's examples, summed over them
     neighbours: examples that vote
-    association: likelihood ratio (G) against the label from which a word's weight grows with it in full
-    bins: calibration bins of the vote
+    association: likelihood ratio (G) against the label at which a word has half of its full weight in a vote
+    bins: steps of the calibration, of about equal numbers of examples
     """
 
     examples: int = 8192
-    neighbours: int = 16
+    words: int = 4_000_000
+    neighbours: int = 32
     association: float = 20.0
-    bins: int = 10
+    bins: int = 64
+
 
+_HASHES: dict[str, int] = {}
 
-class Postings(Mapping):
-    """Word: (examples in ascending order, weights, place), over three flat arrays."""
 
-    def __init__(self, starts: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
-        self.starts, self.at, self.weight = starts, at, weight
+def _hash(word: str) -> int:
+    value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    if len(word) <= 32:
+        if len(_HASHES) >= CACHED:
+            _HASHES.clear()
+        _HASHES[word] = value
+    return value
 
-    def __getitem__(self, word: int) -> tuple[np.ndarray, np.ndarray, int]:
-        if not 0 <= word < len(self.starts) - 1 or self.starts[word] == self.starts[word + 1]:
-            raise KeyError(word)
-        part = slice(self.starts[word], self.starts[word + 1])
-        return self.at[part], self.weight[part], part.start
 
-    def __iter__(self) -> Iterator[int]:
-        return iter(np.flatnonzero(np.diff(self.starts)).tolist())
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the distinct lower-cased words of a text."""
+    found = Counter(WORDS.findall((text or "").lower()))
+    known = _HASHES.get
+    hashes = [known(w) or _hash(w) for w in found]
+    return np.array(hashes, np.uint64), np.fromiter(found.values(), np.int64, len(found))
 
-    def __len__(self) -> int:
-        return int(np.count_nonzero(np.diff(self.starts)))
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all half-open spans one after the other, and the spans' lengths."""
+    length = ends - starts
+    return np.repeat(starts - np.cumsum(length) + length, length) + np.arange(length.sum()), length
 
 
 @dataclass
 class Index:
-    """Postings of each word, its largest weight, and the same weights by example."""
+    """Examples by word (``vocabulary``, ascending) with the words of each one after the other. ``postings`` is made where the index is used."""
 
-    words: dict[str, int]
-    idf: np.ndarray  # times the word's association
+    vocabulary: np.ndarray
+    idf: np.ndarray
+    unknown: float
+    association: np.ndarray
     keys: list
     labels: np.ndarray
-    postings: Postings
-    maxima: np.ndarray
-    rows: tuple[np.ndarray, np.ndarray, np.ndarray]  # by example: starts, words, weights
-    rates: np.ndarray  # calibrated score by vote bin; the last is for texts without neighbours
+    starts: np.ndarray
+    held: np.ndarray
+    counts: np.ndarray
     settings: Settings
+    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    without: float = 0.0  # score of texts without neighbours
+    _postings: Postings | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_postings": None}
+
+    @property
+    def postings(self) -> Postings:
+        if self._postings is None:
+            self._postings = Postings(self)
+        return self._postings
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(words, weights) of a text: the words that examples hold, by number; weights over the length of all its words."""
+        hashes, counts = words_of(text)
+        if not len(hashes) or not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == hashes
+        weights = np.sqrt(counts) * np.where(known, self.idf[at], self.unknown)
+        weights /= np.sqrt(weights @ weights)
+        return at[known], weights[known]
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[i], self.starts[i + 1])
+        return self.held[part], self.postings.weight[part]
+
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], near: list[tuple[float, int]]) -> float:
+        """Share of the toxic neighbours in the sum of squared cosines, each by the association of its shared words."""
+        if not near:
+            return -1.0
+        toxic = [(s, i) for s, i in near if self.labels[i]]
+        shared = self.postings.marks
+        shared[vector[0]] = True
+        total = 0.0
+        for s, i in toxic:
+            words = self.held[self.starts[i] : self.starts[i + 1]]
+            total += s * s * float(self.association[words[shared[words]]].max(initial=0.0))
+        shared[vector[0]] = False
+        return total / sum(s * s for s, _ in near)
+
+    def score(self, vote: float) -> float:
+        return self.without if vote < 0 else float(np.interp(vote, *self.steps))
+
+
+def _alike(owner: np.ndarray, held: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, n: int) -> np.ndarray:
+    """Order of ``n`` examples in which similar ones lie together: random projections of their vectors, halved again and
+    again along the direction in which they differ most."""
+    bits = vocabulary[held]
+    seen = np.empty((n, PROJECTIONS))
+    for j in range(PROJECTIONS):
+        sign = 1.0 - 2.0 * ((bits >> np.uint64(j)) & np.uint64(1))
+        seen[:, j] = np.bincount(owner, weights=weight * sign, minlength=n)
+    parts, out = [np.arange(n)], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= RANGE:
+            out.append(part)
+            continue
+        x = seen[part] - seen[part].mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        turned = part[np.argsort(along, kind="stable")]
+        half = max(1, round(len(part) / RANGE / 2)) * RANGE
+        parts += [turned[half:], turned[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Postings:
+    """Block-max inverted index of an ``Index``.
+
+    order: examples by place; starts, at, weights: places and weights by word
+    row: a frequent word's row of blocks, or -1; blocks: its weights by range; maxima: the largest of each block
+    """
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        counts: dict[int, int] = {}
-        known = self.words
-        for w in WORDS.findall((text or "").lower()):
-            if (i := known.get(w)) is not None:
-                counts[i] = counts.get(i, 0) + 1
-        return normed(counts, self.idf)
-
-    def nearest(self, vector: dict[int, float], without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest examples with a cosine above 0, best first."""
-        k, n = self.settings.neighbours, len(self.keys)
-        words = np.fromiter(vector, np.int64, len(vector))
-        weights = np.fromiter(vector.values(), np.float64, len(vector))
-        bounds = weights * self.maxima[words]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        words, weights = words[order], weights[order]
-        rest = np.append(np.cumsum(bounds[order][::-1])[::-1], 0.0)
-        starts, at, weight = self.postings.starts, self.postings.at, self.postings.weight
-        scores = np.zeros(n)
-        done, look = 0, FIRST
-        while done < len(words):
-            for w, x in zip(words[done:look].tolist(), weights[done:look].tolist(), strict=True):
-                part = slice(starts[w], starts[w + 1])
-                scores[at[part]] += x * weight[part]
-            done, look = min(look, len(words)), look * 2
-            if without >= 0:
-                scores[without] = 0
-            if done == len(words) or n <= k:
-                continue
-            # Examples that could still be in the result; cosines equal to nine digits are ties.
-            least = np.partition(scores, -k)[-k] - rest[done] - 2e-9
-            if least <= 0:
-                continue
-            open_ = np.flatnonzero(scores > least)
-            if len(open_) * 4 < n:
-                kept = np.zeros(n)
-                kept[open_] = self._completed(open_, words, weights)
-                scores = kept
-                break
-        if without >= 0:
-            scores[without] = 0
-        hit = np.flatnonzero(scores > 0)
-        if len(hit) > k:
-            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 2e-9]
+    def __init__(self, index: Index) -> None:
+        n, size = len(index.keys), len(index.vocabulary)
+        lengths = np.diff(index.starts)
+        owner = np.repeat(np.arange(n), lengths)
+        weight = np.sqrt(index.counts) * index.idf[index.held]
+        weight /= np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))[owner]
+        self.n, self.ranges = n, -(-n // RANGE)
+        self.weight, self.neighbours = weight, index.settings.neighbours
+        self.marks = np.zeros(size, bool)
+        self.order = _alike(owner, index.held, weight, index.vocabulary, n)
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        by_word = np.argsort(index.held, kind="stable")
+        self.at, self.weights = self.place[owner[by_word]].astype(np.int32), weight[by_word]
+        held_by = np.bincount(index.held, minlength=size)
+        self.starts = np.append(0, np.cumsum(held_by))
+        often = np.argsort(-held_by, kind="stable")[:FREQUENT]
+        often = often[held_by[often] >= RANGE]
+        self.row = np.full(size, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.blocks = np.zeros((self.ranges, len(often), RANGE))
+        for row, w in enumerate(often):
+            part = slice(self.starts[w], self.starts[w + 1])
+            self.blocks[self.at[part] // RANGE, row, self.at[part] % RANGE] = self.weights[part]
+        self.maxima = np.ascontiguousarray(self.blocks.max(axis=2, initial=0).T)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """(cosine, example) of each vector's nearest examples with a cosine above 0, best first; ``without``: an example
+        that each vector does not meet."""
+        if not self.n:
+            return [[] for _ in vectors]
+        barred = [-1] * len(vectors) if without is None else [int(self.place[i]) for i in without]
+        queries = np.zeros((len(vectors), self.maxima.shape[0]))
+        scores = np.zeros((len(vectors), self.ranges * RANGE))
+        for i, (words, x) in enumerate(vectors):
+            row = self.row[words]
+            often = row >= 0
+            queries[i, row[often]] = x[often]
+            few = words[~often]
+            at, length = _spans(self.starts[few], self.starts[few + 1])
+            scores[i] = np.bincount(self.at[at], weights=np.repeat(x[~often], length) * self.weights[at], minlength=scores.shape[1])
+        bounds = queries @ self.maxima + scores.reshape(len(vectors), self.ranges, RANGE).max(axis=2)
+        final = np.zeros_like(scores)
+        opened = np.zeros(bounds.shape, bool)
+        best = np.argpartition(-bounds, min(FIRST, self.ranges) - 1, axis=1)[:, :FIRST]
+        np.put_along_axis(opened, best, True, axis=1)
+        self._open(opened, queries, scores, final)
+        for i, b in enumerate(barred):
+            if b >= 0:
+                final[i, b] = 0
+        k = self.neighbours
+        if self.ranges > FIRST:
+            least = np.partition(final, -k, axis=1)[:, -k] if final.shape[1] > k else np.zeros(len(vectors))
+            more = ~opened & (bounds >= least[:, None] - SLACK)
+            self._open(more, queries, scores, final)
+            opened |= more
+        self.share_opened = opened.mean()
+        return [self._best(final[i], barred[i]) for i in range(len(vectors))]
+
+    def _open(self, wanted: np.ndarray, queries: np.ndarray, scores: np.ndarray, final: np.ndarray) -> None:
+        """Scores of the ranges that each query wants: the blocks of all others are skipped."""
+        for r in np.flatnonzero(wanted.any(axis=0)).tolist():
+            rows, part = np.flatnonzero(wanted[:, r]), slice(r * RANGE, (r + 1) * RANGE)
+            final[rows, part] = scores[rows, part] + queries[rows] @ self.blocks[r]
+
+    def _best(self, scores: np.ndarray, barred: int) -> list[tuple[float, int]]:
+        """The nearest of the opened examples."""
+        k = self.neighbours
+        if barred >= 0:
+            scores[barred] = 0
+        least = np.partition(scores, -k)[-k] - SLACK if len(scores) > k else 0.0
+        hit = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores > 0)
+        # Cosines equal to nine digits are ties.
         best = hit[np.lexsort((hit, -np.round(scores[hit], 9)))][:k]
-        return [(float(scores[i]), int(i)) for i in best]
-
-    def _completed(self, examples: np.ndarray, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosines of some examples by their own words."""
-        starts, held, weight = self.rows
-        length = starts[examples + 1] - starts[examples]
-        at = np.repeat(starts[examples] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        order = np.argsort(words)
-        words, weights = words[order], weights[order]
-        place = np.minimum(np.searchsorted(words, held[at]), len(words) - 1)
-        same = words[place] == held[at]
-        owner = np.repeat(np.arange(len(examples)), length)[same]
-        return np.bincount(owner, weights=weight[at][same] * weights[place[same]], minlength=len(examples))
-
-    def bin_of(self, near: list[tuple[float, int]]) -> int:
-        if not near:
-            return self.settings.bins
-        weights = [1 / (1.05 - s) for s, _ in near]
-        vote = sum(w for w, (_, i) in zip(weights, near, strict=True) if self.labels[i]) / sum(weights)
-        return min(int(vote * self.settings.bins), self.settings.bins - 1)
+        return [(c, i) for c, i in zip(scores[best].tolist(), self.order[best].tolist(), strict=True)]
 
 
-def normed(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    raw = {w: (1 + math.log(n)) * float(idf[w]) for w, n in counts.items()}
-    size = math.sqrt(sum(x * x for x in raw.values()))
-    return {w: x / size for w, x in raw.items()} if size else {}
+def association(a: np.ndarray, b: np.ndarray, toxic: int, clean: int, half: float) -> np.ndarray:
+    """How strongly words of ``a`` toxic and ``b`` clean examples go with the label, from 0 to 1: by their likelihood ratio (G)
+    and the excess of their share."""
+    n = max(1, toxic + clean)
 
+    def part(x: np.ndarray, share: float) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1) / (np.maximum(a + b, 1) * share))
 
-def build_index(words: list[str], idf: np.ndarray, examples: list[tuple], settings: Settings) -> Index:
-    """examples: (key, label, {word: count})."""
-    lengths = np.array([len(c) for _, _, c in examples], np.int64)
-    held = np.array([w for _, _, c in examples for w in c], np.int32)
-    counts = np.array([n for _, _, c in examples for n in c.values()], np.int64)
-    known = {w: i for i, w in enumerate(words)}
-    return _indexed(known, idf, [k for k, _, _ in examples], np.array([x for _, x, _ in examples], bool), lengths, held, counts, settings)
+    ratio = np.maximum(2 * (part(a, max(toxic, 0.5) / n) + part(b, max(clean, 0.5) / n)), 0)
+    excess = np.maximum(1 - b * max(toxic, 1) / np.maximum(a * max(clean, 1), 1), 0)
+    return excess * ratio / (ratio + half)
 
 
-def _indexed(
-    words: dict[str, int], idf: np.ndarray, keys: list, labels: np.ndarray, lengths: np.ndarray, held: np.ndarray,
-    counts: np.ndarray, settings: Settings,
+def build_index(
+    examples: list[tuple], frequency: dict[int, int], documents: int, settings: Settings = Settings()
 ) -> Index:
-    """An index of examples with ``lengths`` words each, one after the other; those without words stay out."""
+    """Index of examples (key, label, hashes, counts), one with words or more each, by the corpus' ``documents`` and those with each word."""
+    lengths = [len(h) for _, _, h, _ in examples]
+    flat = [np.concatenate([np.asarray(e[i]) for e in examples]) if examples else np.zeros(0) for i in (2, 3)]
+    vocabulary = np.unique(flat[0].astype(np.uint64))
+    known = np.array([frequency.get(int(w), 0) for w in vocabulary])
+    return _indexed(vocabulary, known, documents, [e[0] for e in examples], [e[1] for e in examples], lengths, flat[0], flat[1], settings)
+
+
+def _indexed(vocabulary, frequency, documents: int, keys, labels, lengths, hashes, counts, settings: Settings) -> Index:
+    labels, lengths = np.asarray(labels, bool), np.asarray(lengths, np.int64)
     kept = np.flatnonzero(lengths)
-    keys, labels, lengths = [keys[i] for i in kept], labels[kept], lengths[kept]
-    starts = np.append(0, np.cumsum(lengths))
-    weight = (1 + np.log(counts)) * idf[held]
-    if len(keys):
-        weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, starts[:-1])), lengths)
-    order = np.argsort(held, kind="stable")
-    at = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)[order]
-    postings = Postings(np.append(0, np.cumsum(np.bincount(held, minlength=len(words)))), at, weight[order])
-    maxima = np.zeros(len(words))
-    np.maximum.at(maxima, held, weight)
-    return Index(words, idf, keys, labels, postings, maxima, (starts, held, weight), np.zeros(settings.bins + 1), settings)
+    held = np.searchsorted(vocabulary, np.asarray(hashes).astype(np.uint64)).astype(np.int32)
+    toxic = np.repeat(labels, lengths)
+    a, b = (np.bincount(held[x], minlength=len(vocabulary)).astype(np.float64) for x in (toxic, ~toxic))
+    strong = association(a, b, int(labels.sum()), int((~labels).sum()), settings.association)
+    idf = np.log((1 + documents) / (1 + np.asarray(frequency, np.float64))) + 1
+    return Index(
+        vocabulary, idf, float(np.log((1 + documents) / 2) + 1), strong, [keys[i] for i in kept], labels[kept],
+        np.append(0, np.cumsum(lengths[kept])), held, np.asarray(counts, np.int32), settings,
+    )
 
 
 def _known(labelled: DataFrame, docs: DataFrame) -> DataFrame:
@@ -205,62 +324,46 @@ def _sample(one: DataFrame, settings: Settings) -> DataFrame:
 
 def _word_counts(sampled: DataFrame) -> DataFrame:
     """(key, label, words, counts) of the sampled texts, one text a key."""
+    schema = sampled.select("key", "label").schema.add("words", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.IntegerType()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = [], []
-            for text in batch.column(2):
-                found: dict[str, int] = {}
-                for w in WORDS.findall((text.as_py() or "").lower()):
-                    found[w] = found.get(w, 0) + 1
-                words.append(list(found))
-                counts.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["key", "label", "words", "counts"],
-            )
-
-    schema = sampled.select("key", "label").schema.add("words", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.LongType()))
-    return sampled.select("key", "label", "text").mapInArrow(run, schema)
+            found = [words_of(t.as_py()) for t in batch.column(2)]
+            words = pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, pa.array([c for _, c in found], pa.list_(pa.int32()))], names=schema.names)
 
+    return sampled.select("key", "label", "text").mapInArrow(run, schema)
 
-def _features(counted: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
-    """All words of the examples, and what their weights are multiplied by: 1, more for words whose share
-    of toxic examples stands out."""
-    totals = counted.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
-    toxic, clean = totals["t"], totals["n"] - totals["t"]
-    by_word = counted.select("label", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum("label").alias("a"), (F.count("*") - F.sum("label")).alias("b")
-    )
-    found = by_word.toArrow().sort_by("word")  # bounded by the words of the examples
-    a, b = (found[x].to_numpy().astype(np.float64) for x in ("a", "b"))
-    # Likelihood ratio of the word's class shares against those of the sample.
-    n = max(1, toxic + clean)
 
-    def part(x: np.ndarray, share: float) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1) / ((a + b) * share))
+def _bounded(counted: DataFrame, settings: Settings) -> DataFrame:
+    """The examples of each class, by a hash of the key, that hold at most ``words`` words in all. There are at most
+    ``examples`` rows a class."""
+    light = counted.select("key", "label", F.size("words").alias("n")).where(F.col("n") <= settings.words)
+    before = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = light.withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= settings.words)
+    return counted.join(F.broadcast(kept.select("key")), "key", "left_semi")
 
-    ratio = np.maximum(2 * (part(a, max(toxic, 0.5) / n) + part(b, max(clean, 0.5) / n)), 0)
-    often, seldom = a * max(clean, 1), b * max(toxic, 1)
-    excess = np.maximum(1 - seldom / np.maximum(often, 1), 0)
-    return found["word"].to_pylist(), 1 + excess * ratio * ratio / (ratio + settings.association)
 
-
-def _frequencies(docs: DataFrame, known: Broadcast) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """Documents that hold each word, and documents, over the whole corpus."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = known.value
-        counts = np.zeros(len(index) + 1, np.int64)
+        known = shared.value
+        counts = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                for w in index.keys() & set(WORDS.findall((text.as_py() or "").lower())):
-                    counts[index[w]] += 1
-                counts[-1] += 1
+            counts[-1] += batch.num_rows
+            found = [words_of(t.as_py())[0] for t in batch.column(0)]
+            words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            if len(words) and len(known):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                counts[:-1] += np.bincount(at[known[at] == words], minlength=len(known))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["word", "n"])
 
     rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(known.value) + 1, np.int64)
+    shared.destroy()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
     out[rows["word"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
 
@@ -273,59 +376,67 @@ def learn(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings())
     texts = docs.where("key IS NOT NULL").join(F.broadcast(sample), "key").groupBy("key").agg(
         F.first("label").alias("label"), F.min("text").alias("text")
     )
-    counted = materialize(_word_counts(texts), "examples")
-    words, association = _features(counted, settings)
-    places = {w: i for i, w in enumerate(words)}
-    known = docs.sparkSession.sparkContext.broadcast(places)
-    held, n_docs = _frequencies(docs, known)
-    idf = (np.log((1 + n_docs) / (1 + held)) + 1) * association
-
-    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = known.value
-        for batch in batches:
-            ids, counts = [], []
-            for w, c in zip(batch.column(2), batch.column(3), strict=True):
-                kept = [(index[x], n) for x, n in zip(w.as_py(), c.as_py(), strict=True) if x in index]
-                ids.append([x for x, _ in kept])
-                counts.append([n for _, n in kept])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["key", "label", "words", "counts"],
-            )
-
-    schema = counted.select("key", "label").schema.add("words", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.LongType()))
-    # At most 2 * examples rows of word counts, as flat arrays.
-    rows = counted.mapInArrow(restrict, schema).toArrow().combine_chunks()
+    counted = materialize(_bounded(materialize(_word_counts(texts), "counted"), settings), "examples")
+    # Bounded by the settings: 12 bytes per word of an example.
+    rows = counted.orderBy(F.xxhash64("key"), "key").toArrow().combine_chunks()
     flat = [rows[x].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int64) for x in ("words", "counts")]
-    lengths = pa.compute.list_value_length(rows["words"]).to_numpy().astype(np.int64)
-    labels = rows["label"].to_numpy().astype(bool)
-    index = _indexed(places, idf, rows["key"].to_pylist(), labels, lengths, flat[0].astype(np.int32), flat[1], settings)
-    _calibrate(index, [int((~labels).sum()), int(labels.sum())], labelled, settings)
+    hashes = flat[0].view(np.uint64)
+    vocabulary = np.unique(hashes)
+    held, documents = _frequencies(docs, vocabulary)
+    lengths = pa.compute.list_value_length(rows["words"]).to_numpy()
+    keys, labels = rows["key"].to_pylist(), rows["label"].to_numpy()
+    index = _indexed(vocabulary, held, documents, keys, labels, lengths, hashes, flat[1], settings)
+    del rows, flat, hashes
+    _calibrate(index, np.bincount(labels.astype(int), minlength=2).tolist(), labelled, settings)
     return index
 
 
+def _votes(index: Index, labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, labels) of the examples, each searched without itself, in tasks."""
+    spark = labelled.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            ids, votes = batch.column(0).to_pylist(), []
+            for start in range(0, len(ids), BATCH):
+                some = ids[start : start + BATCH]
+                vectors = [index.example(i) for i in some]
+                votes += [index.vote(v, near) for v, near in zip(vectors, index.postings.nearest(vectors, some), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    n = len(index.keys)
+    out = spark.range(0, n, 1, max(1, min(32, n // 256))).mapInArrow(run, "id long, vote double").toArrow()
+    shared.destroy()
+    return out["vote"].to_numpy(), index.labels[out["id"].to_numpy()]
+
+
 def _calibrate(index: Index, sampled: list[int], labelled: DataFrame, settings: Settings) -> None:
-    """Score of each vote bin: share of toxic rows, re-weighted to all labelled rows, never falling. ``sampled``
+    """Scores by vote: shares of toxic rows in steps of the sorted votes, re-weighted to all labelled rows. ``sampled``
     counts the examples of each class, those without words included."""
-    shares = {
-        r["label"]: r["n"]
-        for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()
-    }
-    weight = [shares.get(c, 0) / max(1, sampled[c]) for c in (0, 1)]
-    mass = np.zeros((settings.bins + 1, 2))
-    starts, held, x = index.rows
-    for i, label in enumerate(index.labels.astype(int).tolist()):
-        part = slice(starts[i], starts[i + 1])
-        near = index.nearest(dict(zip(held[part].tolist(), x[part].tolist(), strict=True)), i)
-        mass[index.bin_of(near), label] += weight[label]
-    for c in (0, 1):
-        mass[-1, c] += weight[c] * (sampled[c] - int((index.labels == bool(c)).sum()))
     if not sum(sampled):
         return
+    shares = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weight = [shares.get(c, 0) / max(1, sampled[c]) for c in (0, 1)]
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    rates = (mass[:, 1] + prior) / (mass.sum(axis=1) + 1)
-    rates[:-1] = np.maximum.accumulate(rates[:-1])
-    index.rates = rates
+    votes, labels = _votes(index, labelled) if index.keys else (np.zeros(0), np.zeros(0, bool))
+    mass = np.where(labels, weight[1], weight[0])
+    none = votes < 0
+    lost = [weight[c] * (sampled[c] - int((index.labels == bool(c)).sum())) for c in (0, 1)]
+    lost = [lost[c] + mass[none & (labels == bool(c))].sum() for c in (0, 1)]
+    index.without = float((lost[1] + prior) / (sum(lost) + 1))
+    votes, labels, mass = votes[~none], labels[~none], mass[~none]
+    if not len(votes):
+        index.steps = (np.zeros(1), np.full(1, prior))
+        return
+    # Steps of about equal numbers of examples; equal votes share one.
+    distinct, inverse, counts = np.unique(votes, return_inverse=True, return_counts=True)
+    step = ((np.cumsum(counts) - counts) * settings.bins // len(votes))[inverse]
+    step = np.unique(step, return_inverse=True)[1]
+    total, toxic = np.bincount(step, weights=mass), np.bincount(step, weights=mass * labels)
+    rates = np.maximum.accumulate((toxic + prior) / (total + 1))
+    index.steps = (np.bincount(step, weights=votes * mass) / total, rates)
 
 
 def score(df: DataFrame, index: Index, text: str = "text", into: str = "toxicity") -> DataFrame:
@@ -343,13 +454,14 @@ def score(df: DataFrame, index: Index, text: str = "text", into: str = "toxicity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            out = []
-            for t in batch.column(batch.num_columns - 1):
-                near = index.nearest(index.vector(t.as_py()))
-                out.append({
-                    "score": float(index.rates[index.bin_of(near)]),
-                    "neighbours": [str(index.keys[i]) for _, i in near], "cosines": [s for s, _ in near],
-                })
+            texts, out = batch.column(batch.num_columns - 1), []
+            for start in range(0, batch.num_rows, BATCH):
+                vectors = [index.vector(t.as_py()) for t in texts.slice(start, BATCH)]
+                for vector, near in zip(vectors, index.postings.nearest(vectors), strict=True):
+                    out.append({
+                        "score": index.score(index.vote(vector, near)),
+                        "neighbours": [str(index.keys[i]) for _, i in near], "cosines": [c for c, _ in near],
+                    })
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, arrow)], names=schema.names)
 
     return df.withColumn(source, F.col(f"`{text}`")).mapInArrow(run, schema)

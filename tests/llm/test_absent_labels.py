@@ -10,4 +10,4 @@ def test_labels_of_absent_documents_use_up_nothing(spark):
     labels = spark.createDataFrame(marks, "key long, label int")
     index = toxicity.learn(docs, labels, toxicity.Settings(examples=20))
     assert len(index.keys) == 40 and index.labels.sum() == 20
-    assert index.rates[-1] == 0.5  # the prior of the labels that are there
+    assert index.without == 0.5  # the prior of the labels that are there

@@ -1,9 +1,12 @@
 """Jaccard join, vectors, toxicity, URL rules and the pipeline against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -142,22 +145,58 @@ def test_toxicity(spark):
     assert {r["toxicity"]["score"] for r in toxicity.score_documents(docs, marks.limit(0)).collect()} == {0.0}
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(40)]
-    idf = rng.uniform(1, 5, 40)
-    draw = lambda: {int(w): int(rng.integers(1, 4)) for w in rng.choice(40, rng.integers(1, 6), replace=False)}
-    index = toxicity.build_index(words, idf, [(i, i % 2, draw()) for i in range(3000)], toxicity.Settings())
-    dense = np.zeros((len(index.keys), 40))
-    for w, (at, x, _) in index.postings.items():
-        dense[at, w] = x
-    for _ in range(60):
-        v = toxicity.normed(draw(), idf)
-        query = np.zeros(40)
-        query[list(v)] = list(v.values())
-        want = np.sort(dense @ query)[::-1][:16]
-        got = [s for s, _ in index.nearest(v)]
-        assert np.allclose(got, want[want > 0][: len(got)]) and len(got) == (want > 0).sum()
+def plain_cosines(texts, text, examples):
+    """TF-IDF cosines of a text with examples, from the texts alone."""
+    split = lambda t: regex.findall(r"[^\W\d_]+", t.lower())
+    seen = Counter(w for t in texts for w in set(split(t)))
+    held = {w for t in examples for w in split(t)}
+
+    def vector(t):
+        raw = {
+            w: math.sqrt(n) * (math.log((1 + len(texts)) / (1 + (seen[w] if w in held else 1))) + 1) for w, n in Counter(split(t)).items()
+        }
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / size for w, x in raw.items()}
+
+    q = vector(text)
+    return [sum(x * q.get(w, 0) for w, x in vector(e).items()) for e in examples]
+
+
+def test_block_max_search_is_exact(monkeypatch):
+    # Topics with their own words, so that whole ranges can be skipped; unknown words count in a text's length.
+    monkeypatch.setattr(toxicity, "RANGE", 8)
+    monkeypatch.setattr(toxicity, "FIRST", 2)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrst"
+    word = lambda topic: "w" + letters[topic] + letters[int(rng.paretovariate(0.8)) % 20]
+    draw = lambda topic: " ".join(word(topic) for _ in range(rng.randint(1, 12)))
+    texts = [draw(i % 12) for i in range(600)]
+    examples = [(i, i % 2, *toxicity.words_of(t)) for i, t in enumerate(texts)]
+    seen = Counter(w for _, _, h, _ in examples for w in h.tolist())
+    index = toxicity.build_index(examples, seen, len(texts), toxicity.Settings(neighbours=5))
+    skipped = 0
+    for i in range(40):
+        text = draw(i % 12) + (" unseen words" if i % 2 else "")
+        want = sorted(plain_cosines(texts, text, texts), reverse=True)[:5]
+        got = [s for s, _ in index.postings.nearest([index.vector(text)])[0]]
+        assert np.allclose(got, [x for x in want if x > 0], atol=1e-9)
+        skipped += index.postings.share_opened < 0.5
+    assert skipped >= 30
+    near = index.postings.nearest([index.example(7)], [7])[0]
+    assert 7 not in [i for _, i in near]
+
+
+def test_toxicity_bounds_and_long_texts(spark):
+    rows = [(i, " ".join([f"{'vile' if i % 2 else 'calm'}", *["garden"] * 3])) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (100, "calm garden " * 50000), (101, "vile " + "garden " * 3), (102, "")], "key long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "key long, label int")
+    # Two words an example: five examples a class hold the ten words that a class may have.
+    index = toxicity.learn(docs, labels, toxicity.Settings(words=10))
+    assert len(index.keys) == 10 and index.labels.sum() == 5
+    out = {r["key"]: r["t"]["score"] for r in toxicity.score(docs.where("key >= 100").union(docs.where("key = 101")), index, into="t").collect()}
+    assert out[101] > 0.5 > out[100] and out[102] == index.without
+    again = toxicity.learn(docs, labels, toxicity.Settings(words=10))
+    assert again.keys == index.keys and np.array_equal(again.steps, index.steps)
 
 
 RULES = queries.URL_RULES

@@ -12,7 +12,8 @@ def test_rare_words_find_neighbours(spark):
     labels = spark.createDataFrame([(i, texts[i % 4][1]) for i in range(12)], "key long, label int")
     docs = spark.createDataFrame(rows, "key long, text string")
     index = toxicity.learn(docs, labels)
-    assert set(index.words) == set(" ".join(t for t, _ in texts.values()).split()) and len(index.keys) == 12
+    words = " ".join(t for t, _ in texts.values())
+    assert set(index.vocabulary) == set(toxicity.words_of(words)[0]) and len(index.keys) == 12
     out = {r["key"]: r["t"] for r in toxicity.score(docs.where("key >= 100"), index, into="t").collect()}
     assert out[100]["score"] > 0.5 > out[101]["score"] and not out[102]["neighbours"]
     assert {int(k) % 4 for k in out[101]["neighbours"]} == {0, 1}

@@ -37,38 +37,64 @@ def with_previous_state(decoded: DataFrame, slice_rows: int = config.SLICE_ROWS)
 
 
 def state_runs(decoded: DataFrame, slice_rows: int = config.SLICE_ROWS) -> DataFrame:
-    """One row per run: (subject_id, group, file, state, duration, run_index, n_runs).
+    """One row per run: (subject_id, group, file, state, run_index, n_runs, duration).
 
-    Group and file belong to the subject; they stay in every key so that the two uses of the
-    shuffled rows below have the same columns and Spark runs that shuffle once.
+    The row on which a run starts stands for it; its length is the distance to the next start. Inside a
+    slice both come from one shuffle and its sort. Only subjects of more than one slice need what the
+    other slices hold: one row of counts per slice, at most 2 N / slice_rows in all, so it is broadcast.
+    ``decoded`` should be a stored table: it is first asked whether it has such subjects.
     """
-    rows = with_previous_state(decoded, slice_rows)
-    starts = F.when(
-        F.col("previous_state").isNull() | (F.col("previous_state") != F.col("state")), 1
-    ).otherwise(0)
-    along = Window.partitionBy(*ID_COLUMNS, "slice").orderBy("timepoint").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    # Piece 0 of a slice continues the last run of the slice before it.
-    pieces = (
-        rows.withColumn("piece", F.sum(starts).over(along))
-        .groupBy(*ID_COLUMNS, "slice", "piece")
-        .agg(F.first("state").alias("state"), F.count(F.lit(1)).alias("duration"))
+    inside = Window.partitionBy(*ID_COLUMNS, "slice")
+    along = inside.orderBy("timepoint")
+
+    def placed(part: DataFrame) -> DataFrame:
+        begins = F.col("previous_state").isNull() | (F.col("previous_state") != F.col("state"))
+        return with_previous_state(part, slice_rows).select(
+            *ID_COLUMNS, "slice", "timepoint", "state", F.coalesce(begins, F.lit(False)).alias("begins"),
+            F.row_number().over(along).cast("bigint").alias("at"),
+            F.count(F.lit(1)).over(inside).alias("slice_length"),
+        )
+
+    starts = (
+        placed(decoded).filter("begins")
+        .withColumn("next_at", F.lead("at").over(along))
+        .withColumn("piece", F.row_number().over(along).cast("bigint"))
+        .withColumn("started", F.count(F.lit(1)).over(inside))
     )
-    per_slice = pieces.groupBy(*ID_COLUMNS, "slice").agg(F.max("piece").alias("started"))
-    before = Window.partitionBy(*ID_COLUMNS).orderBy("slice").rowsBetween(
-        Window.unboundedPreceding, -1
+    long_subjects = decoded.filter(F.col("timepoint") > slice_rows).select(*ID_COLUMNS)
+    run_index, n_runs = F.col("piece"), F.col("started")
+    duration = F.coalesce(F.col("next_at"), F.col("slice_length") + 1) - F.col("at")
+    if not long_subjects.isEmpty():
+        cut = decoded.join(F.broadcast(long_subjects.distinct()), [*ID_COLUMNS], "left_semi")
+        starts = starts.join(F.broadcast(_slice_offsets(placed(cut))), [*ID_COLUMNS, "slice"], "left")
+        run_index = F.coalesce("runs_before", F.lit(0)) + run_index
+        n_runs = F.coalesce("all_runs", n_runs)
+        # The last run of a slice goes on to the first start of a later one, or to the end.
+        beyond = F.coalesce("next_start", F.col("all_rows") + 1) - F.col("rows_before") - F.col("at")
+        duration = F.when(F.col("next_at").isNull(), F.coalesce(beyond, duration)).otherwise(duration)
+    return starts.select(
+        *ID_COLUMNS, "state", run_index.alias("run_index"), n_runs.alias("n_runs"), duration.alias("duration")
     )
-    offsets = per_slice.select(
-        *ID_COLUMNS, "slice",
-        F.coalesce(F.sum("started").over(before), F.lit(0)).alias("offset"),
-        F.sum("started").over(Window.partitionBy(*ID_COLUMNS)).alias("n_runs"),
+
+
+def _slice_offsets(placed: DataFrame) -> DataFrame:
+    """What a slice needs to know of the others: rows and runs before it and in all, and the place of the
+    first start behind it."""
+    slices = placed.groupBy(*ID_COLUMNS, "slice").agg(
+        F.count(F.lit(1)).alias("length"),
+        F.count_if("begins").alias("started"),
+        F.min(F.when(F.col("begins"), F.col("at"))).alias("first_at"),
     )
+    whole = Window.partitionBy(*ID_COLUMNS)
+    before = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    behind = whole.orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
     return (
-        pieces.join(offsets, [*ID_COLUMNS, "slice"])
-        .withColumn("run_index", F.col("offset") + F.col("piece"))
-        .groupBy(*ID_COLUMNS, "state", "run_index", "n_runs")
-        .agg(F.sum("duration").alias("duration"))
+        slices.withColumn("rows_before", F.coalesce(F.sum("length").over(before), F.lit(0)))
+        .withColumn("runs_before", F.coalesce(F.sum("started").over(before), F.lit(0)))
+        .withColumn("all_rows", F.sum("length").over(whole))
+        .withColumn("all_runs", F.sum("started").over(whole))
+        .withColumn("next_start", F.min(F.col("rows_before") + F.col("first_at")).over(behind))
+        .drop("length", "started", "first_at")
     )
 
 

@@ -8,6 +8,7 @@ cost a few integer operations per subject and replicate.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ def replicate_hash(prefix: str = "") -> Column:
     return (value + a[4] * y % PRIME) % PRIME
 
 
+def _reduced(z: np.ndarray) -> np.ndarray:
+    """Numbers below 2^62 modulo the prime 2^31 - 1, in place."""
+    for _ in range(2):
+        high = z >> 31
+        z &= PRIME
+        z += high
+    return np.where(z >= PRIME, z - PRIME, z)
+
+
+def hash_rows(x: np.ndarray, y: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """``replicate_hash`` of rows with residues x, y (rows x replicates); coefficients (replicates x 5)."""
+    a = coefficients.T
+    x, y = x[:, None], y[:, None]
+    value = _reduced(a[3] * x + a[2])
+    value = _reduced(value * x + a[1])
+    value = _reduced(value * x + a[0])
+    return _reduced(value + _reduced(a[4] * y))
+
+
 def hash_block(value: Column, blocks: int) -> Column:
     """Order-preserving block number in 0..blocks-1; blocks are equally likely by construction."""
     return F.floor(value * F.lit(blocks) / F.lit(PRIME)).cast("int")

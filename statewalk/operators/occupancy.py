@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statewalk import config
 from statewalk.functions.stats import benjamini_hochberg, exact_quantiles, significant
-from statewalk.operators.resample import group_sizes, permutation_cuts, with_permuted_label
+from statewalk.operators.resample import group_sizes, permutation_cuts, permuted_sums
 
 TIE_DIGITS = 10
 
@@ -130,17 +130,9 @@ def occupancy_permutation_test(
         "mean_difference", F.col("mean_dyslexia_percent") - F.col("mean_td_percent")
     )
     null = (
-        with_permuted_label(
-            occupancy.select("subject_id", "state", "occupancy_percent"),
-            cuts, replicates, n_ref + n_target, stream="state", rows_per_subject=k,
-        )
-        .groupBy("state", "b")
-        .agg(
-            F.sum(F.when(F.col("is_target"), value)).alias("in_target"),
-            F.sum(F.when(~F.col("is_target"), value)).alias("in_reference"),
-        )
+        permuted_sums(occupancy, "occupancy_percent", cuts, replicates, n_ref + n_target, "state")
         .select(
-            "state",
+            F.col("stream").cast(occupancy.schema["state"].dataType).alias("state"),
             F.round(
                 F.abs(F.col("in_target") / n_target - F.col("in_reference") / n_ref), TIE_DIGITS
             ).alias("null_size"),

@@ -27,10 +27,9 @@ are not looked at, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, islice, permutations
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,9 @@ MIN_WORDS = 100
 DISTINCT_PERCENT = 80
 CAPITAL_PERCENT = 10
 SYMBOLS = b"#$%&*|"
+CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
+#: Bytes that begin no character of UTF-8.
+CONTINUATION = bytes(range(0x80, 0xC0))
 
 SHARD_BYTES = 1 << 25
 PIECE_BYTES = 1 << 20
@@ -73,32 +75,19 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first += n
 
 
-def _sums(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Number of marks between neighbouring bounds."""
-    return np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[bounds])
-
-
 def _character_flags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Whether capitals are too many, and whether a symbol occurs, per UTF-8 text."""
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    capitals = _sums((raw >= ord("A")) & (raw <= ord("Z")), bounds)
-    characters = _sums((raw & 0xC0) != 0x80, bounds)
-    symbols = np.zeros(256, dtype=bool)
-    symbols[list(SYMBOLS)] = True
-    return 100 * capitals > CAPITAL_PERCENT * characters, _sums(symbols[raw], bounds) > 0
-
-
-def _csr(texts: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pointers, column numbers and counts of some texts; new words enter the vocabulary."""
-    rows = []
-    for t in texts:
-        words = t.split()
-        rows.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
-    lengths, numbers = np.array([len(r) for r in rows], dtype=np.int64), np.concatenate([*rows, np.zeros(0, np.int64)])
-    width = max(1, len(vocabulary))
-    cells, counts = np.unique(np.repeat(np.arange(len(texts)), lengths) * width + numbers, return_counts=True)
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(cells // width, minlength=len(texts)))])
+    sizes, small, heads, plain = (
+        np.array([len(t.translate(None, without)) for t in texts], dtype=np.int64) for without in (b"", CAPITALS, CONTINUATION, SYMBOLS)
+    )
+    return 100 * (sizes - small) > CAPITAL_PERCENT * heads, plain < sizes
+
+
+def _csr(rows: np.ndarray, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pointers, column numbers and counts of ``n`` rows, from the row and the column number of each word."""
+    width = int(numbers.max(initial=0)) + 1
+    cells, counts = np.unique(rows * width + numbers, return_counts=True)
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(cells // width, minlength=n))])
     return indptr.astype(np.int64), (cells % width).astype(np.int32), counts.astype(np.int32)
 
 
@@ -106,31 +95,64 @@ def _lists(values, kind: pa.DataType) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
 
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of some UTF-8 texts, and how many each text has."""
+    split = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words = split.flatten().view(pa.binary())
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word, which is none
+    lengths = np.bincount(rows[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return words.filter(real).dictionary_encode(), lengths
+
+
+def _shard(shard: int, held: list[dict[str, pa.Array]], words: list[pa.DictionaryArray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a shard; its words are numbered as they first occur."""
+    coded = pa.chunked_array(words).unify_dictionaries().chunks
+    words.clear()
+    vocabulary = coded[-1].dictionary
+    first = 0
+    for columns, chunk, each in zip(held, coded, lengths, strict=True):
+        numbers = chunk.indices.to_numpy().astype(np.int64)
+        last = max(first, int(numbers.max(initial=-1)) + 1)
+        indptr, indices, counts = _csr(np.repeat(np.arange(len(each)), each), numbers, len(each))
+        yield pa.RecordBatch.from_pydict({
+            "shard": pa.array([shard], pa.int64()), **columns,
+            "indptr": _lists(indptr, pa.int64()), "indices": _lists(indices, pa.int32()),
+            "counts": _lists(counts, pa.int32()), "first": pa.array([first], pa.int32()),
+            "vocabulary": pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), vocabulary.slice(first, last - first)),
+        })
+        first = last
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 10
-    vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-    held = 0
+    # Of the texts only their words stay, each once a piece, until the shard is full.
+    held: list[dict[str, pa.Array]] = []
+    words: list[pa.DictionaryArray] = []
+    lengths: list[np.ndarray] = []
+    total = 0
     for batch in batches:
         for part in _slices(batch):
             texts = part.column("text").to_pylist()
             size = sum(map(len, texts))
-            if held and held + size > SHARD_BYTES:
-                shard, held, vocabulary = shard + 1, 0, defaultdict(count().__next__)
-            held += size
-            first = len(vocabulary)
-            indptr, indices, counts = _csr(texts, vocabulary)
+            if total and total + size > SHARD_BYTES:
+                yield from _shard(shard, held, words, lengths)
+                shard, total, held, words, lengths = shard + 1, 0, [], [], []
+            total += size
             capital, symbol = _character_flags(texts)
-            columns = {
-                "shard": pa.array([shard], pa.int64()),
+            held.append({
                 "ids": _lists(part.column("id").to_pylist(), pa.int64()),
                 "parts": _lists(part.column("part").to_pylist(), pa.string()),
                 "digests": _lists([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                 "capital": _lists(capital, pa.bool_()), "symbol": _lists(symbol, pa.bool_()),
-                "indptr": _lists(indptr, pa.int64()), "indices": _lists(indices, pa.int32()),
-                "counts": _lists(counts, pa.int32()), "first": pa.array([first], pa.int32()),
-                "vocabulary": _lists(list(islice(vocabulary, first, None)), pa.binary()),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
+            })
+            del texts
+            found, each = _words(part.column("text"))
+            words.append(found)
+            lengths.append(each)
+    if held:
+        yield from _shard(shard, held, words, lengths)
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass

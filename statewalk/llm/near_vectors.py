@@ -4,7 +4,7 @@ Vectors are compared only within a label. Equal vectors of a label are one node.
 are dealt to shards of bounded size by hash, every shard builds its graph, and every shard is asked for
 the neighbours of all the label's nodes, shard against shard. A query's beam widens while it is full
 of links, and all beams of a pair of shards widen until they find at least ``recall`` of the links that an
-exact scan of sampled queries has. The sample grows until ``audit`` queries with few links to others are in
+exact scan of sampled queries has, both up to ``widest``; what is left then is scanned exactly. The sample grows until ``audit`` queries with few links to others are in
 it; where there are not that many, it grows to all queries, and the pair of shards is scanned exactly. Recall
 is a mean over queries, once of those with few links and once of those in crowds, so neither hides the
 other. Found pairs are verified by their cosine in double precision.
@@ -36,6 +36,7 @@ from statewalk.session import materialize
 class Settings:
     """cosine: least cosine of a link; shard: nodes per shard; degree: links a node keeps per layer
     (twice as many in the lowest); breadth: beam while building; beam: first beam of a query;
+    widest: widest beam; queries that fill it, and pairs of shards where it finds too little, are scanned exactly
     audit: audited queries with few links (at most ``beam``, self-links aside) per pair of shards;
     recall: what a search must find of audited queries' links."""
 
@@ -44,6 +45,7 @@ class Settings:
     degree: int = 12
     breadth: int = 48
     beam: int = 32
+    widest: int = 128
     audit: int = 300
     recall: float = 0.99
 
@@ -227,9 +229,9 @@ class Graph:
 
     def within(self, q: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of the pairs found with at least that cosine. ``own``: query i is node i."""
-        n, width = len(self.units), self.settings.beam
+        width = self.settings.beam
         audited, true_a, true_b = self._audit(q, least, own)
-        while width < n // 4 and not audited.all():
+        while not self._scanned(width) and not audited.all():
             a, b = self._widening(q, least, width)
             if self._finds(a, b, true_a, true_b, len(q), own):
                 rest = ~audited[a]
@@ -239,6 +241,10 @@ class Graph:
         out = [(rest[i + a], b) for i in range(0, len(rest), 1024) for a, b in [self.scan(q[rest[i : i + 1024]], least)]]
         return np.concatenate([true_a, *(a for a, _ in out)]), np.concatenate([true_b, *(b for _, b in out)])
 
+    def _scanned(self, width: int) -> bool:
+        """Whether a beam of that width would cost more than the exact scan, a matrix product."""
+        return width > self.settings.widest or width >= len(self.units) // 4
+
     def _widening(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         """One search; queries whose beam is full of links are asked again with a wider one."""
         found_a, found_b = [], []
@@ -247,7 +253,7 @@ class Graph:
             again = []
             for i in range(0, len(todo), 256):
                 part = todo[i : i + 256]
-                if width >= len(self.units) // 4:
+                if self._scanned(width):
                     a, b = self.scan(q[part], least)
                     found_a.append(part[a])
                     found_b.append(b)

@@ -16,12 +16,20 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 1_000_000
+#: Pieces, and words, of a generation; a worker holds two of each at most.
+CACHE = 1 << 18
 #: Characters on whose class all regular expression engines agree, unchanged by NFC.
 PLAIN = regex.compile(r"[\n\x20-\x7E¡-¬®-ĩĲ-ſ]*")
 LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks without letters and numbers; an apostrophe may begin a word.
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 #: White space whose pieces are not independent of each other, and marks of our own.
-ODD = regex.compile(rb"[\x00\x01\t\r\x0b\x0c]|  | \n|\n\n\n|\n\n |^ | $|\n\n$")
+ODD = (b"\x00", b"\x01", b"\t", b"\r", b"\x0b", b"\x0c", b"  ", b" \n", b"\n\n\n", b"\n\n ")
+
+
+def odd(data: bytes) -> bool:
+    """Whether a text has such white space, at its ends included."""
+    return data.startswith(b" ") or data.endswith((b" ", b"\n\n")) or any(x in data for x in ODD)
 
 
 def byte_symbols() -> dict[int, str]:
@@ -39,11 +47,16 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        # When a cache is full it becomes the old one, from which what is still used moves over.
         self.cache: dict[bytes, bytes | bool] = {}
+        self.old_cache: dict[bytes, bytes | bool] = {}
         self.known: dict[str, bytes] = {}  # words, which pieces with other punctuation share
+        self.old_known: dict[str, bytes] = {}
         self.symbols = byte_symbols()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.model = self.tokenizer.model
+        self.size = int(self.dtype[-1])
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         split = spec.get("pre_tokenizer") or {}
         steps = split.get("pretokenizers", [])
@@ -58,17 +71,21 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         data = text.encode("utf-8")
         pieces = None
-        if self.keeps_space and data and not ODD.search(data):
+        if self.keeps_space and data and not odd(data):
             # A space goes with the word after it; a line's first word has a mark instead.
             pieces = (b"\x01" + data.replace(b"\n", b" \x00")).split(b" ")
         elif self.drops_space:
             pieces = data.lower().split()
         if pieces is not None and not any(s in data for s in self.special):
             found = list(map(self.cache.get, pieces))
-            if None in found:
+            try:
+                return b"".join(found)
+            except TypeError:  # a piece that is not known, or False
                 found = [self._learn(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-            if False not in found:
+            try:
                 return b"".join(found)
+            except TypeError:  # False
+                pass
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
@@ -77,28 +94,47 @@ class Encoder:
         ids: bytes | bool | None = self.cache.get(piece)
         if ids is not None:
             return ids
+        ids = self.old_cache.get(piece)
+        if ids is None:
+            ids = self._piece(piece)
+        if len(self.cache) >= CACHE:
+            self.old_cache, self.cache = self.cache, {}
+        self.cache[piece] = ids
+        return ids
+
+    def _piece(self, piece: bytes) -> bytes | bool:
         if self.keeps_space:
             head = {0: "\n", 1: ""}.get(piece[0] if piece else -1)
             text = piece[head is not None :].decode("utf-8")
             text = (" " if head is None else head) + text
         else:
             text = piece.decode("utf-8").lower()
-        ids = False
-        if PLAIN.fullmatch(text):
-            ids = b"".join(map(self._word, self.words.findall(text)))
-        if len(self.cache) < CACHE:
-            self.cache[piece] = ids
-        return ids
-
+        if piece.isalpha():  # ASCII letters are one word of either kind, and so are marks after them
+            return self._word(text)
+        letters = text.rstrip(MARKS)
+        if letters.isascii() and letters.lstrip(" ").isalpha():
+            return self._word(letters) + self._word(text[len(letters) :])
+        if not (text.isascii() and text.isprintable() or PLAIN.fullmatch(text)):
+            return False
+        return b"".join(map(self._word, self.words.findall(text)))
 
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        ids = self.old_known.get(word)
         if ids is None:
-            symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-            size = int(self.dtype[-1])
-            ids = b"".join(t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(symbols))
-            if len(self.known) < CACHE:
-                self.known[word] = ids
+            if word.isascii() and word[1:].isalpha() and word[0] == " ":
+                symbols = self.symbols[32] + word[1:]
+            elif word.isascii() and word.isalpha():
+                symbols = word
+            else:
+                symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
+            size = self.size
+            ids = b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(symbols)])
+        if len(self.known) >= CACHE:
+            self.old_known, self.known = self.known, {}
+        self.known[word] = ids
         return ids
 
 

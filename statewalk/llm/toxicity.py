@@ -18,7 +18,7 @@ never fall, with straight lines between them. Evidence names the neighbours and
 Words are 64-bit hashes; two words of a vocabulary of a hundred million share one with a probability of 0.03 %.
 
 Bounds: ``Settings.examples`` rows and ``Settings.words`` distinct words in all, per class, bound the index that goes
-to every task (20 bytes per word of an example); postings are built in the tasks. No shuffle carries texts except the
+to every task (20 bytes per word of an example); postings are built in the tasks, those of frequent words as blocks only. No shuffle carries texts except the
 sampled ones. Labels are used to learn only.
 
 Defined cases: null and empty texts, and texts without a word of the examples, have no neighbours and the rate that
@@ -32,7 +32,6 @@ Without any labelled rows every score is 0. Repeated rows are scored row by row;
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,11 +50,13 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Examples of a range, the unit of blocks.
 RANGE = 64
 #: The most frequent words, whose posting lists are kept as blocks with maxima; the postings of others are simply added.
-FREQUENT = 512
+FREQUENT = 384
 #: Cosines equal to nine digits are ties; sums in another order differ by less.
 SLACK = 2e-9
-#: Short words whose hashes a worker keeps.
-CACHED = 500_000
+#: Longer words (bytes) are hashed one by one.
+LONG = 64
+#: ASCII letters in lower case, all else as white space.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 #: Texts searched at once.
 BATCH = 64
 #: Random projections by which examples are ordered, at most 64.
@@ -80,24 +81,51 @@ class Settings:
     bins: int = 64
 
 
-_HASHES: dict[str, int] = {}
-
-
-def _hash(word: str) -> int:
-    value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    if len(word) <= 32:
-        if len(_HASHES) >= CACHED:
-            _HASHES.clear()
-        _HASHES[word] = value
-    return value
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
+
+
+def _split(text: str) -> bytes:
+    """The lower-cased words of a text with white space between them."""
+    if text.isascii():
+        return text.encode().translate(LETTERS)
+    return b" ".join([w.encode("utf-8", "surrogatepass") for w in WORDS.findall(text.lower())])
+
+
+def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of the distinct lower-cased words of each text, hashes ascending. Words are hashed eight bytes at a
+    time, those of all texts together."""
+    parts = [_split(t or "") for t in texts]
+    data = b" ".join([b"", *parts, b" " * 8])
+    seen = np.frombuffer(data, np.uint8) != 32
+    edges = np.flatnonzero(seen[1:] != seen[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    chunks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    hashes, at, left = lengths.astype(np.uint64), np.flatnonzero(lengths <= LONG), lengths
+    while len(at):
+        n = np.minimum(left[at], 8).astype(np.uint64)
+        piece = chunks[starts[at] + lengths[at] - left[at]] << (np.uint64(64) - n * np.uint64(8))
+        with np.errstate(over="ignore"):
+            hashes[at] = _mix(hashes[at] * np.uint64(0x9E3779B97F4A7C15) + piece)
+        left = left - 8
+        at = at[left[at] > 0]
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]) + 1)
+    out, first = [], 0
+    for end in ends.tolist():
+        some = np.sort(hashes[first:end])
+        first = end
+        new = np.flatnonzero(np.append(True, some[1:] != some[:-1])) if len(some) else np.zeros(0, np.int64)
+        out.append((some[new], np.diff(np.append(new, len(some)))))
+    return out
 
 
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the distinct lower-cased words of a text."""
-    found = Counter(WORDS.findall((text or "").lower()))
-    known = _HASHES.get
-    hashes = [known(w) or _hash(w) for w in found]
-    return np.array(hashes, np.uint64), np.fromiter(found.values(), np.int64, len(found))
+    return bags([text])[0]
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +161,29 @@ class Index:
             self._postings = Postings(self)
         return self._postings
 
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(words, weights) of each text: the words that examples hold, by number; weights over the length of all its words."""
+        found = bags(texts)
+        if not len(self.vocabulary):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(found)
+        # Words of all texts are looked up once, in order.
+        distinct, place = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+        at = np.minimum(np.searchsorted(self.vocabulary, distinct), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == distinct
+        idf = np.where(known, self.idf[at], self.unknown)
+        out, start = [], 0
+        for hashes, counts in found:
+            part = place[start : start + len(hashes)]
+            start += len(hashes)
+            weights = np.sqrt(counts) * idf[part]
+            if len(part):
+                weights /= np.sqrt(weights @ weights)
+            held = known[part]
+            out.append((at[part[held]], weights[held]))
+        return out
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(words, weights) of a text: the words that examples hold, by number; weights over the length of all its words."""
-        hashes, counts = words_of(text)
-        if not len(hashes) or not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
-        weights = np.sqrt(counts) * np.where(known, self.idf[at], self.unknown)
-        weights /= np.sqrt(weights @ weights)
-        return at[known], weights[known]
+        return self.vectors([text])[0]
 
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.starts[i], self.starts[i + 1])
@@ -191,14 +232,13 @@ def _alike(owner: np.ndarray, held: np.ndarray, weight: np.ndarray, vocabulary:
 class Postings:
     """Block-max inverted index of an ``Index``.
 
-    order: examples by place; starts, at, weights: places and weights by word
+    order: examples by place; starts, at, weights: places and weights by word, without the frequent ones
     row: a frequent word's row of blocks, or -1; blocks: its weights by range; maxima: the largest of each block
     """
 
     def __init__(self, index: Index) -> None:
         n, size = len(index.keys), len(index.vocabulary)
-        lengths = np.diff(index.starts)
-        owner = np.repeat(np.arange(n), lengths)
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.starts))
         weight = np.sqrt(index.counts) * index.idf[index.held]
         weight /= np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))[owner]
         self.n, self.ranges = n, -(-n // RANGE)
@@ -207,19 +247,22 @@ class Postings:
         self.order = _alike(owner, index.held, weight, index.vocabulary, n)
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
-        by_word = np.argsort(index.held, kind="stable")
-        self.at, self.weights = self.place[owner[by_word]].astype(np.int32), weight[by_word]
         held_by = np.bincount(index.held, minlength=size)
-        self.starts = np.append(0, np.cumsum(held_by))
         often = np.argsort(-held_by, kind="stable")[:FREQUENT]
         often = often[held_by[often] >= RANGE]
         self.row = np.full(size, -1, np.int64)
         self.row[often] = np.arange(len(often))
-        self.blocks = np.zeros((self.ranges, len(often), RANGE))
-        for row, w in enumerate(often):
-            part = slice(self.starts[w], self.starts[w + 1])
-            self.blocks[self.at[part] // RANGE, row, self.at[part] % RANGE] = self.weights[part]
-        self.maxima = np.ascontiguousarray(self.blocks.max(axis=2, initial=0).T)
+        rows = self.row[index.held]
+        self.blocks = np.zeros((len(often), self.ranges * RANGE))
+        part = np.flatnonzero(rows >= 0)
+        self.blocks[rows[part], self.place[owner[part]]] = weight[part]
+        self.maxima = self.blocks.reshape(len(often), self.ranges, RANGE).max(axis=2, initial=0)
+        part = np.flatnonzero(rows < 0)
+        del rows
+        part = part[np.argsort(index.held[part], kind="stable")]
+        self.at, self.weights = self.place[owner[part]], weight[part]
+        held_by[often] = 0
+        self.starts = np.append(0, np.cumsum(held_by))
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """(cosine, example) of each vector's nearest examples with a cosine above 0, best first; ``without``: an example
@@ -228,48 +271,56 @@ class Postings:
             return [[] for _ in vectors]
         barred = [-1] * len(vectors) if without is None else [int(self.place[i]) for i in without]
         queries = np.zeros((len(vectors), self.maxima.shape[0]))
-        scores = np.zeros((len(vectors), self.ranges * RANGE))
+        scores = np.empty((len(vectors), self.ranges * RANGE))
         for i, (words, x) in enumerate(vectors):
             row = self.row[words]
             often = row >= 0
             queries[i, row[often]] = x[often]
             few = words[~often]
             at, length = _spans(self.starts[few], self.starts[few + 1])
-            scores[i] = np.bincount(self.at[at], weights=np.repeat(x[~often], length) * self.weights[at], minlength=scores.shape[1])
-        bounds = queries @ self.maxima + scores.reshape(len(vectors), self.ranges, RANGE).max(axis=2)
-        final = np.zeros_like(scores)
-        opened = np.zeros(bounds.shape, bool)
+            weights = np.repeat(x[~often], length)
+            weights *= self.weights.take(at)
+            scores[i] = np.bincount(self.at.take(at), weights=weights, minlength=scores.shape[1])
+        parts = scores.reshape(len(vectors), self.ranges, RANGE)
+        bounds = queries @ self.maxima + parts.max(axis=2)
         best = np.argpartition(-bounds, min(FIRST, self.ranges) - 1, axis=1)[:, :FIRST]
-        np.put_along_axis(opened, best, True, axis=1)
-        self._open(opened, queries, scores, final)
+        opened = np.zeros(self.ranges, bool)
+        opened[best] = True
+        self._open(opened, queries, scores, barred)
+        wanted = np.broadcast_to(opened, bounds.shape)
+        if not opened.all():
+            k, seen = self.neighbours, parts[:, opened].reshape(len(vectors), -1)
+            least = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(len(vectors))
+            wanted = wanted | (bounds >= least[:, None] - SLACK)
+            more = wanted.any(axis=0) & ~opened
+            self._open(more, queries, scores, barred)
+            # A skipped range holds no neighbour.
+            parts[:, ~(opened | more)] = 0
+        self.share_opened = wanted.mean()
+        most = parts.max(axis=2)
+        return [self._best(scores[i], most[i]) for i in range(len(vectors))]
+
+    def _open(self, wanted: np.ndarray, queries: np.ndarray, scores: np.ndarray, barred: list[int]) -> None:
+        """Adds the frequent words to the scores of these ranges; the blocks of all others are skipped."""
+        edges = np.flatnonzero(np.diff(wanted, prepend=False, append=False)) * RANGE
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            scores[:, start:end] += queries @ self.blocks[:, start:end]
         for i, b in enumerate(barred):
             if b >= 0:
-                final[i, b] = 0
-        k = self.neighbours
-        if self.ranges > FIRST:
-            least = np.partition(final, -k, axis=1)[:, -k] if final.shape[1] > k else np.zeros(len(vectors))
-            more = ~opened & (bounds >= least[:, None] - SLACK)
-            self._open(more, queries, scores, final)
-            opened |= more
-        self.share_opened = opened.mean()
-        return [self._best(final[i], barred[i]) for i in range(len(vectors))]
-
-    def _open(self, wanted: np.ndarray, queries: np.ndarray, scores: np.ndarray, final: np.ndarray) -> None:
-        """Scores of the ranges that each query wants: the blocks of all others are skipped."""
-        for r in np.flatnonzero(wanted.any(axis=0)).tolist():
-            rows, part = np.flatnonzero(wanted[:, r]), slice(r * RANGE, (r + 1) * RANGE)
-            final[rows, part] = scores[rows, part] + queries[rows] @ self.blocks[r]
-
-    def _best(self, scores: np.ndarray, barred: int) -> list[tuple[float, int]]:
-        """The nearest of the opened examples."""
+                scores[i, b] = 0
+
+    def _best(self, scores: np.ndarray, most: np.ndarray) -> list[tuple[float, int]]:
+        """The nearest of the opened examples; ``most``: the largest score of each range, of which the k-th bounds the last neighbour."""
         k = self.neighbours
-        if barred >= 0:
-            scores[barred] = 0
-        least = np.partition(scores, -k)[-k] - SLACK if len(scores) > k else 0.0
+        least = np.partition(most, -k)[-k] - SLACK if len(most) > k else 0.0
         hit = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores > 0)
+        seen = scores[hit]
+        if len(hit) > k:
+            near = seen >= np.partition(seen, -k)[-k] - SLACK
+            hit, seen = hit[near], seen[near]
         # Cosines equal to nine digits are ties.
-        best = hit[np.lexsort((hit, -np.round(scores[hit], 9)))][:k]
-        return [(c, i) for c, i in zip(scores[best].tolist(), self.order[best].tolist(), strict=True)]
+        best = np.lexsort((hit, -np.round(seen, 9)))[:k]
+        return [(c, i) for c, i in zip(seen[best].tolist(), self.order[hit[best]].tolist(), strict=True)]
 
 
 def association(a: np.ndarray, b: np.ndarray, toxic: int, clean: int, half: float) -> np.ndarray:
@@ -353,11 +404,14 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
         counts = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             counts[-1] += batch.num_rows
-            found = [words_of(t.as_py())[0] for t in batch.column(0)]
+            parts = (batch.column(0).slice(i, BATCH).to_pylist() for i in range(0, batch.num_rows, BATCH))
+            found = [h for some in parts for h, _ in bags(some)]
             words = np.concatenate(found) if found else np.zeros(0, np.uint64)
             if len(words) and len(known):
+                words, times = np.unique(words, return_counts=True)
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                counts[:-1] += np.bincount(at[known[at] == words], minlength=len(known))
+                held = known[at] == words
+                counts[at[held]] += times[held]
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["word", "n"])
 
@@ -454,15 +508,18 @@ def score(df: DataFrame, index: Index, text: str = "text", into: str = "toxicity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            texts, out = batch.column(batch.num_columns - 1), []
+            texts, scores, found = batch.column(batch.num_columns - 1), [], []
             for start in range(0, batch.num_rows, BATCH):
-                vectors = [index.vector(t.as_py()) for t in texts.slice(start, BATCH)]
-                for vector, near in zip(vectors, index.postings.nearest(vectors), strict=True):
-                    out.append({
-                        "score": index.score(index.vote(vector, near)),
-                        "neighbours": [str(index.keys[i]) for _, i in near], "cosines": [c for c, _ in near],
-                    })
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, arrow)], names=schema.names)
+                vectors = index.vectors(texts.slice(start, BATCH).to_pylist())
+                nearest = index.postings.nearest(vectors)
+                scores += [index.score(index.vote(v, near)) for v, near in zip(vectors, nearest, strict=True)]
+                found += nearest
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            names = pa.array([str(index.keys[i]) for near in found for _, i in near], pa.string())
+            cosines = pa.array([c for near in found for c, _ in near], pa.float64())
+            made = [pa.array(scores, pa.float64()), *(pa.ListArray.from_arrays(ends, x) for x in (names, cosines))]
+            out = pa.StructArray.from_arrays(made, fields=list(arrow))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=schema.names)
 
     return df.withColumn(source, F.col(f"`{text}`")).mapInArrow(run, schema)
 

@@ -1,19 +1,20 @@
-"""Jaccard self-join of documents as sets of word n-grams, through a token-group matrix.
+"""Jaccard self-join of documents as sets of word n-grams: partition signatures, then a token-group matrix for crowds.
 
 A document's words are lower-cased (A-Z); its set holds the hashes of its distinct n-grams. Documents
 with equal sets are one node. Nodes link when ``100 * intersection >= percent * union``.
 
-1. Groups: nodes with the same min-hash, so similar ones as a rule, make groups of bounded size.
-2. Matrix: every node gives the first tokens of its set in a global order (tokens known to be
-   frequent last, then by hash). Two sets that link share at least ``least_shared`` of these, so
-   the matrix needs them only: one row per token and group, the union over the group's members.
-3. Bound: two groups whose unions share fewer of them than any of their pairs must is never opened.
-   Where they share enough, each set is bounded by its overlap with the other group's whole union.
-4. Only sets that pass are compared with the members, by posting lists inside the task.
+1. Signatures: two sets that link differ by a bounded number d of tokens. Tokens are dealt to more than d buckets by hash, so linked
+   sets agree on a whole bucket. A set gives the hash of each of its buckets, for each class of sizes in which a partner may be. Sets
+   that agree on one are candidates, and so is what candidates reach: every link lies within such a class of candidates.
+2. Classes of bounded size are compared whole inside tasks, many small ones in one; every set goes there once.
+3. Crowds, that is larger classes, are cut into groups of bounded size. Every node gives the first tokens of its set in a global
+   order (tokens known to be frequent last, then by hash). Two sets that link share at least ``least_shared`` of these, so
+   the matrix needs them only: one row per token and group, the union over the group's members. Two groups whose unions share
+   fewer of them than any of their pairs must are never opened, and only sets that pass meet the members, by posting lists inside the task.
 
 A task holds the members of one group and of up to ``PARTNERS`` partner groups that can have links; both
 lists are also bounded by the total size of their sets. It returns a spanning forest of the links it finds, so no pair within a crowd of
-near copies is listed. Frequent tokens only decide the order: every set of them gives the same links.
+near copies is listed. Signatures and frequent tokens only choose what is compared: links are counted on whole sets.
 Hashes have 64 bits: two different sets of a corpus of a billion documents share one with
 probability of about 3 %, and only then would be taken as equal.
 
@@ -26,12 +27,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,11 +45,15 @@ BROADCAST_ROWS = 1_000_000
 FREQUENT_TOKENS = 2_000_000
 FREQUENT = 20
 #: Nodes per group, and partner groups that meet a group in one task.
-GROUP = 512
+GROUP = 2048
 PARTNERS = 32
 #: Tokens per group, and tokens of partners that meet a group in one task (a larger set is alone).
 GROUP_TOKENS = 1 << 20
 PARTNER_TOKENS = 1 << 22
+#: Ratio of the bounds of a class of sizes.
+RATIO = 1.5
+#: Nodes that a task remembers to have described.
+SEEN = 500_000
 
 
 @dataclass(frozen=True)
@@ -68,11 +74,54 @@ class SetJoin:
     def first(self, size: int) -> int:
         return min(size, size - self.needed(size) + self.least_shared(size))
 
+    def classes(self, size: int) -> list[tuple[int, int, int]]:
+        """(lower bound, buckets, spare) of the classes of sizes in which a set of this size may have partners at least as large as
+        the bound; linked sets agree on more than ``spare`` buckets."""
+        return _classes(self.percent, size)
+
     def counted(self, size: int) -> int:
         """Tokens whose frequency is looked at, so that frequent ones can give way to later ones."""
         return self.first(size) * 3 // 2 + 16
 
 
+@lru_cache(maxsize=100_000)
+def _classes(percent: int, size: int) -> list[tuple[int, int, int]]:
+    out, low = [], 1
+    while percent * low <= 100 * size:
+        after = max(low + 1, int(low * RATIO))
+        # Sets of at most ``after - 1`` tokens differ by at most this many if they link.
+        differ = 2 * (after - 1) * (100 - percent) // (100 + percent)
+        if size < after and differ:
+            # Buckets that both sets leave empty tell nothing; spare ones outnumber those of most sets.
+            least, spare = max(1, percent * low // 100), 1
+            while spare < differ and spare < 1 + 1.5 * (differ + 1 + spare) * np.exp(-least / (differ + 1 + spare)):
+                spare += 1
+            out.append((low, differ + 1 + spare, spare))
+        low = after
+    return out
+
+
+def signatures(tokens: np.ndarray, join: SetJoin) -> np.ndarray:
+    """Hashes of the buckets of a set, one or more of which every linked set has, too."""
+    out = [np.zeros(0, np.uint64)]
+    classes = join.classes(len(tokens))
+    if not classes:
+        return out[0]
+    place, value = mix(tokens ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32), mix(tokens + np.uint64(0xD6E8FEB86659FD93))
+    for low, buckets, spare in classes:
+        bucket = (place % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        held = np.bincount(bucket, minlength=buckets)
+        full = np.flatnonzero(held)
+        # The sum of a bucket's values names its tokens. Sets with more empty buckets than spare ones may agree on these alone.
+        names = np.zeros(buckets, np.uint64)
+        names[full] = np.add.reduceat(value[order], (np.cumsum(held) - held)[full])
+        used = full if buckets - len(full) <= spare else np.arange(buckets)
+        with np.errstate(over="ignore"):
+            out.append(mix(mix(names[used]) + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(low)))
+    return np.concatenate(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -112,23 +161,24 @@ def short(tokens: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, join: SetJoin) -> DataFrame:
-    """(key, node, size, least, low) of the documents; ``docs`` has key and text. least is a
-    min-hash, low the tokens that are counted."""
-    schema = docs.select("key").schema.add("node", "long").add("size", "long").add("least", "long")
-    schema = schema.add("low", T.ArrayType(T.IntegerType()))
+    """(key, node, size, signatures) of the documents; ``docs`` has key and text. A task gives the signatures of a node once."""
+    schema = docs.select("key").schema.add("node", "long").add("size", "long").add("signatures", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, least, low = [], [], [], []
+            nodes, sizes, found = [], [], []
             for text in batch.column(1):
                 t = tokens_of(text.as_py(), join.n)
-                nodes.append(node_of(t) if len(t) else None)
+                node = node_of(t) if len(t) else None
+                found.append(t[:0] if node is None or node in seen else signatures(t, join))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                nodes.append(node)
                 sizes.append(len(t))
-                least.append(int(mix(t ^ np.uint64(0x2545F4914F6CDD1D)).min().astype(np.int64)) if len(t) else None)
-                low.append(short(t[: join.counted(len(t))]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), _lists(low, np.int32)],
-                names=["key", "node", "size", "least", "low"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(found, np.int64)], names=schema.names
             )
 
     return docs.select("key", "text").mapInArrow(run, schema)
@@ -140,23 +190,31 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, join: SetJoin) -> DataFrame:
-    """(node, tokens) of the wanted (key, node); keys find the texts, one row a node stays."""
-    wanted = materialize(wanted.distinct(), "wanted")
+    """(node, tokens) of the wanted (key, node), a stored table; keys find the texts. Rows of a node can repeat."""
     texts = docs.join(_few(wanted.select(F.col("key").alias("k")).distinct()), F.col("key").eqNullSafe(F.col("k")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [tokens_of(t.as_py(), join.n) for t in batch.column(0)]
-            nodes = [node_of(t) if len(t) else None for t in sets]
+            sets, nodes = [], []
+            for text in batch.column(0):
+                t = tokens_of(text.as_py(), join.n)
+                node = node_of(t) if len(t) else None
+                if node is not None and node not in seen:
+                    sets.append(t)
+                    nodes.append(node)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets, np.int64)], names=["node", "tokens"])
 
-    found = texts.select("text").mapInArrow(run, "node long, tokens array<long>")
-    return materialize(found.join(_few(wanted.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return texts.select("text").mapInArrow(run, "node long, tokens array<long>")
 
 
 def _compare(pdf: pd.DataFrame, join: SetJoin) -> pd.DataFrame:
-    """Spanning forest of the links between a group (side 0) and partner groups (side 1)."""
-    asked, group = (pdf[pdf["side"] == x] for x in (0, 1))
+    """Spanning forest of the links between a group (side 1) and partner groups (side 0), or, without sides, of all rows."""
+    pdf = pdf.drop_duplicates([c for c in ("node", "side") if c in pdf])
+    asked, group = (pdf[pdf["side"] == x] for x in (0, 1)) if "side" in pdf else (pdf, pdf)
     sets = [np.asarray(x, np.int64) for x in group["tokens"]]
     sizes = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
@@ -192,9 +250,15 @@ def _compare(pdf: pd.DataFrame, join: SetJoin) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
 
-def _frequent(described: DataFrame) -> np.ndarray:
+def _frequent(sets: DataFrame, join: SetJoin) -> np.ndarray:
     """Sorted frequent tokens (their upper halves), at most FREQUENT_TOKENS: the order needs no particular set of them."""
-    counted = described.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [short(t[: join.counted(len(t))]) for t in _token_lists(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint32)]).view(np.int32))], names=["token"])
+
+    counted = sets.select("tokens").mapInArrow(run, "token int").groupBy("token").count().where(F.col("count") > FREQUENT)
     counted = materialize(counted, "token-counts")
     least = FREQUENT
     while counted.where(F.col("count") > least).count() > FREQUENT_TOKENS:
@@ -204,18 +268,20 @@ def _frequent(described: DataFrame) -> np.ndarray:
     return np.sort(rows.astype(np.int32).view(np.uint32))
 
 
-def _first_tokens(docs: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataFrame:
+def _token_lists(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _first_tokens(sets: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataFrame:
     """(token, node): a set's first tokens in the order (frequent, hash)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
         for batch in batches:
             tokens, nodes = [], []
-            for text in batch.column(0):
-                t = tokens_of(text.as_py(), join.n)
-                if not len(t):
-                    continue
+            for node, t in zip(batch.column(0).to_pylist(), _token_lists(batch.column(1)), strict=True):
                 k = join.first(len(t))
                 if len(late):
                     half = short(t)
@@ -224,13 +290,13 @@ def _first_tokens(docs: DataFrame, frequent: np.ndarray, join: SetJoin) -> DataF
                 else:
                     first = t[:k]
                 tokens.append(first)
-                nodes.append(np.full(len(first), node_of(t), np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "node"]
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, node long")
+    return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
 
 
 def _qualified(rows: DataFrame, join: SetJoin) -> DataFrame:
@@ -245,24 +311,9 @@ def _qualified(rows: DataFrame, join: SetJoin) -> DataFrame:
     return bound.where(F.col("shared") >= least).select("node", "size", "group", "other")
 
 
-def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJoin = SetJoin()) -> DataFrame:
-    """(key, n_shingles, node, component): one row per row of ``df``; component is the smallest key
-    of all documents reachable by links."""
-    docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    described = materialize(describe(docs, join), "described")
-    nodes = materialize(
-        described.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("key").alias("key"), F.first("size").alias("size"), F.first("least").alias("least")
-        ),
-        "nodes",
-    )
-    crowds = nodes.groupBy("least").agg(
-        F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("parts")
-    )
-    group = F.xxhash64("least", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).alias("group")
-    members = materialize(nodes.join(crowds, "least").select("node", "key", "size", group), "members")
-
-    first = materialize(_first_tokens(docs, _frequent(described), join), "first-tokens")
+def _crowd_links(sets: DataFrame, members: DataFrame, join: SetJoin) -> DataFrame:
+    """Links (a, b) that connect all that is linked within the crowds; ``sets`` (node, tokens), ``members`` (node, size, group)."""
+    first = materialize(_first_tokens(sets, _frequent(sets, join), join), "first-tokens")
     both = first.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
     shared = materialize(both.select("token"), "shared-tokens")
     rows = first.join(_few(shared), "token").distinct().join(members.select("node", "size", "group"), "node")
@@ -285,13 +336,46 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: S
     # Within one group every member is on both sides.
     inside = met.where("one = two").select("one", "part", "node", F.lit(1).alias("side"))
     met = materialize(met.select("one", "part", "node", "side").union(inside).distinct(), "met")
-    wanted = materialize(met.select("node").distinct(), "met-nodes")
-    sets = _sets(docs, members.join(_few(wanted), "node", "left_semi").select("key", "node"), join)
-    loaded = met.join(sets, "node")
-    links = loaded.groupBy("one", "part").applyInPandas(lambda pdf: _compare(pdf, join), "a long, b long")
+    return met.join(sets, "node").groupBy("one", "part").applyInPandas(lambda pdf: _compare(pdf, join), "a long, b long")
+
+
+def _candidates(described: DataFrame) -> DataFrame:
+    """(node, component): nodes that agree on a signature with others, and what they reach in that way."""
+    given = described.where(F.size("signatures") > 0).select("node", F.explode("signatures").alias("signature"))
+    star = given.withColumn("least", F.min("node").over(Window.partitionBy("signature")))
+    return components(star.select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+
+def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJoin = SetJoin()) -> DataFrame:
+    """(key, n_shingles, node, component): one row per row of ``df``; component is the smallest key
+    of all documents reachable by links."""
+    docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    described = materialize(describe(docs, join), "described")
+    nodes = materialize(
+        described.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size")), "nodes"
+    )
+    near = nodes.join(_candidates(described), "node")
+    parts = near.groupBy("component").agg(
+        F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("parts")
+    )
+    near = materialize(near.join(parts, "component"), "near")
+
+    # Classes of one part: some of them, by hash, make a task.
+    few = near.where("parts = 1")
+    tasks = (few.agg(F.sum("size")).first()[0] or 0) * 2 // GROUP_TOKENS + 1
+    few = few.select("node", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
+    sets = _sets(docs, near.where("parts = 1").select("key", "node"), join).join(_few(few), "node")
+    links = materialize(sets.groupBy("task").applyInPandas(lambda pdf: _compare(pdf, join), "a long, b long"), "links")
+
+    crowds = near.where("parts > 1")
+    if not crowds.isEmpty():
+        sets = _sets(docs, crowds.select("key", "node"), join).join(_few(crowds.select("node")), "node", "left_semi")
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+        group = F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).alias("group")
+        links = links.union(_crowd_links(sets, materialize(crowds.select("node", "size", group), "members"), join))
     found = components(links)
 
-    owner = members.join(found, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class"))
+    owner = nodes.join(found, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class"))
     smallest = owner.groupBy("class").agg(F.min("key").alias("component"))
     owner = materialize(owner.join(smallest, "class").select("node", "component"), "owners")
     out = described.select("key", F.col("size").alias("n_shingles"), "node").join(owner, "node", "left")

@@ -57,10 +57,11 @@ SLACK = 2e-9
 LONG = 64
 #: ASCII letters in lower case, all else as white space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
-#: Texts searched at once.
+#: Texts searched at once, and rows whose neighbours are held until they are given back.
 BATCH = 64
+PIECE = 1024
 #: Random projections by which examples are ordered, at most 64.
-PROJECTIONS = 48
+PROJECTIONS = 24
 #: Ranges opened before the rest is compared with its bounds.
 FIRST = 8
 
@@ -187,34 +188,35 @@ class Index:
 
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.starts[i], self.starts[i + 1])
-        return self.held[part], self.postings.weight[part]
+        return self.held[part], np.sqrt(self.counts[part]) * self.idf[self.held[part]] / self.postings.norms[i]
 
     def vote(self, vector: tuple[np.ndarray, np.ndarray], near: list[tuple[float, int]]) -> float:
         """Share of the toxic neighbours in the sum of squared cosines, each by the association of its shared words."""
         if not near:
             return -1.0
-        toxic = [(s, i) for s, i in near if self.labels[i]]
-        shared = self.postings.marks
-        shared[vector[0]] = True
+        shared = self.postings.shared
+        shared[vector[0]] = self.association[vector[0]]
         total = 0.0
-        for s, i in toxic:
-            words = self.held[self.starts[i] : self.starts[i + 1]]
-            total += s * s * float(self.association[words[shared[words]]].max(initial=0.0))
-        shared[vector[0]] = False
+        for s, i in near:
+            if self.labels[i]:
+                total += s * s * float(shared[self.held[self.starts[i] : self.starts[i + 1]]].max())
+        shared[vector[0]] = 0
         return total / sum(s * s for s, _ in near)
 
     def score(self, vote: float) -> float:
         return self.without if vote < 0 else float(np.interp(vote, *self.steps))
 
 
-def _alike(owner: np.ndarray, held: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, n: int) -> np.ndarray:
-    """Order of ``n`` examples in which similar ones lie together: random projections of their vectors, halved again and
+def _projected(index: Index, some: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Random projections of examples with these starts and weights."""
+    bits = index.vocabulary[index.held[some[0] : some[-1]], None] >> np.arange(PROJECTIONS, dtype=np.uint64)
+    return np.add.reduceat((1.0 - 2.0 * (bits & np.uint64(1))) * weight[:, None], some[:-1] - some[0])
+
+
+def _alike(seen: np.ndarray) -> np.ndarray:
+    """Order of examples in which similar ones lie together: random projections of their vectors, halved again and
     again along the direction in which they differ most."""
-    bits = vocabulary[held]
-    seen = np.empty((n, PROJECTIONS))
-    for j in range(PROJECTIONS):
-        sign = 1.0 - 2.0 * ((bits >> np.uint64(j)) & np.uint64(1))
-        seen[:, j] = np.bincount(owner, weights=weight * sign, minlength=n)
+    n = len(seen)
     parts, out = [np.arange(n)], []
     while parts:
         part = parts.pop()
@@ -238,31 +240,49 @@ class Postings:
 
     def __init__(self, index: Index) -> None:
         n, size = len(index.keys), len(index.vocabulary)
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.starts))
-        weight = np.sqrt(index.counts) * index.idf[index.held]
-        weight /= np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))[owner]
         self.n, self.ranges = n, -(-n // RANGE)
-        self.weight, self.neighbours = weight, index.settings.neighbours
-        self.marks = np.zeros(size, bool)
-        self.order = _alike(owner, index.held, weight, index.vocabulary, n)
-        self.place = np.empty(n, np.int64)
-        self.place[self.order] = np.arange(n)
+        self.neighbours = index.settings.neighbours
+        self.shared = np.zeros(size)
         held_by = np.bincount(index.held, minlength=size)
         often = np.argsort(-held_by, kind="stable")[:FREQUENT]
         often = often[held_by[often] >= RANGE]
         self.row = np.full(size, -1, np.int64)
         self.row[often] = np.arange(len(often))
-        rows = self.row[index.held]
+        # Some examples at a time, so that nothing but the result is as long as all postings.
+        self.norms, seen = np.empty(n), np.empty((n, PROJECTIONS))
+        for first, some, weight in self._parts(index):
+            self.norms[first : first + RANGE] = np.sqrt(np.add.reduceat(weight * weight, some[:-1] - some[0]))
+            seen[first : first + RANGE] = _projected(index, some, weight) / self.norms[first : first + RANGE, None]
+        self.order = _alike(seen)
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
         self.blocks = np.zeros((len(often), self.ranges * RANGE))
-        part = np.flatnonzero(rows >= 0)
-        self.blocks[rows[part], self.place[owner[part]]] = weight[part]
-        self.maxima = self.blocks.reshape(len(often), self.ranges, RANGE).max(axis=2, initial=0)
-        part = np.flatnonzero(rows < 0)
-        del rows
-        part = part[np.argsort(index.held[part], kind="stable")]
-        self.at, self.weights = self.place[owner[part]], weight[part]
         held_by[often] = 0
         self.starts = np.append(0, np.cumsum(held_by))
+        self.at, self.weights = np.empty(self.starts[-1], np.int64), np.empty(self.starts[-1])
+        free = self.starts[:-1].copy()
+        for first, some, weight in self._parts(index):
+            lengths = np.diff(some)
+            weight /= np.repeat(self.norms[first : first + RANGE], lengths)
+            place = np.repeat(self.place[first : first + RANGE], lengths)
+            words = index.held[some[0] : some[-1]]
+            row = self.row[words]
+            known = row >= 0
+            self.blocks[row[known], place[known]] = weight[known]
+            words, place, weight = (x[~known] for x in (words, place, weight))
+            order = np.argsort(words, kind="stable")
+            distinct, start, times = np.unique(words[order], return_index=True, return_counts=True)
+            to = np.repeat(free[distinct] - start, times) + np.arange(len(order))
+            free[distinct] += times
+            self.at[to], self.weights[to] = place[order], weight[order]
+        self.maxima = self.blocks.reshape(len(often), self.ranges, RANGE).max(axis=2, initial=0)
+
+    def _parts(self, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Some examples at a time: the first one, their starts and the end, and the weights of their words before division by lengths."""
+        for first in range(0, self.n, RANGE):
+            some = index.starts[first : first + RANGE + 1]
+            part = slice(some[0], some[-1])
+            yield first, some, np.sqrt(index.counts[part]) * index.idf[index.held[part]]
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """(cosine, example) of each vector's nearest examples with a cosine above 0, best first; ``without``: an example
@@ -507,7 +527,7 @@ def score(df: DataFrame, index: Index, text: str = "text", into: str = "toxicity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
             texts, scores, found = batch.column(batch.num_columns - 1), [], []
             for start in range(0, batch.num_rows, BATCH):
                 vectors = index.vectors(texts.slice(start, BATCH).to_pylist())

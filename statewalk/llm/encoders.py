@@ -10,6 +10,7 @@ library whole, so ids are the library's own in any case.
 from __future__ import annotations
 
 import json
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,9 @@ PLAIN = regex.compile(r"[\n\x20-\x7E¡-¬®-ĩĲ-ſ]*")
 LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Marks without letters and numbers; an apostrophe may begin a word.
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+MARK_BYTES = MARKS.encode()
+#: Bytes of ASCII letters and of the characters from U+00C0 to U+00FF and from U+0140 to U+017F, all of them plain.
+LETTER_BYTES = bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC5])
 #: White space whose pieces are not independent of each other, and marks of our own.
 ODD = (b"\x00", b"\x01", b"\t", b"\r", b"\x0b", b"\x0c", b"  ", b" \n", b"\n\n\n", b"\n\n ")
 
@@ -52,11 +56,13 @@ class Encoder:
         self.old_cache: dict[bytes, bytes | bool] = {}
         self.known: dict[str, bytes] = {}  # words, which pieces with other punctuation share
         self.old_known: dict[str, bytes] = {}
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        self.stand_ins = "".join(symbols[i] for i in range(256))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.model = self.tokenizer.model
-        self.size = int(self.dtype[-1])
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [i.to_bytes(int(self.dtype[-1]), "little") for i in range(max(size, 1 + max(self.tokenizer.get_vocab().values(), default=0)))]
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         split = spec.get("pre_tokenizer") or {}
         steps = split.get("pretokenizers", [])
@@ -66,6 +72,7 @@ class Encoder:
             and not split.get("add_prefix_space") and spec.get("normalizer") is None
         )
         self.drops_space = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"]
+        self.lead = symbols[32] if self.keeps_space else ""
         self.words = regex.compile(steps[0]["pattern"]["Regex"]) if self.drops_space else LEVEL_WORDS
 
     def encode(self, text: str) -> bytes:
@@ -103,20 +110,33 @@ class Encoder:
         return ids
 
     def _piece(self, piece: bytes) -> bytes | bool:
-        if self.keeps_space:
-            head = {0: "\n", 1: ""}.get(piece[0] if piece else -1)
-            text = piece[head is not None :].decode("utf-8")
-            text = (" " if head is None else head) + text
-        else:
-            text = piece.decode("utf-8").lower()
-        if piece.isalpha():  # ASCII letters are one word of either kind, and so are marks after them
-            return self._word(text)
-        letters = text.rstrip(MARKS)
-        if letters.isascii() and letters.lstrip(" ").isalpha():
-            return self._word(letters) + self._word(text[len(letters) :])
+        # Letters are one word of either kind, and so are marks after them.
+        if piece.isalpha():
+            return self._ids(self.lead + piece.decode())
+        letters = piece.rstrip(MARK_BYTES)
+        if letters.isalpha() or letters and not letters.translate(None, LETTER_BYTES) and letters.decode("utf-8").isalpha():
+            if len(letters) < len(piece):
+                return self._learn(letters) + self._word(piece[len(letters) :].decode())
+            if self.drops_space:
+                letters = letters.decode("utf-8").lower().encode("utf-8")
+            return self._ids(self.lead + charmap_decode(letters, "strict", self.stand_ins)[0])
+        head = {0: "\n", 1: ""}.get(piece[0] if piece else -1) if self.keeps_space else ""
+        text = piece[self.keeps_space and head is not None :].decode("utf-8")
+        if self.drops_space:
+            text = text.lower()
         if not (text.isascii() and text.isprintable() or PLAIN.fullmatch(text)):
             return False
-        return b"".join(map(self._word, self.words.findall(text)))
+        body = text.rstrip(MARKS)
+        if body.isalpha():
+            # A line's mark is a word of its own before letters, a space is part of the word.
+            first = self._word("\n") if head == "\n" else b""
+            word = self._word(" " + body if head is None else body)
+            return first + word + self._word(text[len(body) :]) if len(body) < len(text) else first + word
+        return b"".join(map(self._word, self.words.findall((" " if head is None else head) + text)))
+
+    def _ids(self, symbols: str) -> bytes:
+        names = self.names
+        return b"".join([names[t.id] for t in self.model.tokenize(symbols)])
 
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
@@ -124,14 +144,8 @@ class Encoder:
             return ids
         ids = self.old_known.get(word)
         if ids is None:
-            if word.isascii() and word[1:].isalpha() and word[0] == " ":
-                symbols = self.symbols[32] + word[1:]
-            elif word.isascii() and word.isalpha():
-                symbols = word
-            else:
-                symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-            size = self.size
-            ids = b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(symbols)])
+            symbols = charmap_decode(word.encode("utf-8"), "strict", self.stand_ins)[0]
+            ids = self._ids(symbols)
         if len(self.known) >= CACHE:
             self.old_known, self.known = self.known, {}
         self.known[word] = ids

@@ -4,8 +4,10 @@ A document's words are lower-cased (A-Z); its set holds the hashes of its distin
 with equal sets are one node. Nodes link when ``100 * intersection >= percent * union``.
 
 1. Signatures: two sets that link differ by a bounded number d of tokens. Tokens are dealt to more than d buckets by hash, so linked
-   sets agree on a whole bucket. A set gives the hash of each of its buckets, for each class of sizes in which a partner may be. Sets
-   that agree on one are candidates, and so is what candidates reach: every link lies within such a class of candidates.
+   sets agree on a number of whole buckets. A set gives the hash of each of its buckets, for each class of sizes in which a partner may
+   be. Signatures that few sets hold list their pairs, and a pair is a candidate if it agrees on as many as linked sets must, where
+   signatures that many hold (a common line) count as agreed. Only sets that could link by such signatures alone are joined through them.
+   What candidates reach are candidates, too: every link lies within such a class of candidates.
 2. Classes of bounded size are compared whole inside tasks, many small ones in one; every set goes there once.
 3. Crowds, that is larger classes, are cut into groups of bounded size. Every node gives the first tokens of its set in a global
    order (tokens known to be frequent last, then by hash). Two sets that link share at least ``least_shared`` of these, so
@@ -52,6 +54,10 @@ GROUP_TOKENS = 1 << 20
 PARTNER_TOKENS = 1 << 22
 #: Ratio of the bounds of a class of sizes.
 RATIO = 1.5
+#: Sets that hold a signature whose pairs are listed, at most.
+SHARED = 8
+#: Low bits of a signature that name its class of sizes.
+CLASS_BITS = 6
 #: Nodes that a task remembers to have described.
 SEEN = 500_000
 
@@ -75,8 +81,8 @@ class SetJoin:
         return min(size, size - self.needed(size) + self.least_shared(size))
 
     def classes(self, size: int) -> list[tuple[int, int, int]]:
-        """(lower bound, buckets, spare) of the classes of sizes in which a set of this size may have partners at least as large as
-        the bound; linked sets agree on more than ``spare`` buckets."""
+        """(number, buckets, spare) of the classes of sizes in which a set of this size may have partners at least as large as
+        the class's lower bound; linked sets agree on more than ``spare`` buckets."""
         return _classes(self.percent, size)
 
     def counted(self, size: int) -> int:
@@ -86,7 +92,7 @@ class SetJoin:
 
 @lru_cache(maxsize=100_000)
 def _classes(percent: int, size: int) -> list[tuple[int, int, int]]:
-    out, low = [], 1
+    out, low, number = [], 1, 0
     while percent * low <= 100 * size:
         after = max(low + 1, int(low * RATIO))
         # Sets of at most ``after - 1`` tokens differ by at most this many if they link.
@@ -96,19 +102,25 @@ def _classes(percent: int, size: int) -> list[tuple[int, int, int]]:
             least, spare = max(1, percent * low // 100), 1
             while spare < differ and spare < 1 + 1.5 * (differ + 1 + spare) * np.exp(-least / (differ + 1 + spare)):
                 spare += 1
-            out.append((low, differ + 1 + spare, spare))
-        low = after
+            out.append((number, differ + 1 + spare, spare))
+        low, number = after, number + 1
     return out
 
 
 def signatures(tokens: np.ndarray, join: SetJoin) -> np.ndarray:
     """Hashes of the buckets of a set, one or more of which every linked set has, too."""
-    out = [np.zeros(0, np.uint64)]
+    return bucketed(tokens, join)[0]
+
+
+def bucketed(tokens: np.ndarray, join: SetJoin) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Hashes of the buckets of a set, with the number of their class in the low bits, and (class, surplus): with a linked set of that
+    class it shares more than ``surplus`` of them."""
+    out, surplus = [np.zeros(0, np.uint64)], []
     classes = join.classes(len(tokens))
     if not classes:
-        return out[0]
+        return out[0], surplus
     place, value = mix(tokens ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32), mix(tokens + np.uint64(0xD6E8FEB86659FD93))
-    for low, buckets, spare in classes:
+    for number, buckets, spare in classes:
         bucket = (place % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         held = np.bincount(bucket, minlength=buckets)
@@ -116,10 +128,14 @@ def signatures(tokens: np.ndarray, join: SetJoin) -> np.ndarray:
         # The sum of a bucket's values names its tokens. Sets with more empty buckets than spare ones may agree on these alone.
         names = np.zeros(buckets, np.uint64)
         names[full] = np.add.reduceat(value[order], (np.cumsum(held) - held)[full])
-        used = full if buckets - len(full) <= spare else np.arange(buckets)
+        empty = buckets - len(full)
+        used = full if empty <= spare else np.arange(buckets)
         with np.errstate(over="ignore"):
-            out.append(mix(mix(names[used]) + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(low)))
-    return np.concatenate(out)
+            made = mix(mix(names[used]) + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number))
+        out.append((made >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS)) + np.uint64(number % (1 << CLASS_BITS)))
+        # Buckets that are empty in both sets count as agreed.
+        surplus.append((number % (1 << CLASS_BITS), spare - empty))
+    return np.concatenate(out), surplus
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -161,24 +177,29 @@ def short(tokens: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, join: SetJoin) -> DataFrame:
-    """(key, node, size, signatures) of the documents; ``docs`` has key and text. A task gives the signatures of a node once."""
+    """(key, node, size, signatures, surplus) of the documents; ``docs`` has key and text. A task gives the signatures of a node once.
+    A number of ``surplus`` has the class in its low bits, as signatures have, and above these how many are shared beyond it."""
     schema = docs.select("key").schema.add("node", "long").add("size", "long").add("signatures", T.ArrayType(T.LongType()))
+    schema = schema.add("surplus", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, found, surplus = [], [], [], []
             for text in batch.column(1):
                 t = tokens_of(text.as_py(), join.n)
                 node = node_of(t) if len(t) else None
-                found.append(t[:0] if node is None or node in seen else signatures(t, join))
+                given, more = (t[:0], []) if node is None or node in seen else bucketed(t, join)
+                found.append(given)
+                surplus.append(np.array([(n << CLASS_BITS) + c for c, n in more], np.int64))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
                 nodes.append(node)
                 sizes.append(len(t))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(found, np.int64)], names=schema.names
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(found, np.int64), _lists(surplus, np.int64)],
+                names=schema.names,
             )
 
     return docs.select("key", "text").mapInArrow(run, schema)
@@ -340,10 +361,31 @@ def _crowd_links(sets: DataFrame, members: DataFrame, join: SetJoin) -> DataFram
 
 
 def _candidates(described: DataFrame) -> DataFrame:
-    """(node, component): nodes that agree on a signature with others, and what they reach in that way."""
-    given = described.where(F.size("signatures") > 0).select("node", F.explode("signatures").alias("signature"))
-    star = given.withColumn("least", F.min("node").over(Window.partitionBy("signature")))
-    return components(star.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    """(node, component): nodes that agree on as many signatures as linked ones must, and what they reach in that way."""
+    found = described.where(F.size("signatures") > 0)
+    kind = F.col("signature").bitwiseAND((1 << CLASS_BITS) - 1).alias("class")
+    given = found.select("node", F.explode("signatures").alias("signature")).repartition("signature").distinct()
+    agreed = given.withColumn("sets", F.count("*").over(Window.partitionBy("signature"))).where("sets > 1")
+    agreed = materialize(agreed.select("node", "signature", kind, (F.col("sets") > SHARED).alias("common")), "agreed")
+    common = agreed.where("common")
+
+    # A set shares at least ``need`` signatures that are not common with a linked one.
+    surplus = found.select("node", F.explode("surplus").alias("x")).distinct()
+    surplus = surplus.select("node", F.col("x").bitwiseAND((1 << CLASS_BITS) - 1).alias("class"), F.shiftright("x", CLASS_BITS).alias("surplus"))
+    needs = surplus.join(agreed.groupBy("node", "class").agg(F.sum(F.col("common").cast("long")).alias("n")), ["node", "class"])
+    needs = materialize(needs.select("node", "class", (F.col("surplus") + 1 - F.col("n")).alias("need")), "needs")
+
+    few = agreed.where("NOT common").groupBy("signature", "class").agg(F.collect_list("node").alias("nodes"))
+    few = few.select("class", F.explode("nodes").alias("a"), "nodes")
+    few = few.select("class", "a", F.explode(F.filter("nodes", lambda n: n > F.col("a"))).alias("b"))
+    few = few.groupBy("class", "a", "b").agg(F.count("*").alias("n"))
+    for end in ("a", "b"):
+        few = few.join(needs.select(F.col("node").alias(end), "class", "need"), [end, "class"]).where("n >= need").drop("need")
+
+    # Sets that could agree with a linked one on common signatures alone.
+    star = common.join(needs.where("need <= 0").select("node", "class"), ["node", "class"])
+    star = star.select(F.min("node").over(Window.partitionBy("signature")).alias("a"), F.col("node").alias("b"))
+    return components(few.select("a", "b").union(star))
 
 
 def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", join: SetJoin = SetJoin()) -> DataFrame:

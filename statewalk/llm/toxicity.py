@@ -51,14 +51,17 @@ WORDS = re.compile(r"[^\W\d_]+")
 RANGE = 64
 #: The most frequent words, whose posting lists are kept as blocks with maxima; the postings of others are simply added.
 FREQUENT = 384
-#: Cosines equal to nine digits are ties; sums in another order differ by less.
-SLACK = 2e-9
+#: Rough cosines are sums of positive products in single precision, each and each sum off by a share of 6e-8 at most: with up to 800
+#: products, two that differ by a larger share than this are in their true order.
+SLACK = 1e-4
 #: Longer words (bytes) are hashed one by one.
 LONG = 64
 #: ASCII letters in lower case, all else as white space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+#: The same for Latin-1, whose letters in lower case are of Latin-1, too.
+LATIN = bytes(ord(chr(c).lower()) if WORDS.fullmatch(chr(c)) else 32 for c in range(256))
 #: Texts searched at once, and rows whose neighbours are held until they are given back.
-BATCH = 64
+BATCH = 128
 PIECE = 1024
 #: Random projections by which examples are ordered, at most 64.
 PROJECTIONS = 24
@@ -93,7 +96,10 @@ def _split(text: str) -> bytes:
     """The lower-cased words of a text with white space between them."""
     if text.isascii():
         return text.encode().translate(LETTERS)
-    return b" ".join([w.encode("utf-8", "surrogatepass") for w in WORDS.findall(text.lower())])
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return " ".join(WORDS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -194,14 +200,15 @@ class Index:
         """Share of the toxic neighbours in the sum of squared cosines, each by the association of its shared words."""
         if not near:
             return -1.0
+        toxic = [(s * s, i) for s, i in near if self.labels[i]]
+        if not toxic:
+            return 0.0
         shared = self.postings.shared
         shared[vector[0]] = self.association[vector[0]]
-        total = 0.0
-        for s, i in near:
-            if self.labels[i]:
-                total += s * s * float(shared[self.held[self.starts[i] : self.starts[i + 1]]].max())
+        words = [self.held[self.starts[i] : self.starts[i + 1]] for _, i in toxic]
+        strong = np.maximum.reduceat(shared.take(np.concatenate(words)), np.cumsum([0, *map(len, words[:-1])]))
         shared[vector[0]] = 0
-        return total / sum(s * s for s, _ in near)
+        return sum(x * y for (x, _), y in zip(toxic, strong.tolist(), strict=True)) / sum(s * s for s, _ in near)
 
     def score(self, vote: float) -> float:
         return self.without if vote < 0 else float(np.interp(vote, *self.steps))
@@ -235,7 +242,8 @@ class Postings:
     """Block-max inverted index of an ``Index``.
 
     order: examples by place; starts, at, weights: places and weights by word, without the frequent ones
-    row: a frequent word's row of blocks, or -1; blocks: its weights by range; maxima: the largest of each block
+    row: a frequent word's column of blocks, or -1; blocks: weights of the frequent words by place, in single precision; maxima: the
+    largest of each word and range; exact: the same weights for the examples that the blocks leave
     """
 
     def __init__(self, index: Index) -> None:
@@ -256,7 +264,7 @@ class Postings:
         self.order = _alike(seen)
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
-        self.blocks = np.zeros((len(often), self.ranges * RANGE))
+        self.exact = np.zeros((self.ranges * RANGE, len(often)))
         held_by[often] = 0
         self.starts = np.append(0, np.cumsum(held_by))
         self.at, self.weights = np.empty(self.starts[-1], np.int64), np.empty(self.starts[-1])
@@ -268,14 +276,15 @@ class Postings:
             words = index.held[some[0] : some[-1]]
             row = self.row[words]
             known = row >= 0
-            self.blocks[row[known], place[known]] = weight[known]
+            self.exact[place[known], row[known]] = weight[known]
             words, place, weight = (x[~known] for x in (words, place, weight))
             order = np.argsort(words, kind="stable")
             distinct, start, times = np.unique(words[order], return_index=True, return_counts=True)
             to = np.repeat(free[distinct] - start, times) + np.arange(len(order))
             free[distinct] += times
             self.at[to], self.weights[to] = place[order], weight[order]
-        self.maxima = self.blocks.reshape(len(often), self.ranges, RANGE).max(axis=2, initial=0)
+        self.blocks = self.exact.astype(np.float32)
+        self.maxima = np.ascontiguousarray(self.blocks.reshape(self.ranges, RANGE, len(often)).max(axis=1, initial=0).T)
 
     def _parts(self, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Some examples at a time: the first one, their starts and the end, and the weights of their words before division by lengths."""
@@ -301,43 +310,45 @@ class Postings:
             weights = np.repeat(x[~often], length)
             weights *= self.weights.take(at)
             scores[i] = np.bincount(self.at.take(at), weights=weights, minlength=scores.shape[1])
-        parts = scores.reshape(len(vectors), self.ranges, RANGE)
-        bounds = queries @ self.maxima + parts.max(axis=2)
+        rough, asked = scores.astype(np.float32), queries.astype(np.float32)
+        parts = rough.reshape(len(vectors), self.ranges, RANGE)
+        bounds = asked @ self.maxima + parts.max(axis=2)
         best = np.argpartition(-bounds, min(FIRST, self.ranges) - 1, axis=1)[:, :FIRST]
         opened = np.zeros(self.ranges, bool)
         opened[best] = True
-        self._open(opened, queries, scores, barred)
+        self._open(opened, asked, rough, barred)
         wanted = np.broadcast_to(opened, bounds.shape)
         if not opened.all():
             k, seen = self.neighbours, parts[:, opened].reshape(len(vectors), -1)
             least = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(len(vectors))
-            wanted = wanted | (bounds >= least[:, None] - SLACK)
+            wanted = wanted | (bounds >= least[:, None] * (1 - SLACK))
             more = wanted.any(axis=0) & ~opened
-            self._open(more, queries, scores, barred)
+            self._open(more, asked, rough, barred)
             # A skipped range holds no neighbour.
             parts[:, ~(opened | more)] = 0
         self.share_opened = wanted.mean()
         most = parts.max(axis=2)
-        return [self._best(scores[i], most[i]) for i in range(len(vectors))]
+        return [self._best(queries[i], scores[i], rough[i], most[i]) for i in range(len(vectors))]
 
     def _open(self, wanted: np.ndarray, queries: np.ndarray, scores: np.ndarray, barred: list[int]) -> None:
         """Adds the frequent words to the scores of these ranges; the blocks of all others are skipped."""
         edges = np.flatnonzero(np.diff(wanted, prepend=False, append=False)) * RANGE
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            scores[:, start:end] += queries @ self.blocks[:, start:end]
+            scores[:, start:end] += queries @ self.blocks[start:end].T
         for i, b in enumerate(barred):
             if b >= 0:
                 scores[i, b] = 0
 
-    def _best(self, scores: np.ndarray, most: np.ndarray) -> list[tuple[float, int]]:
-        """The nearest of the opened examples; ``most``: the largest score of each range, of which the k-th bounds the last neighbour."""
+    def _best(self, query: np.ndarray, few: np.ndarray, rough: np.ndarray, most: np.ndarray) -> list[tuple[float, int]]:
+        """The nearest of the opened examples; ``most``: the largest rough score of each range, of which the k-th bounds the last
+        neighbour. What can be among the nearest gets its exact cosine: that of the other words (``few``) and the frequent ones."""
         k = self.neighbours
-        least = np.partition(most, -k)[-k] - SLACK if len(most) > k else 0.0
-        hit = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores > 0)
-        seen = scores[hit]
+        least = np.partition(most, -k)[-k] * (1 - SLACK) if len(most) > k else 0.0
+        hit = np.flatnonzero(rough >= least) if least > 0 else np.flatnonzero(rough > 0)
         if len(hit) > k:
-            near = seen >= np.partition(seen, -k)[-k] - SLACK
-            hit, seen = hit[near], seen[near]
+            seen = rough[hit]
+            hit = hit[seen >= np.partition(seen, -k)[-k] * (1 - SLACK)]
+        seen = few[hit] + self.exact[hit] @ query
         # Cosines equal to nine digits are ties.
         best = np.lexsort((hit, -np.round(seen, 9)))[:k]
         return [(c, i) for c, i in zip(seen[best].tolist(), self.order[hit[best]].tolist(), strict=True)]
